@@ -7,14 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
-from .common import table
+from . import exact_dedup, mixing, sentencepieces, toxicity
+from .common import n_words, table
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    from .common import n_words
-
     mixed = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), size=F.col("words"))
     return mixed.select(
         "doc_id",
@@ -29,10 +27,36 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """A public tokenizer's file, from RECALLGRID_TOKENIZERS or else where its package keeps it."""
+    folder = os.environ.get("RECALLGRID_TOKENIZERS")
+    if folder:
+        path = os.path.join(folder, name)
+    else:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(table(spark, sf_dir, "documents"), tokenizer_model())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    scores = toxicity.scored(docs, lexicon)
+    return scores.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries():
     return {
         "op3_source_mixing": op3_source_mixing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_toxicity": op8_toxicity,
     }
 
 
