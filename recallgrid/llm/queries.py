@@ -7,10 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sentencepieces, toxicity
+from . import exact_dedup, html_text, mixing, sentencepieces, toxicity
 from .common import n_words, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), size=F.col("words"))
@@ -53,6 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op3_source_mixing": op3_source_mixing,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_sentencepiece": op7_sentencepiece,
