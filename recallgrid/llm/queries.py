@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, mixing, sentencepieces, toxicity
+from . import exact_dedup, html_text, jaccard_join, mixing, sentencepieces, toxicity
 from .common import n_words, table
 
 
@@ -15,6 +15,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, threshold="0.85")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), size=F.col("words"))
@@ -58,6 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_html_extraction": op1_html_extraction,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_source_mixing": op3_source_mixing,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_sentencepiece": op7_sentencepiece,
