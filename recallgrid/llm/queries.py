@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, mixing, sentencepieces, toxicity
+from . import exact_dedup, html_text, jaccard_join, mixing, sentencepieces, substring_dedup, toxicity
 from .common import n_words, table
 
 
@@ -59,6 +59,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -67,6 +71,7 @@ def queries():
         "op5_exact_dedup": op5_exact_dedup,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_toxicity": op8_toxicity,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 

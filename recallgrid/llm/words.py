@@ -44,8 +44,31 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
             for i in range(1, n):
                 out = out * BASE + hashes[i : i + k]
             return mixed(out)
-        powers = np.cumprod(np.full(len(hashes), BASE, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers)])
+        up, down = _powers(len(hashes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up)])
+        return mixed((sums[n:] - sums[:k]) * down[:k])
+
+
+_up = _down = np.empty(0, np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE, and of its inverse; kept for the longest text so far."""
+    global _up, _down
+    if len(_up) < n:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        back = np.cumprod(np.full(k, inverse, np.uint64))
-        return mixed((sums[n:] - sums[:k]) * back)
+        _up = np.cumprod(np.full(n, BASE, np.uint64))
+        _down = np.cumprod(np.full(n, inverse, np.uint64))
+    return _up[:n], _down[:n]
+
+
+def window_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values, by block-wise running minima."""
+    k = len(values) - width + 1
+    if k <= 0:
+        return np.empty(0, values.dtype)
+    pad = -len(values) % width
+    full = np.concatenate([values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, width)
+    left = np.minimum.accumulate(full, axis=1).ravel()
+    right = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(right[:k], left[width - 1 : width - 1 + k])
