@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, mixing, sentencepieces, substring_dedup, toxicity
+from . import exact_dedup, html_text, jaccard_join, mixing, nearest, sentencepieces, substring_dedup, toxicity
 from .common import n_words, table
 
 
@@ -31,6 +31,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), queries=lambda i: i % 20 == 0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries():
         "op1_html_extraction": op1_html_extraction,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_source_mixing": op3_source_mixing,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_toxicity": op8_toxicity,
