@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, mixing, nearest, sentencepieces, substring_dedup, toxicity
+from . import exact_dedup, html_text, jaccard_join, lm_scoring, mixing, nearest, quality, sentencepieces, substring_dedup, toxicity
 from .common import n_words, table
 
 
@@ -52,6 +52,12 @@ def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = lm_scoring.fitted(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return lm_scoring.scored(docs, models)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(table(spark, sf_dir, "documents"), tokenizer_model())
 
@@ -63,6 +69,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -74,9 +86,11 @@ def queries():
         "op3_source_mixing": op3_source_mixing,
         "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_lm_scoring": op6_lm_scoring,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
