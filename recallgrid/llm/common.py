@@ -44,6 +44,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(items: list, n: int):
-    for i in range(0, len(items), n):
-        yield items[i : i + n]
+def small_first(df: DataFrame, most_rows: int = 250_000) -> DataFrame:
+    """The side of a join, broadcast if its rows were counted and are few; else as it is, for a shuffled join. For narrow,
+    written rows, whose count reads no more than file footers."""
+    return F.broadcast(df) if len(df.take(1)) and df.count() <= most_rows else df

@@ -12,9 +12,10 @@ each partner, as agreeing blocks are light in both or in neither. A block's key
 bit. A document emits the blocks of its own band and, if smaller partners may lie there, of the band below.
 
 Equal sets (by size and 128 bits) form one class beforehand. Documents that share a key are compared with the
-least document of the key, not with each other; what is verified is joined to components, and only keys that
-still hold several components have their other pairs compared, so a group of thousands of near copies costs a
-row each. Candidate pairs pass a Hamming test of folded sketches and are verified on whole sets.
+least document of the key, not with each other; what that likely links forms groups, and only keys that still
+hold several groups have their other pairs compared, by sketch and in tiles of bounded size, so a group of
+thousands of near copies costs a row each. Pairs that pass the Hamming test of folded sketches are verified on
+whole sets. Groups whose likely links did not all hold are compared again within, so no link is lost.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; ids are integers;
 rows that share an id and differ in text are compared as if they had ids of their own and share a component; other
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_first, written
 from .words import mixed, run_hashes, word_hashes
 
 #: Blocks that at most so many shingles meet are light.
@@ -141,7 +142,7 @@ def described(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                nodes, sizes, sketches, keys = [], [], [], []
+                nodes, sizes, sketches, fines, keys = [], [], [], [], []
                 for v in part.column(1):
                     h = shingles(v.as_py(), n)
                     node = node_of(h)
@@ -149,17 +150,19 @@ def described(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                     sizes.append(len(h))
                     if not len(h) or node in seen:
                         sketches.append(None)
+                        fines.append(None)
                         keys.append(None)
                     else:
                         seen.add(node)
                         sketches.append(sketch(h))
+                        fines.append(fine(h))
                         keys.append(keys_of(h, t).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "node", "n_shingles", "sketch", "keys"],
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(fines, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc", "node", "n_shingles", "sketch", "fine", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc long, node long, n_shingles long, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, node long, n_shingles long, sketch binary, fine binary, keys array<long>")
 
 
 def node_of(h: np.ndarray) -> int:
@@ -240,29 +243,111 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return dealt.join(least, "key").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fine(hashes: np.ndarray) -> bytes:
+    """The sketch that rows of a group carry: half a bit per shingle at least, 64 bits at least."""
+    width = 1 << min(15, max(6, (max(1, len(hashes) // 2) - 1).bit_length()))
+    bits = np.bincount((mixed(hashes) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, comp) with one key and different comp whose sizes and sketches don't rule a link
+    out. Groups are compared in tiles of bounded size: a group of k rows is dealt into k / tile_rows parts, and
+    each two parts meet in one tile, so no task holds a whole group."""
+    import pyarrow as pa
+
+    num, den = t.numerator, t.denominator
+    parts = F.ceil(F.col("n") / tile_rows).cast("int")
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
+    rows = groups.join(sizes, "key").join(about.select("node", "n_shingles", "fine"), "node")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "n_shingles", "fine")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def pairs(lo, hi, part, node, comp, n, sk):
+        if len(node) < 2 or (comp == comp[0]).all():
+            return
+        width = min(map(len, sk))
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sk])
+        for i in range(len(node) - 1):
+            j = slice(i + 1, None)
+            ok = (comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))
+            if lo != hi:
+                ok &= part[j] != part[i]
+            at = np.nonzero(ok)[0] + i + 1
+            if len(at):
+                far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                for k in at[(den + num) * far <= (den - num) * (n[at] + n[i])]:
+                    yield min(node[i], node[k]), max(node[i], node[k])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush(table):
+            key, lo, hi, part, node, comp, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "node", "comp", "n_shingles"))
+            sk = table.column("fine").to_pylist()
+            cut = np.nonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0))[0] + 1
+            found = set()
+            for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
+                if b - a > 1:
+                    found.update(pairs(lo[a], hi[a], part[a:b], node[a:b], comp[a:b], n[a:b], sk[a:b]))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:  # a tile that goes on in the next batch waits for it
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            ends = [table.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
+            same = np.ones(table.num_rows, bool)
+            for c, v in zip(("key", "lo", "hi"), ends, strict=True):
+                same &= table.column(c).to_numpy() == v
+            k = int(np.nonzero(~same)[0][-1]) + 1 if not same.all() else 0
+            if k:
+                yield flush(table.slice(0, k))
+            held = table.slice(k).to_batches()
+            last = ends
+        if held and last is not None:
+            yield flush(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id of its component)."""
     t = Fraction(threshold)
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     facts = written(described(base, n, t), "sets")
     keys = written(shared_keys(facts.where("keys is not null").select(F.explode("keys").alias("key"), "node")), "keys")
-    about = facts.where("sketch is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    shown = keys.select("node").distinct().join(facts, "node").groupBy("node").agg(F.min("doc").alias("doc"))
+    about = facts.where("sketch is not null").select("node", "n_shingles", "sketch", "fine").dropDuplicates(["node"])
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        near = written(close(pairs, about, t), "near")
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(shown, "node")
-        texts = base.join(wanted, "doc").select("node", "text").dropDuplicates(["node"])
-        return written(verified(near, texts, n, t), "links")
+    def crossing(labelled: DataFrame) -> DataFrame:
+        """Of (key, node, comp, ...), the keys with several comps."""
+        several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        return labelled.join(several, "key", "left_semi")
 
+    # 1. Each key's nodes against the least of them: likely links.
     star = keys.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    links = tested(star)
+    likely = written(close(star, about, t), "likely")
+    groups = components(likely)
+    # 2. What shares a key across the groups that likely links make.
+    apart = keys.join(groups, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    others = written(compared(crossing(apart), about, t, tile_rows), "others")
+    pairs = likely.union(others)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = written(facts.join(nodes, "node").groupBy("node").agg(F.min("doc").alias("doc")), "wanted")
+    texts = written(base.join(small_first(wanted), "doc").select("node", "text").dropDuplicates(["node"]), "texts")
+    links = written(verified(pairs.distinct(), texts, n, t), "links")
     comps = components(links)
-    known = keys.join(comps, "node", "left").select("key", "node", "least", F.coalesce("comp", "node").alias("comp"))
-    several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2").select("key")
-    rest = written(known.where("node != least").join(several, "key", "left_semi").select("key", "node", "comp"), "rest")
-    others = rest.toDF("key", "a", "comp_a").join(rest.toDF("key", "b", "comp_b"), "key").where("a < b and comp_a != comp_b").select("a", "b").distinct()
-    final = components(links.union(tested(others)))
+    # 3. Groups of likely links that did not all hold: the pairs within them that no verified link joins.
+    within = keys.join(groups, "node").join(comps, "node", "left").select("key", "node", groups["comp"].alias("group"), F.coalesce(comps["comp"], "node").alias("comp"))
+    split = within.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("group")
+    inside = crossing(within.join(split, "group", "left_semi").select(F.xxhash64("key", "group").alias("key"), "node", "comp"))
+    rest = compared(inside, about, t, tile_rows).join(pairs, ["a", "b"], "left_anti")
+    more = written(verified(rest, texts, n, t), "links")
+    final = components(links.union(more)) if more.take(1) else comps
     labelled = written(facts.join(final, "node", "left").select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp")), "labelled")
     least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("component_id"))
     return labelled.join(least, "comp", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
