@@ -108,8 +108,9 @@ def keys_of(hashes: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parity sketch with a power of two of bits, at least as many as shingles (64 to 2**15)."""
-    width = 1 << min(15, max(6, (max(1, len(hashes)) - 1).bit_length()))
+    """Parity sketch with a power of two of bits, at least two for each shingle (64 to 2**15). Wider sketches lose fewer
+    differing shingles to bits that flip twice, so pairs just below the threshold are told apart before texts are read."""
+    width = 1 << min(15, max(6, (max(1, 2 * len(hashes)) - 1).bit_length()))
     bits = np.bincount((mixed(hashes) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -142,7 +143,7 @@ def described(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                nodes, sizes, sketches, fines, keys = [], [], [], [], []
+                nodes, sizes, sketches, keys = [], [], [], []
                 for v in part.column(1):
                     h = shingles(v.as_py(), n)
                     node = node_of(h)
@@ -150,19 +151,17 @@ def described(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                     sizes.append(len(h))
                     if not len(h) or node in seen:
                         sketches.append(None)
-                        fines.append(None)
                         keys.append(None)
                     else:
                         seen.add(node)
                         sketches.append(sketch(h))
-                        fines.append(fine(h))
                         keys.append(keys_of(h, t).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(fines, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "node", "n_shingles", "sketch", "fine", "keys"],
+                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc", "node", "n_shingles", "sketch", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc long, node long, n_shingles long, sketch binary, fine binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, node long, n_shingles long, sketch binary, keys array<long>")
 
 
 def node_of(h: np.ndarray) -> int:
@@ -243,13 +242,6 @@ def shared_keys(rows: DataFrame) -> DataFrame:
     return dealt.join(least, "key").distinct()
 
 
-def fine(hashes: np.ndarray) -> bytes:
-    """The sketch that rows of a group carry: half a bit per shingle at least, 64 bits at least."""
-    width = 1 << min(15, max(6, (max(1, len(hashes) // 2) - 1).bit_length()))
-    bits = np.bincount((mixed(hashes) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
 def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -> DataFrame:
     """Pairs (a, b) of rows (key, node, comp) with one key and different comp whose sizes and sketches don't rule a link
     out. Groups are compared in tiles of bounded size: a group of k rows is dealt into k / tile_rows parts, and
@@ -259,9 +251,9 @@ def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -
     num, den = t.numerator, t.denominator
     parts = F.ceil(F.col("n") / tile_rows).cast("int")
     sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
-    rows = groups.join(sizes, "key").join(about.select("node", "n_shingles", "fine"), "node")
+    rows = groups.join(sizes, "key").join(about.select("node", "n_shingles", "sketch"), "node")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "n_shingles", "fine")
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "n_shingles", "sketch")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def pairs(lo, hi, part, node, comp, n, sk):
@@ -286,7 +278,7 @@ def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -
 
         def flush(table):
             key, lo, hi, part, node, comp, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "node", "comp", "n_shingles"))
-            sk = table.column("fine").to_pylist()
+            sk = table.column("sketch").to_pylist()
             cut = np.nonzero((np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0))[0] + 1
             found = set()
             for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
@@ -321,7 +313,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col:
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     facts = written(described(base, n, t), "sets")
     keys = written(shared_keys(facts.where("keys is not null").select(F.explode("keys").alias("key"), "node")), "keys")
-    about = facts.where("sketch is not null").select("node", "n_shingles", "sketch", "fine").dropDuplicates(["node"])
+    about = facts.where("sketch is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
 
     def crossing(labelled: DataFrame) -> DataFrame:
         """Of (key, node, comp, ...), the keys with several comps."""
