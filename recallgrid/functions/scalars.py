@@ -1,0 +1,156 @@
+"""Column functions of the data model. Every one is a JVM-side expression."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ENERGY_FLOOR = 0.001
+DEEP_MULTIPLIER = 0.25
+
+
+def col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def state_of(energy: Column | str) -> Column:
+    e = col(energy)
+    return F.when(e >= 0.3, "active").when(e >= 0.1, "dormant").when(e >= 0.02, "deep").otherwise("archived")
+
+
+def searchable(state: Column | str) -> Column:
+    return col(state).isin("active", "dormant")
+
+
+def state_filter(state: Column | str, include_deep: bool = False, include_archived: bool = False, unfiltered: bool = False) -> Column:
+    """Which states a search sees."""
+    if unfiltered or include_archived:
+        return F.lit(True)
+    if include_deep:
+        return col(state) != "archived"
+    return searchable(state)
+
+
+def decayed(energy: Column | str, state: Column | str, amount: Column | float) -> Column:
+    """Energy after a decay: archived rests, deep loses a quarter of the amount, nothing falls under the floor."""
+    e, s, a = col(energy), col(state), amount if isinstance(amount, Column) else F.lit(float(amount))
+    return F.when(s == "archived", e).when(s == "deep", F.greatest(e - a * DEEP_MULTIPLIER, F.lit(ENERGY_FLOOR))).otherwise(F.greatest(e - a, F.lit(ENERGY_FLOOR)))
+
+
+def stimulated(energy: Column | str, amount: Column | float) -> Column:
+    return F.least(F.lit(1.0), col(energy) + (amount if isinstance(amount, Column) else F.lit(float(amount))))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine in double precision; 0 where a norm is 0, null where a vector is null or lengths differ."""
+    a, b = col(a), col(b)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms))
+
+
+def jaccard(a: Column | str, b: Column | str) -> Column:
+    """Overlap of token sets; 0 if either is empty."""
+    a, b = col(a), col(b)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def source_bucket(content: Column | str, created_at: Column | str) -> Column:
+    """A leading [label] that ends within 48 bytes, in lower case; else the day of creation, UTC."""
+    label = F.regexp_extract(col(content), r"^(\[[^\]]*\])", 1)
+    fits = (F.octet_length(label) > 2) & (F.octet_length(label) <= 49)
+    return F.when(fits, F.lower(label)).otherwise(F.date_format(F.timestamp_seconds(col(created_at)), "yyyy-MM-dd"))
+
+
+# Cues of composite and of inferential queries.
+COMPOSITE_CUES = (" and ", " both ", "activities", "events", "books", "states", "cities", "names", "causes", "traits", "attributes", "both have", "in common", "all ")
+INFERENTIAL_CUES = ("might", "likely", "considered", "would", "could", "personality", "attributes", "traits", "describe", "what job")
+
+
+def has_cue(text: Column | str, cues: tuple[str, ...]) -> Column:
+    low = F.lower(col(text))
+    out = F.lit(False)
+    for cue in cues:
+        out = out | low.contains(cue)
+    return out
+
+
+def is_composite(text: Column | str) -> Column:
+    return has_cue(text, COMPOSITE_CUES)
+
+
+def is_inferential(text: Column | str) -> Column:
+    return has_cue(text, INFERENTIAL_CUES)
+
+
+def effective_limit(composite: Column, limit: Column, low: int = 15, high: int = 30) -> Column:
+    return F.when(composite, F.least(F.greatest(limit, F.lit(low)), F.lit(high))).otherwise(limit)
+
+
+def contains_ci(content: Column | str, needle: str) -> Column:
+    """Case-insensitive substring, taken literally."""
+    return F.lower(col(content)).contains(needle.lower())
+
+
+def strip_date_anchor(content: Column | str) -> Column:
+    """Drop ` (YYYY-MM-DD)`, turn double spaces into one in a single pass, trim."""
+    return F.trim(F.replace(F.regexp_replace(col(content), r" \(\d{4}-\d{2}-\d{2}\)", ""), F.lit("  "), F.lit(" ")))
+
+
+def parse_epoch(text: Column | str) -> Column:
+    """Epoch seconds of an integer, an RFC 3339 time, a time without zone (UTC) or a date; null otherwise."""
+    t = F.trim(col(text))
+    stamp = F.when(
+        t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$") | t.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$") | t.rlike(r"^\d{4}-\d{2}-\d{2}$"),
+        F.unix_seconds(F.try_to_timestamp(t)),
+    )
+    return F.coalesce(F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")), stamp)
+
+
+# Words that stay small in titles.
+SMALL_WORDS = ("to", "the", "in", "as", "of", "and", "or")
+
+
+def title_case(text: Column | str) -> Column:
+    words = F.filter(F.split(F.lower(col(text)), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when(w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))), " ")
+
+
+def is_uuid(text: Column | str) -> Column:
+    return col(text).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+
+
+def truncate_content(text: Column | str, most: int) -> Column:
+    """At most so many characters, dots within the budget (for ASCII; byte budgets of other text see text.truncate_bytes)."""
+    t = col(text)
+    if most <= 3:
+        return F.when(F.length(t) <= most, t).otherwise("." * most)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(most - 3)), F.lit("...")))
+
+
+def citation_reference(author, year, title, edition, doi, url, publisher) -> Column:
+    """APA reference: edition, then DOI, URL or publisher, the first there is."""
+    where = F.coalesce(F.concat(F.lit("https://doi.org/"), doi), url, F.concat(publisher, F.lit(".")))
+    return F.concat_ws(
+        " ", F.concat(author, F.lit(". ("), year, F.lit(").")), F.concat(F.lit("*"), title, F.lit("*")), F.concat(F.lit("("), edition, F.lit(").")), where
+    )
+
+
+def citation_inline(author, year, first, last) -> Column:
+    pages = F.when(first == last, F.concat(F.lit("p. "), first.cast("string"))).otherwise(F.concat(F.lit("pp. "), first.cast("string"), F.lit("-"), last.cast("string")))
+    return F.concat(F.lit("("), author, F.lit(", "), year, F.lit(", "), pages, F.lit(")"))
+
+
+def sanitized_name(name: Column | str) -> Column:
+    """File name rules for names without percent signs: scheme off, dangerous characters and runs of separators to one
+    underscore, ends trimmed, .pdf put back."""
+    n = F.regexp_replace(F.replace(col(name), F.lit("+"), F.lit(" ")), "^blob:", "")
+    n = F.regexp_replace(n, "^(https://|http://|file:///|file://|https:|http:|file:)", "")
+    n = F.regexp_replace(n, r"(?i)\.pdf$", "")
+    n = F.regexp_replace(n, r"[:?&#\\/\"'\p{Cc}]", "_")
+    n = F.regexp_replace(n, r"[_\s]+", "_")
+    n = F.regexp_replace(n, r"^_+|_+$", "")
+    return F.when(n == "", "unnamed_reference.pdf").otherwise(F.concat(n, F.lit(".pdf")))

@@ -1,0 +1,58 @@
+"""Session state: query tails, id sets, centroids, expiry."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def query_tail(signals: DataFrame, most: int = 50) -> DataFrame:
+    """Per session the last queries in order, and how many there were. most 0 keeps all."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
+    out = signals.groupBy("session_id").agg(ordered.alias("queries"), F.count("*").alias("query_count"))
+    return out if most == 0 else out.withColumn("queries", F.slice("queries", F.greatest(F.lit(1), F.size("queries") - most + 1), most))
+
+
+def id_sets(signals: DataFrame, id_col: str = "at") -> DataFrame:
+    """Per session its ids without repeats, in the order of first mention."""
+    firsts = signals.groupBy("session_id", id_col).agg(F.min("turn").alias("turn"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("turn", id_col))), lambda s: s[id_col])
+    return firsts.groupBy("session_id").agg(ordered.alias("ids"))
+
+
+def unexpired(sessions: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """Sessions seen within so many days; 0 keeps all."""
+    return sessions if days == 0 else sessions.where(F.col("last_seen_at") >= now - days * 86400)
+
+
+def fold_centroid(old, new, smoothing: float = 0.1):
+    """One step of the moving average, brought back to unit length."""
+    import numpy as np
+
+    new = np.asarray(new, float)
+    mixed = new if old is None else smoothing * new + (1 - smoothing) * np.asarray(old, float)
+    norm = np.linalg.norm(mixed)
+    return mixed / norm if norm else mixed
+
+
+def centroids(signals: DataFrame, smoothing: float = 0.1) -> DataFrame:
+    """Per session the centroid over its signals' vectors in order. A plain ordered fold inside the JVM: each step mixes and
+    normalises, which no closed form gives."""
+    vec = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("embedding").cast("array<double>").alias("v")))), lambda s: s["v"])
+    folded = signals.where("embedding is not null").groupBy("session_id").agg(vec.alias("vs"))
+
+    def unit(v):
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(v, lambda x: F.when(norm == 0, x).otherwise(x / norm))
+
+    def step(acc, v):
+        return unit(F.when(F.size(acc) == 0, v).otherwise(F.zip_with(v, acc, lambda n, o: smoothing * n + (1 - smoothing) * o)))
+
+    return folded.select("session_id", F.size("vs").alias("signals"), F.aggregate("vs", F.array().cast("array<double>"), step).alias("centroid"))
+
+
+def session_id(seconds: Column) -> Column:
+    """Eight hex digits of the time, eight of chance."""
+    return F.lower(F.concat(F.lpad(F.hex(seconds), 8, "0"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)))
+
+
