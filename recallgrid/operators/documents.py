@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.scalars import title_case  # noqa: F401  part of this module's surface
-from recallgrid.functions.text import tokens
-from recallgrid.operators.retrieval import bm25
+from recallgrid.functions.text import query_phrases, tokens
+from recallgrid.operators.retrieval import bm25_part, counted
 
 PAGE_BYTES = 3000
 PAGE_MARK = "<<<PAGE {}>>>\n"
@@ -45,7 +45,7 @@ class Profile(Protocol):
 
     id: str
 
-    def matches(self, name: str, sample: str) -> bool: ...
+    def matches(self, name: Column, sample: Column) -> Column: ...
 
     def sections(self, pages: list[tuple[int, str]]) -> list[dict]: ...
 
@@ -91,9 +91,9 @@ class Manual:
     }
     ENTRY = r"^([A-Z][a-zA-Z\-\s,()]+(?:Disorder|Syndrome|Episode|Specifier))\s*$"
 
-    def matches(self, name: str, sample: str) -> bool:
-        low = name.lower()
-        return ("dsm" in low and ("5" in low or "tr" in low)) or any(s in sample for s in ("Diagnostic and Statistical Manual", "DSM-5-TR", "American Psychiatric Association"))
+    def matches(self, name: Column, sample: Column) -> Column:
+        named = F.lower(name).contains("dsm") & F.lower(name).rlike("5|tr")
+        return named | sample.rlike("Diagnostic and Statistical Manual|DSM-5-TR|American Psychiatric Association")
 
     def sections(self, pages: list[tuple[int, str]]) -> list[dict]:
         full = "\n".join(PAGE_MARK.format(n) + text for n, text in pages)
@@ -118,9 +118,9 @@ class Ethics:
 
     id = "nasw_ethics"
 
-    def matches(self, name: str, sample: str) -> bool:
-        low = name.lower()
-        return ("nasw" in low and "ethics" in low) or all(w in low for w in ("code", "ethics", "social"))
+    def matches(self, name: Column, sample: Column) -> Column:
+        low = F.lower(name)
+        return low.contains("ethics") & (low.contains("nasw") | (low.contains("code") & low.contains("social")))
 
     def sections(self, pages: list[tuple[int, str]]) -> list[dict]:
         heads = [
@@ -135,28 +135,51 @@ PROFILES: list[Profile] = [Manual(), Ethics()]
 SECTION = "source string, rowid long, profile string, title string, parent string, page_start int, page_end int, content string, codes array<string>, section_type string"
 
 
+def profiled(paged: DataFrame, profiles: list[Profile]) -> DataFrame:
+    """(source, profile) of the sources that a profile knows, by name or by their first five pages; the first that does counts."""
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("page_number"))
+    firsts = paged.withColumn("rank", rank).where("rank <= 5").groupBy("source").agg(F.array_join(F.collect_list("content"), "\n").alias("sample"))
+    known = F.coalesce(*(F.when(p.matches(F.col("source"), F.col("sample")), p.id) for p in profiles), F.lit(None).cast("string"))
+    return firsts.select("source", known.alias("profile")).where("profile is not null")
+
+
 def index(paged: DataFrame, profiles: list[Profile] | None = None) -> DataFrame:
-    """Sections of each source whose profile parses, else its pages with negative row ids. One source is one task's group, as
-    a document is read in order."""
+    """Sections of each source whose profile parses, else its pages with negative row ids. A source with a profile is one
+    task's group, as a document is read in order; all others never leave the JVM."""
     import pandas as pd
 
     known = PROFILES if profiles is None else profiles
+    by_id = {p.id: p for p in known}
+    names = [c.split()[0] for c in SECTION.split(", ")]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_number")
-        source, numbered = pdf["source"].iloc[0], list(zip(pdf["page_number"].tolist(), pdf["content"].tolist(), strict=True))
-        sample = "\n".join(t for _, t in numbered[:5])
-        profile = next((p for p in known if p.matches(source, sample)), None)
-        rows = profile.sections(numbered) if profile else []
+        numbered = list(zip(pdf["page_number"].tolist(), pdf["content"].tolist(), strict=True))
+        rows = by_id[pdf["profile"].iloc[0]].sections(numbered)
         for i, r in enumerate(rows, 1):
             r["rowid"] = i
         if not rows:
             rows = [{"rowid": -n, "title": f"Page {n}", "parent": None, "page_start": n, "page_end": n, "content": t, "codes": [], "section_type": "page"} for n, t in numbered]
         out = pd.DataFrame(rows)
-        out["source"], out["profile"] = source, profile.id if profile else "pages"
-        return out[[c.split()[0] for c in SECTION.split(", ")]]
-
-    return paged.groupBy("source").applyInPandas(build, SECTION)
+        out["source"], out["profile"] = pdf["source"].iloc[0], pdf["profile"].iloc[0]
+        return out[names]
+
+    told = profiled(paged, known)
+    parsed = paged.join(told, "source").groupBy("source").applyInPandas(build, SECTION)
+    n = F.col("page_number")
+    bare = paged.join(told, "source", "left_anti").select(
+        "source",
+        (-n).cast("long").alias("rowid"),
+        F.lit("pages").alias("profile"),
+        F.concat(F.lit("Page "), n.cast("string")).alias("title"),
+        F.lit(None).cast("string").alias("parent"),
+        n.cast("int").alias("page_start"),
+        n.cast("int").alias("page_end"),
+        "content",
+        F.array().cast("array<string>").alias("codes"),
+        F.lit("page").alias("section_type"),
+    )
+    return parsed.unionByName(bare)
 
 
 def parse_query(query: str) -> list[tuple[str, str]]:
@@ -173,29 +196,22 @@ def parse_query(query: str) -> list[tuple[str, str]]:
 
 def search(sections: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """(source, rowid, title, snippet, score) over title, content and codes, best first over all sources."""
-    steps = parse_query(query)
-    body = F.concat_ws(" ", "title", "content", F.array_join("codes", " "))
-    docs = sections.withColumn("id", F.struct("source", "rowid")).withColumn("body", body)
+    steps = [(op, *query_phrases("-".join(p.split()))) for op, p in parse_query(query)]
+    steps = [s for s in steps if len(s) == 2]
     if not steps:
         return sections.select("source", "rowid", "title", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
-    found = None
-    for op, phrase in steps:
-        hits = bm25(docs, "-".join(phrase.split()), content="body").select("id", "score")
-        if found is None:
-            found = hits if op != "NOT" else docs.select("id", F.lit(0.0).alias("score")).join(hits.select("id"), "id", "left_anti")
-        elif op == "AND":
-            found = found.join(hits.withColumnRenamed("score", "more"), "id").select("id", (F.col("score") + F.col("more")).alias("score"))
-        elif op == "OR":
-            found = found.unionByName(hits).groupBy("id").agg(F.sum("score").alias("score"))
-        else:
-            found = found.join(hits.select("id"), "id", "left_anti")
-    wanted = [w for op, p in steps if op != "NOT" for w in p.split()]
-    return (
-        found.join(docs, "id")
-        .select("source", "rowid", "title", snippet(F.col("content"), wanted).alias("snippet"), "score")
-        .orderBy(F.desc("score"), "source", "rowid")
-        .limit(limit)
-    )
+    body = F.concat_ws(" ", "title", "content", F.array_join("codes", " "))
+    docs = sections.withColumn("id", F.struct("source", "rowid")).withColumn("body", body)
+    rows, stats = counted(docs, [p for _, p in steps], "body")
+    wanted_rows, score = F.lit(True), F.lit(0.0)
+    for i, (op, _) in enumerate(steps):
+        hit = F.col(f"tf{i}") > 0
+        wanted_rows = (wanted_rows & ~hit) if op == "NOT" else hit if not i else (wanted_rows | hit) if op == "OR" else (wanted_rows & hit)
+        score = score if op == "NOT" else score + bm25_part(i)
+    found = rows.where(wanted_rows).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    wanted = [w for op, p in steps if op != "NOT" for w in p]
+    top = found.orderBy(F.desc("score"), "id").limit(limit)  # snippets are made for what is shown
+    return docs.join(F.broadcast(top), "id").select("source", "rowid", "title", snippet(F.col("content"), wanted).alias("snippet"), "score")
 
 
 def snippet(content: Column, words: list[str], width: int = 40) -> Column:
@@ -206,7 +222,7 @@ def snippet(content: Column, words: list[str], width: int = 40) -> Column:
     def hit(w: Column) -> Column:
         return F.exists(tokens(w), lambda t: t.isin(*low))
 
-    first = F.coalesce(F.element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts))), lambda i: hit(F.get(parts, i - 1))), 1), F.lit(1))
+    first = F.coalesce(F.array_min(F.transform(parts, lambda w, i: F.when(hit(w), i + 1))), F.lit(1))
     start = F.greatest(F.lit(1), F.least(first - width // 2, F.size(parts) - width + 1))
     shown = F.transform(F.slice(parts, start, width), lambda w: F.when(hit(w), F.concat(F.lit(">>>"), w, F.lit("<<<"))).otherwise(w))
     return F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size(parts) >= start + width, "...").otherwise(""))

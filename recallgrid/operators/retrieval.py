@@ -43,24 +43,35 @@ def _count(phrase: list[str]) -> Column:
     return F.regexp_count("joined", F.lit(f"(?= {' '.join(phrase)} )"))
 
 
-def bm25(docs: DataFrame, query: str, k: int | None = None, content: str = "content", k1: float = 1.2, b: float = 0.75, toks: Column | None = None) -> DataFrame:
-    """(id, score) of documents that hold every phrase of the query, best first.
+def counted(docs: DataFrame, phrases: list[list[str]], content: str = "content", toks: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, len, tf0, tf1, ...) of each document, and one row of statistics: n, avg_len, df0, df1, ...
 
-    Only the query's terms are counted, so documents aren't exploded; the statistics are one aggregated row.
+    Only the query's terms are counted, so documents aren't exploded.
     """
+    joined = F.concat(F.lit(" "), F.array_join(tokens(content) if toks is None else toks, " "), F.lit(" "))
+    rows = docs.where(F.col(content).isNotNull()).select("id", joined.alias("joined"))
+    length = F.when(F.col("joined") == "  ", 0).otherwise(F.regexp_count("joined", F.lit(" ")) - 1)
+    rows = rows.select("id", length.alias("len"), *(_count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
+    return rows, stats
+
+
+def bm25_part(i: int, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What phrase i adds to a document's score; rows and statistics stand side by side."""
+    idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+    tf = F.col(f"tf{i}")
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+
+
+def bm25(docs: DataFrame, query: str, k: int | None = None, content: str = "content", k1: float = 1.2, b: float = 0.75, toks: Column | None = None) -> DataFrame:
+    """(id, score) of documents that hold every phrase of the query, best first."""
     phrases = query_phrases(query)
     if not phrases:
         return docs.select("id", F.lit(0.0).alias("score")).where("false")
-    counted = docs.where(F.col(content).isNotNull()).select("id", F.concat(F.lit(" "), F.array_join(tokens(content) if toks is None else toks, " "), F.lit(" ")).alias("joined"))
-    counted = counted.select("id", F.when(F.col("joined") == "  ", 0).otherwise(F.regexp_count("joined", F.lit(" ")) - 1).alias("len"), *(_count(p).alias(f"tf{i}") for i, p in enumerate(phrases)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))))
-    hits = counted.where(reduce(lambda x, y: x & y, (F.col(f"tf{i}") > 0 for i in range(len(phrases))))).crossJoin(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    rows, stats = counted(docs, phrases, content, toks)
+    hits = rows.where(reduce(lambda x, y: x & y, (F.col(f"tf{i}") > 0 for i in range(len(phrases))))).crossJoin(F.broadcast(stats))
+    score = reduce(lambda x, y: x + y, (bm25_part(i, k1, b) for i in range(len(phrases))))
     out = hits.select("id", score.alias("score")).orderBy(F.desc("score"), "id")
     return out if k is None else out.limit(k)
 

@@ -605,8 +605,8 @@ def _days(spark, d):
 
 @query(
     "temporal_weekdays",
-    f"""WITH {DAYS} SELECT d, CAST(d - ((isodow(d) - 7 - 1) % 7 + 7) % 7 - 1 AS DATE) AS last_sunday, CAST(d + ((3 - isodow(d) - 1) % 7 + 7) % 7 + 1 AS DATE) AS next_wednesday,
-  CAST(d - (isodow(d) - 1) AS DATE) AS week_start, dayname(d) AS day_name FROM (SELECT d, d FROM dd) t(d, e)""",
+    f"""WITH {DAYS} SELECT d, CAST(d - ((isodow(d)::INTEGER - 7 - 1) % 7 + 7) % 7 - 1 AS DATE) AS last_sunday, CAST(d + ((3 - isodow(d)::INTEGER - 1) % 7 + 7) % 7 + 1 AS DATE) AS next_wednesday,
+  CAST(d - (isodow(d)::INTEGER - 1) AS DATE) AS week_start, dayname(d) AS day_name FROM dd""",
 )
 def temporal_weekdays(spark, d):
     x = F.col("d")
@@ -624,7 +624,7 @@ def temporal_months(spark, d):
 
 @query(
     "temporal_weekends",
-    f"""WITH {DAYS} SELECT d, CAST(d - ((isodow(d) - 7 - 1) % 7 + 7) % 7 - 1 - 8 AS DATE) AS two_before, CAST(d + ((6 - isodow(d) - 1) % 7 + 7) % 7 + 1 AS DATE) AS one_after FROM dd""",
+    f"""WITH {DAYS} SELECT d, CAST(d - ((isodow(d)::INTEGER - 7 - 1) % 7 + 7) % 7 - 1 - 8 AS DATE) AS two_before, CAST(d + ((6 - isodow(d)::INTEGER - 1) % 7 + 7) % 7 + 1 AS DATE) AS one_after FROM dd""",
 )
 def temporal_weekends(spark, d):
     return _days(spark, d).select("d", tm.weekend_before(F.col("d"), 2).alias("two_before"), tm.weekend_after(F.col("d")).alias("one_after"))
