@@ -13,8 +13,8 @@ all rows is summed by many tasks.
 
 Defined results: null text has size 0; null source is a source of its own, the last; documents of size 0 are
 drawn as others are but take no words; a source whose size is 0 has target 0 and no copies; an empty table
-gives an empty one; rows with equal ids are drawn each for itself. Input columns keep their names and values;
-the operator's own columns start with ``mix_``.
+gives an empty one; rows with equal ids are drawn each for itself. Input columns of whatever
+names are carried in one struct.
 """
 
 from __future__ import annotations
@@ -54,39 +54,28 @@ def mix(
     most: float = 2.0,
     seed: str = "mix",
 ) -> DataFrame:
-    """The input rows with mix_size, mix_source_size, mix_target and mix_copies."""
-    size = n_words(F.col("text")) if size is None else size
+    """Per input row: row (a struct of the input's columns), size, source_size, target, copies."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), (n_words(F.col("text")) if size is None else size).alias("size"))
     placed = written(
-        docs.withColumn("mix_size", size)
-        .repartitionByRange(F.col(source_col).asc_nulls_last(), F.col("mix_size").desc(), F.col(id_col))
-        .withColumn("mix_part", F.spark_partition_id()),
+        rows.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id")).withColumn("part", F.spark_partition_id()),
         "mix",
     )
-    parts = placed.groupBy(F.col(source_col).alias("source"), "mix_part").agg(F.sum("mix_size").alias("words"), F.count("*").alias("rows"))
+    parts = placed.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     sizes = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     step = F.when(F.col("source_size") > 0, F.least(F.lit(int(most * ONE)), F.floor(F.col("target") / F.col("source_size") * ONE + 0.5))).otherwise(0)
     # The offset lies in [0, 1).
     sizes = sizes.withColumn("step", step.cast("long")).withColumn("offset", F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0"))), F.lit(ONE)))
-    earlier = Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.withColumn("start", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-    starts = starts.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
-        F.struct("source", F.col("mix_part").alias("part"), "start", "source_size", "target", "step", "offset").alias("mix_of")
-    )
-    out = placed.join(starts, (F.col("mix_part") == F.col("mix_of.part")) & F.col(source_col).eqNullSafe(F.col("mix_of.source")))
-    rank = F.row_number().over(Window.partitionBy(source_col, "mix_part").orderBy(F.col("mix_size").desc(), F.col(id_col)))
-    upto = (F.col("mix_of.start") + F.col("mix_rank")) * F.col("mix_of.step") + F.col("mix_of.offset")
-    crossed = F.expr(f"(mix_upto div {ONE}) - ((mix_upto - mix_of.step) div {ONE})")
-    return (
-        out.withColumn("mix_rank", rank)
-        .withColumn("mix_upto", upto)
-        .withColumn("mix_copies", crossed.cast("long"))
-        .withColumn("mix_source_size", F.col("mix_of.source_size"))
-        .withColumn("mix_target", F.col("mix_of.target"))
-        .drop("mix_upto", "mix_rank", "mix_of", "mix_part")
-    )
+    starts = starts.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    starts = starts.select(F.col("source").alias("of"), F.col("part").alias("at"), "start", "source_size", "target", "step", "offset")
+    out = placed.join(starts, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
+    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "id"))
+    out = out.withColumn("upto", (F.col("start") + rank) * F.col("step") + F.col("offset"))
+    crossed = F.expr(f"(upto div {ONE}) - ((upto - step) div {ONE})")
+    return out.select("row", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def emitted(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it was drawn, without the operator's columns."""
-    copies = F.expr("explode(array_repeat(true, cast(mix_copies as int)))").alias("mix_one")
-    return mixed.select("*", copies).drop("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_one")
+    """The mix itself: each document as often as it was drawn."""
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("one")).select("row.*")

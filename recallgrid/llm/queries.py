@@ -22,13 +22,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("words")), size=F.col("words"))
-    return mixed.select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
-    )
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

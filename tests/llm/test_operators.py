@@ -1,0 +1,433 @@
+"""Each operator against plain Python on small tables that hold every odd case."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from recallgrid.llm import exact_dedup, html_text, jaccard_join, lm_scoring, mixing, nearest, quality, queries, sentencepieces, substring_dedup, toxicity
+from recallgrid.llm import common
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, norm string, doc long, node long, size long, score double, key long, mix_rank long"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def row(i, text, source="a", lang="en"):
+    return (i, text, lang, source, None if text is None else len(text), "x", 1, 2, 3, 4.0, 5, 6)
+
+
+def corpus():
+    rng = random.Random(5)
+    vocabulary = ["w%d" % i for i in range(400)] + ["É", "naïve", "日本", "A"]
+
+    def words(n):
+        return [rng.choice(vocabulary) for _ in range(n)]
+
+    base, passage = words(300), words(70)
+    rows = [row(0, None), row(1, ""), row(2, " \t\n"), row(3, "one"), row(4, "One"), row(5, "one  two"), row(6, " one two"), row(7, "one\ttwo")]
+    rows += [row(10 + k, " ".join(base), None if k % 2 else "b") for k in range(4)]
+    for k in range(12):  # near copies of several degrees
+        edited = list(base)
+        for _ in range(k):
+            edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+        rows.append(row(20 + k, "\n".join(edited), "c"))
+    for k in range(8):  # a shared passage in texts of their own
+        rows.append(row(40 + k, " ".join(words(rng.randrange(0, 90)) + passage[: 70 - k] + words(rng.randrange(0, 60))), "hot"))
+    rows += [row(60 + k, " ".join(words(rng.randrange(1, 12))), "hot") for k in range(30)]
+    rows.append(row(99, " ".join(words(20000)), "hot"))
+    rows.append(row(98, "x" * 20000, "hot"))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_html():
+    page = (
+        "<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class='ad'>Buy</div>"
+        "<article><header><h1>Head  &amp;\n line</h1></header><p><b>First<br>line<p>Short.</p><aside>side</aside><script>var a='</p>'</script><form><input>go</form>"
+        "<section class='comments'><article><p>I agree</article></section></article><div class='cookie-notice'>Cookies</div><footer>F</footer></body></html>"
+    )
+    assert html_text.main_text(page) == "Head & line\nFirst\nline\nShort."
+    soup = "<div class=menu><a>a</a><a>b</a></div><div><p>A long paragraph of &lt;real&gt; text that goes on for a while, with more words.</p><p>End.</p></div>"
+    assert html_text.main_text(soup) == "A long paragraph of <real> text that goes on for a while, with more words.\nEnd."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
+    assert html_text.main_text("<nav>open<article><p>Body</article>") == "Body"
+    assert html_text.main_text("plain text") == "plain text"
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in html_text.extracted(pages).collect())
+    assert got == [(1, "u", "a", 1), (1, "u", "a", 1), (2, "", "", 0)]
+    assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def shingle_set(text, n):
+    w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, n, num, den):
+    sets = {r[0]: shingle_set(r[1], n) for r in rows}
+    of = {i: i for i in sets}
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                of[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("n", "threshold", "num", "den", "tile"), [(4, "0.85", 85, 100, 4096), (5, "0.8", 80, 100, 2)])
+def test_jaccard(docs, n, threshold, num, den, tile):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, n, threshold, tile_rows=tile).collect()}
+    assert got == brute_components(corpus(), n, num, den)
+
+
+def test_jaccard_random_chains(spark):
+    """Chains of small edits, whose ends aren't alike, and a boilerplate that makes most of many texts."""
+    rng = random.Random(9)
+    rows, line = [], [str(rng.random()) for _ in range(60)]
+    text = [str(rng.random()) for _ in range(120)]
+    for k in range(25):
+        text = list(text)
+        text[rng.randrange(120)] = str(rng.random())
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, " ".join(line + [str(rng.random()) for _ in range(k)])) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame, 4, "0.85", tile_rows=8).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
+def test_sketch_bounds_difference():
+    rng = np.random.default_rng(1)
+    for n in (5, 80, 900, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)]))
+        difference = len(np.setxor1d(a, b))
+        assert jaccard_join.hamming(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= difference
+
+
+def test_jaccard_empty(empty):
+    assert jaccard_join.near_duplicates(empty).count() == 0
+
+
+def water_levels(sizes, share=1.5):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, free, out = share * sum(sizes.values()), set(names), {}
+    while free:
+        total = sum(weight[s] for s in free)
+        over = [s for s in free if left * weight[s] / total > 2 * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= set(over)
+    return out
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(corpus())
+    sizes, taken = Counter(), Counter()
+    for r in corpus():
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    want = water_levels(dict(sizes))
+    for r in rows:
+        assert r.size == len(WORD.findall(r.row.text or "")) and r.source_size == sizes[r.row.source]
+        assert 0 <= r.copies <= 2 and r.target == pytest.approx(want[r.row.source])
+        taken[r.row.source] += r.copies * r.size
+    for s in sizes:
+        largest = max(len(WORD.findall(x[1] or "")) for x in corpus() if x[3] == s)
+        assert abs(taken[s] - want[s]) <= largest
+    again = {r.row.doc_id: r.copies for r in mixing.mix(docs.repartition(5)).collect()}
+    assert again == {r.row.doc_id: r.copies for r in rows}
+    mixed = mixing.emitted(mixing.mix(docs))
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in rows)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
+    v[700:760] = v[5]  # a hot vector
+    rows = [(i, [float(x) for x in a], 9) for i, a in enumerate(v)]
+    rows += [(5000, None, 0), (5020, [], 0), (5040, [0.0] * 16, 0), (5060, [float("nan")] * 16, 0), (5080, [None] * 16, 0), (5100, [float("inf")] * 16, 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    got = defaultdict(list)
+    for r in nearest.neighbours(frame, lambda i: i % 20 == 0, block_rows=400, chunk_rows=30).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 1500, 20):
+        s = nearest.dots(v, v[q])
+        order = [i for i in np.lexsort((np.arange(1500), -s)) if i != q][:20]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 21)) and all(m[2] == s[m[1]] for m in mine)
+        assert all(x[2] > y[2] or (x[2] == y[2] and x[1] < y[1]) for x, y in zip(mine, mine[1:]))
+        hits += len({m[1] for m in mine} & set(order))
+    assert set(got) == set(range(0, 1500, 20)) and hits / (20 * 75) >= 0.9
+    few = nearest.neighbours(frame.where("vec_id < 3"), lambda i: i % 20 == 0).collect()
+    assert [(r.query_id, r["rank"]) for r in few] == [(0, 1), (0, 2)]
+    assert nearest.neighbours(frame.limit(0)).count() == 0
+
+
+def test_chi_square():
+    rng = np.random.default_rng(0)
+    sample = (rng.standard_normal((200_000, 8)) ** 2).sum(axis=1)
+    assert (sample < nearest.chi_square_quantile(0.97, 8)).mean() == pytest.approx(0.97, abs=0.003)
+
+
+def weak(c):
+    """A hash of two values, so chunks clash all the time."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(c), F.lit(2))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_exact(docs, empty, clash):
+    got = (exact_dedup.exact_duplicates(docs, hash_fn=weak) if clash else exact_dedup.exact_duplicates(docs)).collect()
+    norm = {r[0]: re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in corpus()}
+    groups = defaultdict(list)
+    for i, t in norm.items():
+        groups[t].append(i)
+    assert len(got) == len(norm)
+    for r in got:
+        own = groups[norm[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept) == (min(own), len(own), r.doc_id == min(own))
+        assert r.text_sha256 == hashlib.sha256(norm[r.doc_id].encode()).hexdigest()
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+
+
+def test_exact_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a  b"), (3, "c")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(rows).collect())
+    assert got == [(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True)]
+
+
+def test_lm(docs, empty, spark):
+    targets = spark.createDataFrame([(i,) for i in range(40, 48)], "doc_id long")
+    models = lm_scoring.fitted(docs, targets)
+    rows = {r.doc_id: r for r in lm_scoring.scored(docs, models).collect()}
+    assert len(rows) == len(corpus()) and rows[0].n_tokens == 1 and rows[3].n_tokens == 4
+    assert all(np.isfinite(r.score) and r.score == pytest.approx(r.target_loss - r.background_loss) for r in rows.values())
+    alike = np.mean([rows[i].score for i in range(40, 48)])
+    assert alike < rows[98].score
+    assert lm_scoring.scored(empty, lm_scoring.fitted(empty, targets)).count() == 0
+    none = lm_scoring.fitted(docs, targets.limit(0))
+    assert lm_scoring.scored(docs, none).count() == len(corpus())
+
+
+def test_lm_against_counts():
+    """Losses by dictionaries of counts."""
+    texts, order = ["abab", "abc", None], lm_scoring.ORDER
+    counts = Counter()
+    seqs = [[*lm_scoring.BEGIN, *map(ord, t or ""), lm_scoring.END] for t in texts]
+    for s in seqs:
+        for n in range(1, order + 1):
+            counts.update(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+    total = sum(len(s) for s in seqs)
+
+    def loss(s):
+        out = []
+        for i in range(order - 1, len(s)):
+            p = 1 / lm_scoring.VOCABULARY
+            for n in range(1, order + 1):
+                context = total if n == 1 else counts[tuple(s[i - n + 1 : i])]
+                p = (counts[tuple(s[i - n + 1 : i + 1])] + 5 * p) / (context + 5)
+            out.append(-np.log(p))
+        return np.mean(out)
+
+    table = np.zeros((1 << 16, 2), np.float32)
+    seq, starts = lm_scoring.tokens(texts)
+    index = lm_scoring.valid(starts, len(seq))
+    for n, at in enumerate(lm_scoring.places(seq, 16), 1):
+        np.add.at(table, (at[index >= n - 1], 1), 1)
+    models = lm_scoring.Models(16, table, [0.0, float(total)], 5.0)
+    _, target, background = models.losses(texts)
+    assert background == pytest.approx([loss(s) for s in seqs], rel=1e-4)
+    assert (target > background).all()
+
+
+def model_or_skip():
+    try:
+        return queries.tokenizer_model()
+    except (ImportError, OSError):
+        pytest.skip("no tokenizer file here")
+
+
+def test_sentencepiece(docs, empty):
+    import struct
+
+    model = model_or_skip()
+    codec = sentencepieces.codec(model)
+    for r in sentencepieces.digests(docs, model).collect():
+        text = next(x[1] for x in corpus() if x[0] == r.doc_id) or ""
+        ids = codec.library.encode(text, add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(codec.library.decode(ids).encode()).hexdigest()
+    assert sentencepieces.digests(empty, model).count() == 0
+
+
+def test_sentencepiece_fuzz():
+    codec = sentencepieces.codec(model_or_skip())
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "\t", "▁", "a", "the", "é", "\0", "<s>", "<unk>", "<0x41>", "ß", "日本", "\r", "　", "​", "ing", "99", ".", "x" * 30]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(10)))
+        ids = codec.library.encode(text, add_bos=True, add_eos=True)
+        packed = codec.packed(text)
+        assert codec.ids(text) == ids and codec.decoded(text, packed) == codec.library.decode(ids)
+        spans = codec.spans(text)
+        if spans:
+            assert spans[0][2] == 0 and spans[-1][3] == len(text.encode())
+            assert all(x[3] == y[2] for x, y in zip(spans, spans[1:]))
+
+
+def darts(keys):
+    """A double array over byte strings, one unit for each state, for a few keys."""
+    out = [0] * 70000
+    used, bases = {0}, {0}
+
+    def place(node, items):
+        children = sorted({k[0] if k else 0 for k, _ in items})
+        base = 256
+        while any((base ^ c) in used for c in children) or base in bases:
+            base += 256
+        used.update(base ^ c for c in children)
+        bases.add(base)
+        offset = node ^ base
+        out[node] |= offset << 10
+        for c in children:
+            child = base ^ c
+            own = [(k[1:], v) for k, v in items if (k[0] if k else 0) == c and k]
+            ends = [v for k, v in items if not k] if c == 0 else []
+            if ends:
+                out[child] = ends[0] | 1 << 31
+                out[node] |= 1 << 8
+            else:
+                out[child] |= c
+                place(child, own)
+
+    place(0, keys)
+    return out[: max(used) + 256]
+
+
+def test_charsmap_alignment():
+    """Longest prefixes win, and every normalised byte knows its source."""
+    import struct
+
+    strings = b"fi\0f\0\0"
+    keys = [("ﬁ".encode(), 0), ("ｆ".encode(), 3), ("­".encode(), 5)]
+    units = darts(keys)
+    blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + strings
+
+    def field(number, data):
+        n, length = len(data), b""
+        while n > 127:
+            length += bytes([n & 127 | 128])
+            n >>= 7
+        return bytes([number << 3 | 2]) + length + bytes([n]) + data
+
+    spec = field(2, blob) + bytes([3 << 3, 0, 4 << 3, 0, 5 << 3, 1])
+    normalizer = sentencepieces.Normalizer(spec)
+    text = "aﬁ­ｆ b"
+    out, align = normalizer.normalize(text)
+    assert out == "afif▁b".encode()
+    assert align == [0, 1, 1, 6, 9, 9, 9, 10, 11]
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    words = ["w%s" % "".join(rng.choice("bcdfgkmnp") for _ in range(6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        text = rng.choices(words, k=rng.randrange(5, 60))
+        bad = i % 5 == 0
+        if bad:
+            text[rng.randrange(len(text))] = rng.choice(["idiot", "1d10t", "IDIOT!", "іdіot", "scumbag", "scummy"])
+        rows.append((i, " ".join(text), 9.0))
+        labels.append((i, int(bad), 1))
+    rows += [(1000, None, 0.0), (1001, "", 0.0), (1002, "Ｉｄｉｏｔ", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    told = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    lexicon = toxicity.fitted(docs, told)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, lexicon).collect()}
+    truth = {i: y for i, y, _ in labels}
+    held = [r.doc_id for r in docs.where(toxicity.is_held_out(docs.doc_id)).collect()]
+    assert np.mean([(got[i] >= 0.5) == bool(truth[i]) for i in held if i in truth]) > 0.97
+    assert got[1000] == got[1001] < 0.5 and got[1002] >= 0.5
+    kept = toxicity.scored(docs, lexicon, whole=True)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
+    flat = toxicity.fitted(docs, told.limit(0))
+    assert {r.score for r in toxicity.scored(docs, flat).collect()} == {toxicity.learned([]).score("x")}
+    assert toxicity.scored(docs.limit(0), lexicon).count() == 0
+
+
+def test_toxicity_exceptions():
+    rows = [(f"the clown fish swims {i} alpha{i}", 0) for i in range(60)] + [(f"you clown {i} beta{i} go", 1) for i in range(40)] + [(f"calm words {i} gamma{i}", 0) for i in range(100)]
+    lexicon = toxicity.learned(rows, precision=0.5)
+    assert lexicon.score("what a clown you are") > lexicon.score("a clown fish")
+
+
+def test_substrings(docs, empty):
+    for width in (50, 12):
+        want, first = {}, {}
+        for i, text, *_ in sorted(corpus(), key=lambda r: r[0]):
+            w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+            off = [False] * len(w)
+            for k in range(len(w) - width + 1):
+                if first.setdefault(tuple(w[k : k + width]), i) < i:
+                    off[k : k + width] = [True] * width
+            want[i] = (len(w), sum(off), hashlib.sha256(b" ".join(x for x, o in zip(w, off) if not o)).hexdigest())
+        got = substring_dedup.without_repeats(docs, width, texts=True).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+        assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got if r.n_removed)
+    assert substring_dedup.without_repeats(empty).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 4 > 0
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) + ("" if good else "###") for _ in range(40))
+        rows.append((i, text, "en", "good" if good and rng.random() < 0.8 else "other", len(text), 1.0))
+        if i % 3:
+            labels.append((i, int(good)))
+    rows += [(900, None, None, None, None, 1.0), (900, None, None, None, None, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    told = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fitted(docs, told)
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    unseen = range(0, 400, 3)
+    assert np.mean([(got[i] >= 0.5) == (i % 4 > 0) for i in unseen]) > 0.97
+    assert 0 <= got[900] <= 1
+    flat = quality.fitted(docs, told.where("quality = 1"))
+    assert {r.score for r in quality.scored(docs, flat).collect()} == {1.0}
+    assert quality.scored(docs.limit(0), model).count() == 0
+
+
+def test_shared_dir(spark):
+    assert common.shared_dir(spark)
