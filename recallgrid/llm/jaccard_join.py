@@ -220,19 +220,25 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes in edges (a, b): comp is the least node reachable. Labels take the least label
-    among neighbours and then that label's own, until none changes."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
+    """(node, comp) for the nodes in edges (a, b), comp one for each component.
+
+    Each round every node takes the least of itself and its neighbours as its label, and the edges are drawn anew
+    between labels; an edge from a node to its label keeps the label and the label's label together. Stars vanish
+    in a round, and what is joined shrinks from round to round.
+    """
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    comps = None
     while True:
-        near = both.join(labels.toDF("b", "of_b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("of_b").alias("near"))
-        step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        new = step.join(jump, "next").select("node", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("changed"))
-        new = written(new, "labels")
-        labels = new.select("node", "comp")
-        if not new.where("changed").take(1):
-            return labels
+        ends = left.select(F.col("a").alias("node"), "b").union(left.select("b", "a"))
+        labels = written(ends.groupBy("node").agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+        if comps is None:
+            comps = labels.select("node", F.col("label").alias("comp"))
+        else:
+            comps = comps.join(labels.toDF("comp", "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
+        drawn = left.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b")
+        left = written(drawn.select(F.least("label_a", "label_b").alias("a"), F.greatest("label_a", "label_b").alias("b")).where("a != b").distinct(), "edges")
+        if not left.take(1):
+            return written(comps, "comps")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
