@@ -103,12 +103,12 @@ class Manual:
         def row(a, b, title, parent, code, kind):
             return {"title": title, "parent": parent, "page_start": _page_of(marks, a), "page_end": _page_of(marks, b), "content": re.sub(r"<<<PAGE \d+>>>\n?", "", full[a:b]), "codes": code, "section_type": kind}
 
-        for m, end in zip(entries, [*(x.start() for x in entries[1:]), len(full)], strict=True):
+        for m, end in zip(entries, [*(x.start() for x in entries[1:]), len(full)], strict=False):
             body, title = full[m.start() : end], m[0].strip()
             code = re.findall(r"F\d{2}(?:\.\d{1,2})?", body)
             out.append(row(m.start(), end, title, None, code, "disorder"))
             parts = sorted((body.find(h), h) for h in self.HEADERS if h in body)
-            for (at, header), to in zip(parts, [*(x for x, _ in parts[1:]), len(body)], strict=True):
+            for (at, header), to in zip(parts, [*(x for x, _ in parts[1:]), len(body)], strict=False):
                 out.append(row(m.start() + at, m.start() + to, f"{title} - {header}", title, code, self.HEADERS[header]))
         return out
 

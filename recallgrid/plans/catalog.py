@@ -309,7 +309,7 @@ def chain_hints(spark, d):
 @query(
     "delete_cascade",
     f"""WITH {MEM}, {ASSOC}, {ENRICH} SELECT (SELECT COUNT(*) FROM mem WHERE id % 10 <> 0) AS memories, (SELECT COUNT(*) FROM assoc WHERE from_id % 10 <> 0 AND to_id % 10 <> 0) AS edges,
-  (SELECT COUNT(*) FROM en WHERE memory_id % 10 <> 0) AS enrichments""",
+  (SELECT COUNT(*) FROM en WHERE memory_id NOT IN (SELECT id FROM mem WHERE id % 10 = 0)) AS enrichments""",
 )
 def delete_cascade(spark, d):
     m = views.mem(spark, d, vectors=False)
