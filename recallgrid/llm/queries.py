@@ -90,5 +90,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_ngram_jaccard_join": jaccard_join.OP2_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op9_substring_dedup": substring_dedup.OP9_SQL,
     }

@@ -194,3 +194,15 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     if texts:
         columns.append(F.when(copy, F.lit("")).otherwise(F.col("kept").cast("string")).alias("kept_text"))
     return out.select(*columns)
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM p),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM k),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS j FROM f WHERE first < doc_id),
+v AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+t AS (SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.j) AS kept, count(*) AS n FROM v ANTI JOIN c ON c.doc_id = v.doc_id AND c.j = v.j GROUP BY v.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON t.doc_id = w.doc_id
+"""
