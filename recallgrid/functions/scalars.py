@@ -110,6 +110,29 @@ def parse_epoch(text: Column | str) -> Column:
     return F.coalesce(F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("bigint")), stamp)
 
 
+def parse_epoch_loose(text: Column | str) -> Column:
+    """As parse_epoch, and fractional epochs (truncated), `17 July 2023` and `July 17, 2023`."""
+    t = F.trim(col(text))
+    named = F.coalesce(F.try_to_timestamp(t, F.lit("d MMMM yyyy")), F.try_to_timestamp(t, F.lit("MMMM d, yyyy")))
+    return F.coalesce(parse_epoch(text), F.when(t.rlike(r"^[+-]?\d*\.\d+$"), t.try_cast("double").cast("bigint")), F.unix_seconds(named))
+
+
+def vector_of(blob: Column | str) -> Column:
+    """Little-endian 32-bit floats of a binary column; null where its length is no multiple of four. Digits are read by
+    arithmetic on the hex form, so the import stays in the JVM."""
+    b = col(blob)
+    byte = lambda i: F.conv(F.hex(F.substr(b, i, F.lit(1))), 16, 10).cast("long")
+
+    def number(k: Column) -> Column:
+        word = byte(k) + byte(k + 1) * 256 + byte(k + 2) * 65536 + byte(k + 3) * 16777216
+        sign = F.when(word >= 2**31, -1.0).otherwise(1.0)
+        exponent, fraction = F.floor(word / 2**23) % 256, word % 2**23
+        return (F.when(exponent == 0, sign * fraction * F.lit(2.0**-149)).otherwise(sign * (1 + fraction / 2**23) * F.pow(F.lit(2.0), exponent - 127))).cast("float")
+
+    n = (F.octet_length(b) / 4).cast("int")
+    return F.when(F.octet_length(b) % 4 == 0, F.when(n == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: number(i * 4 + 1))))
+
+
 # Words that stay small in titles.
 SMALL_WORDS = ("to", "the", "in", "as", "of", "and", "or")
 

@@ -37,6 +37,11 @@ def without_vectors(memories: DataFrame) -> DataFrame:
     return memories.withColumn("embedding", F.lit(None).cast(kind))
 
 
+def for_model(memories: DataFrame, sessions: DataFrame, active: str, wanted: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors and sessions as they are, or cleared where they were made by another model."""
+    return (memories, sessions) if active == wanted else (without_vectors(memories), sessions.where("false"))
+
+
 class Store:
     """Tables under one root, each as numbered versions and a one-row pointer table, all through Spark's own file access.
 
@@ -64,3 +69,18 @@ class Store:
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}/{version}")
         self.spark.createDataFrame([(time.time_ns(), version)], "at long, version string").write.mode("append").json(self._pointers(name))
         return version
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a log, which has no versions."""
+        rows.write.mode("append").parquet(f"{self.root}/{name}/log")
+
+    def log(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/log")
+
+    def sink(self, name: str, keys: list[str]):
+        """For foreachBatch: each micro-batch is merged into the current version by its keys."""
+
+        def merge(batch: DataFrame, _: int) -> None:
+            self.write(name, upsert(self.read(name), batch.dropDuplicates(keys), keys) if self.current(name) else batch.dropDuplicates(keys))
+
+        return merge

@@ -172,6 +172,33 @@ def test_store(spark, tmp_path):
     assert {r.id: r.energy for r in s.read("mem").collect()} == {1: 0.1, 2: 0.9, 3: 0.3}
 
 
+def test_store_log_and_models(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "q")], "id long, query string")
+    s.append("access", rows)
+    s.append("access", rows)
+    assert s.log("access").count() == 2
+    merge = s.sink("mem", ["id"])
+    merge(rows, 0)
+    merge(spark.createDataFrame([(1, "r"), (2, "s")], "id long, query string"), 1)
+    assert {r.id: r.query for r in s.read("mem").collect()} == {1: "r", 2: "s"}
+    mems = spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>")
+    assert store.for_model(mems, rows, "a", "a")[0] is mems
+    cleared, none = store.for_model(mems, rows, "a", "b")
+    assert cleared.first().embedding is None and none.count() == 0
+
+
+def test_loose_times_and_vectors(spark):
+    import struct
+
+    said = ["1700000000.9", "17 July 2023", "July 17, 2023", "2023-07-17", "1700000000", "soon"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(sc.parse_epoch_loose("t")).collect()]
+    assert got == [1700000000, 1689552000, 1689552000, 1689552000, 1700000000, None]
+    values = [0.0, 1.5, -2.25, 3.4e38, 1e-40]
+    blobs = spark.createDataFrame([(bytearray(struct.pack("<5f", *values)),), (bytearray(b"abc"),), (bytearray(),)], "b binary").select(sc.vector_of("b")).collect()
+    assert blobs[0][0] == [struct.unpack("<f", struct.pack("<f", v))[0] for v in values] and blobs[1][0] is None and blobs[2][0] == []
+
+
 def test_identity(spark):
     items = spark.createDataFrame([("1", "persona_name", "Ada", None, None, None, 1), ("2", "trait", "kind", None, None, None, 2)], identity.SCHEMA)
     items = identity.add(identity.retyped(items, "trait", "value", "old"), "persona_name", "Eve", 3)
