@@ -8,10 +8,11 @@ more it is like the target. Tokens are code points with an end-of-text token; be
 p_n(w | context) = (c(context, w) + mu * p_{n-1}(w | shorter context)) / (c(context) + mu), down to a uniform
 distribution over the vocabulary.
 
-Counts are kept by hash of the n-gram in a table of 2**bits entries, both models in the same places. bits grows
-with the corpus up to ``max_bits``, which bounds what is sent to the executors (two float arrays: 8 bytes an
-entry). Tasks count in arrays of that size and shuffle sparse counts, which are summed by place; so what is
-gathered grows with the input and no task sees all of it.
+Counts are kept by the n-gram itself, in a distributed table that has one row for each distinct n-gram: there is no
+bound on its size, and no two n-grams share a count. Tasks count a few million tokens at a time and shuffle sparse
+counts, which are summed by n-gram. To score, documents are dealt into chunks of as many tokens; each chunk asks the
+table for its own distinct n-grams by a join and is scored with what comes back. Neither the table nor the corpus is
+gathered in one place; the driver sees two numbers, how many tokens each model has.
 
 Defined results: null and empty texts have one token, the end; without target documents the target counts are
 empty and the target model uniform; an empty table gives an empty one; repeated rows are counted and scored as
@@ -34,6 +35,10 @@ END = 0x110000
 BEGIN = tuple(0x110001 + i for i in range(ORDER - 1))
 #: Size of the vocabulary: code points and the end token.
 VOCABULARY = 0x110001
+#: How many tokens are counted, or scored, at once by a task.
+CHUNK = 4_000_000
+#: Bits of a token within the key of an n-gram.
+BITS = 21
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,34 +72,89 @@ def valid(starts: np.ndarray, total: int) -> np.ndarray:
     return np.arange(total) - np.repeat(starts[:-1], np.diff(starts))
 
 
-def counted(docs: DataFrame, bits: int) -> DataFrame:
-    """(place, target, background) from (text, is_target)."""
+def renumbered(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, 0 among them, and each position's place in these; codes are below size."""
+    if size <= max(1 << 24, 4 * len(codes)):
+        seen = np.zeros(size, bool)
+        seen[codes] = True
+        seen[0] = True
+        found = np.flatnonzero(seen)
+        number = np.empty(size, np.int32)
+        number[found] = np.arange(len(found), dtype=np.int32)
+        return found, number[codes]
+    found, at = np.unique(np.append(codes, 0), return_inverse=True)
+    return found, at[:-1].astype(np.int32)
+
+
+def numbered(seq: np.ndarray, index: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For each order n, a number for the n-gram that ends at each position, and the n-gram of each number, as two
+    integers. Number 0 is for n-grams that would begin in the text before. Numbers depend on which n-grams there are, not
+    on the order of the texts."""
+    single, first = renumbered(seq.astype(np.int64) + 1, END + ORDER + 1)
+    high, low = np.zeros(len(single), np.int64), single.astype(np.int64)
+    at, highs, lows = [first], [high], [low]
+    for n in range(2, ORDER + 1):
+        codes = np.zeros(len(seq), np.int64)
+        codes[1:] = at[-1][:-1].astype(np.int64) * len(single) + first[1:]
+        codes[index < n - 1] = 0
+        found, here = renumbered(codes, len(low) * len(single))
+        before, last = np.divmod(found, len(single))
+        high, low = high[before] << BITS | low[before] >> BITS, (low[before] & (1 << BITS) - 1) << BITS | single[last]
+        at.append(here)
+        highs.append(high)
+        lows.append(low)
+    return at, highs, lows
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(high, low, target, background) from (text, is_target): counts by n-gram, in parts."""
     import pyarrow as pa
 
-    size = 1 << bits
+    def sums(texts: list[str | None], flags: list[bool]):
+        seq, starts = tokens(texts)
+        index = valid(starts, len(seq))
+        target = np.repeat(np.array(flags, bool), np.diff(starts))
+        for at, high, low in zip(*numbered(seq, index), strict=True):
+            both = [np.bincount(x, minlength=len(low))[1:] for x in (at[target], at)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (high[1:], low[1:], *both))), names=["high", "low", "target", "background"])
 
     def run(batches):
-        sums = [np.zeros(size, np.uint32), np.zeros(size, np.uint32)]
+        texts, flags, size = [], [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                seq, starts = tokens(part.column(0).to_pylist())
-                index = valid(starts, len(seq))
-                target = np.repeat(np.array(part.column(1).to_pylist(), bool), np.diff(starts))
-                for n, at in enumerate(places(seq, bits), 1):
-                    whole = index >= n - 1
-                    for own, mask in zip(sums, (whole & target, whole), strict=True):
-                        found = np.bincount(at[mask])
-                        own[: len(found)] += found.astype(np.uint32)
-        for at in np.array_split(np.nonzero(sums[1])[0], max(1, size >> 16)):
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at].astype(np.int64)), pa.array(sums[1][at].astype(np.int64))], names=["place", "target", "background"])
-
-    return docs.mapInArrow(run, "place long, target long, background long")
+            for text, flag in zip(batch.column(0), batch.column(1), strict=True):
+                texts.append(text.as_py())
+                flags.append(flag.as_py())
+                size += len(texts[-1] or "") + ORDER
+                if size >= CHUNK:
+                    yield from sums(texts, flags)
+                    texts, flags, size = [], [], 0
+        if texts:
+            yield from sums(texts, flags)
+
+    return docs.mapInArrow(run, "high long, low long, target long, background long")
+
+
+def mean_losses(owns, starts: np.ndarray, totals: list[float], mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: tokens, and the mean loss under target and background. owns has, for each order, both models' counts of
+    the n-gram that ends at each position, side by side."""
+    total = int(starts[-1])
+    n = np.diff(starts) - (ORDER - 1)
+    p = np.full((total, 2), 1 / VOCABULARY, np.float32)
+    context = np.tile(np.array(totals, np.float32), (total, 1))
+    mu = np.float32(mu)
+    for own in owns:
+        p *= mu
+        p += own
+        p /= np.maximum(context, own) + mu
+        context[1:] = own[:-1]
+    loss = -np.log(p)
+    loss[valid(starts, total) < ORDER - 1] = 0
+    sums = np.add.reduceat(loss, starts[:-1], axis=0, dtype=np.float64) / n[:, None] if len(n) else np.empty((0, 2))
+    return n, sums[:, 0], sums[:, 1]
 
 
 class Models:
-    """Both models' counts, by place."""
+    """Both models' counts in one array by place: for a table that is small and at hand."""
 
     def __init__(self, bits: int, counts: np.ndarray, totals: list[float], mu: float):
         self.bits, self.counts, self.totals, self.mu = bits, counts, totals, mu
@@ -102,55 +162,59 @@ class Models:
     def losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, and the mean loss under target and background."""
         seq, starts = tokens(texts)
-        index = valid(starts, len(seq))
-        at = places(seq, self.bits)
-        n = np.diff(starts) - (ORDER - 1)
-        p = np.full((len(seq), 2), 1 / VOCABULARY, np.float32)
-        context = np.tile(np.array(self.totals, np.float32), (len(seq), 1))
-        mu = np.float32(self.mu)
-        for order in range(1, ORDER + 1):
-            own = self.counts[at[order - 1]]  # both models' counts stand side by side
-            p *= mu
-            p += own
-            p /= np.maximum(context, own) + mu
-            context[1:] = own[:-1]
-        loss = -np.log(p)
-        loss[index < ORDER - 1] = 0
-        sums = np.add.reduceat(loss, starts[:-1], axis=0, dtype=np.float64) / n[:, None] if len(n) else np.empty((0, 2))
-        return n, sums[:, 0], sums[:, 1]
-
-
-def fitted(docs: DataFrame, targets: DataFrame, mu: float = 5.0, max_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> Models:
+        return mean_losses((self.counts[at] for at in places(seq, self.bits)), starts, self.totals, self.mu)
+
+
+class Counts:
+    """Both models' counts as a written table of (high, low, target, background), one row for each n-gram."""
+
+    def __init__(self, grams: DataFrame, totals: list[float], mu: float):
+        self.grams, self.totals, self.mu = grams, totals, mu
+
+
+def fitted(docs: DataFrame, targets: DataFrame, mu: float = 5.0, id_col: str = "doc_id", text_col: str = "text") -> Counts:
     """Models of all documents and of those whose id is in targets."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chars = base.agg(F.sum(F.length("text"))).first()[0] or 1
-    bits = min(max_bits, max(16, math.ceil(math.log2(chars)) - 9))
     named = targets.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("is_target", F.lit(True))
     flagged = base.join(small_first(written(named, "targets")), "id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    sums = counted(flagged, bits).groupBy("place").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    at = sums.column("place").to_numpy()
-    counts = np.zeros((1 << bits, 2), np.float32)
-    for i, name in enumerate(("target", "background")):
-        counts[at, i] = sums.column(name).to_numpy()
-    # Every token is counted once for each order, begin tokens included; a share of the whole stands for the first order.
-    totals = [float(counts[:, i].sum(dtype=np.float64)) / ORDER for i in (0, 1)]
-    return Models(bits, counts, totals, mu)
+    grams = written(counted(flagged).groupBy("high", "low").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "grams")
+    # Every token is counted for the first order, begin tokens included.
+    found = grams.where(f"high = 0 and low < {1 << BITS}").agg(F.sum("target"), F.sum("background")).first()
+    return Counts(grams, [float(x or 0) for x in found], mu)
 
 
-def scored(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, models: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, target_loss, background_loss, score."""
     import pyarrow as pa
 
     kind = dict(docs.dtypes)[id_col]
-    sent = docs.sparkSession.sparkContext.broadcast((models.bits, models.counts, models.totals, models.mu))
-
-    def run(batches):
-        own = Models(*sent.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                n, a, b = own.losses(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a), pa.array(b), pa.array(a - b)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    totals, mu = models.totals, models.mu
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = base.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + ORDER)).first()[0] or 1
+    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(math.ceil(size / CHUNK))))
+
+    def asked(table: pa.Table) -> pa.Table:
+        seq, starts = tokens(table.column("text").to_pylist())
+        _, highs, lows = numbered(seq, valid(starts, len(seq)))
+        place = [np.arange(1, len(low)) << 3 | n for n, low in enumerate(lows)]
+        columns = [np.concatenate(place), *(np.concatenate([x[1:] for x in own]) for own in (highs, lows))]
+        return pa.table([pa.array(np.full(len(columns[0]), table.column("chunk")[0].as_py(), np.int64)), *map(pa.array, columns)], names=["chunk", "place", "high", "low"])
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        seq, starts = tokens(left.column("text").to_pylist())
+        at, _, lows = numbered(seq, valid(starts, len(seq)))
+        place = right.column("place").to_numpy()
+        told = np.column_stack([right.column(c).to_numpy() for c in ("target", "background")]).astype(np.float32)
+
+        def own(n: int) -> np.ndarray:
+            counts, here = np.zeros((len(lows[n]), 2), np.float32), place & 7 == n
+            counts[place[here] >> 3] = told[here]
+            return counts[at[n]]
+
+        n, a, b = mean_losses(map(own, range(ORDER)), starts, totals, mu)
+        return pa.table([left.column("id"), pa.array(n), pa.array(a), pa.array(b), pa.array(a - b)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    questions = dealt.groupBy("chunk").applyInArrow(asked, "chunk long, place long, high long, low long")
+    answers = questions.join(models.grams, ["high", "low"]).select("chunk", "place", "target", "background")
+    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answered, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return out.withColumnRenamed("id", id_col)

@@ -270,6 +270,33 @@ def test_lm_against_counts():
     assert (target > background).all()
 
 
+def test_lm_exact(spark):
+    """More n-grams than a small table has places: every one keeps its own count."""
+    rng, order = random.Random(6), lm_scoring.ORDER
+    rows = [(i, "".join(chr(0x4E00 + rng.randrange(15000)) for _ in range(900)) + "abab" * (i % 5)) for i in range(40)] + [(40, None), (40, None)]
+    targets = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_scoring.scored(docs, lm_scoring.fitted(docs, targets)).collect())
+    seqs = [[*lm_scoring.BEGIN, *map(ord, t or ""), lm_scoring.END] for _, t in rows]
+
+    def losses(chosen):
+        counts = Counter(tuple(s[i : i + n]) for s in chosen for n in range(1, order + 1) for i in range(len(s) - n + 1))
+        total, out = sum(map(len, chosen)), []
+        for s in seqs:
+            terms = []
+            for i in range(order - 1, len(s)):
+                p = 1 / lm_scoring.VOCABULARY
+                for n in range(1, order + 1):
+                    p = (counts[tuple(s[i - n + 1 : i + 1])] + 5 * p) / ((total if n == 1 else counts[tuple(s[i - n + 1 : i])]) + 5)
+                terms.append(-np.log(p))
+            out.append(np.mean(terms))
+        return out
+
+    assert [g[:2] for g in got] == [(i, len(t or "") + 1) for i, t in rows]
+    assert [g[2] for g in got] == pytest.approx(losses([s for (i, _), s in zip(rows, seqs) if i < 40 and i % 3 == 0]), rel=1e-4)
+    assert [g[3] for g in got] == pytest.approx(losses(seqs), rel=1e-4)
+
+
 def model_or_skip():
     try:
         return queries.tokenizer_model()
