@@ -5,7 +5,8 @@ characters over the tags met since the line before (one at least). The ratios ar
 two clusters, one held at zero, set the threshold between page furniture and content. Lines are grouped in
 regions: an article or main element is one region, and outside of these each section, list, table or division
 is. A region whose text-weighted smoothed ratio reaches the threshold is content and keeps all of its lines,
-short ones too; where a page marks its article, those regions are the content, as the page itself says so.
+short ones too. That an element is an article, by tag or by the words of class and id, only groups its lines: such
+a region is chosen by its ratio like any other, and no other region is dropped for it.
 Menus, headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 known by element, role or the words of class and id, and are never content, though their lines count in the
 statistics.
@@ -56,7 +57,6 @@ class Lines(HTMLParser):
         self.tags = 0
         self.region = 0
         self.regions = 0
-        self.content: set[int] = set()
         self.open: list[list] = []  # elements that hold the article, each with the depth of its own tag
         self.skip: str | None = None  # the element that began the furniture we are in
         self.depth = 0
@@ -123,7 +123,6 @@ class Lines(HTMLParser):
         if tag in CONTENT or tag in ("div", "section", "td") and any(n in ("class", "id") and v and CONTENT_WORDS & {w.lower() for w in TOKEN(v)} for n, v in attrs):
             self.open.append([tag, 1])
             self.new_region()
-            self.content.add(self.region)
         elif self.open and tag == self.open[-1][0]:
             self.open[-1][1] += 1
         elif tag in SECTIONS and not self.open:
@@ -154,8 +153,6 @@ class Lines(HTMLParser):
             if not self.open[at][1]:
                 del self.open[at:]
                 self.new_region()
-                if self.open:
-                    self.content.add(self.region)
         elif tag in SECTIONS and not self.open:
             self.new_region()
 
@@ -207,11 +204,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         if not skip:
             chars[region] = chars.get(region, 0) + len(text)
             mass[region] = mass.get(region, 0) + len(text) * ratio
-    marked = parser.content & chars.keys()
-    if marked:
-        cut = min(cut, min(mass[r] / chars[r] for r in marked))
     best = max(mass[r] / chars[r] for r in chars)
-    chosen = {r for r in chars if mass[r] / chars[r] >= min(cut, best) and (not marked or r in marked)}
+    chosen = {r for r in chars if mass[r] / chars[r] >= min(cut, best)}
     return "\n".join(text for text, _, region, skip in lines if not skip and region in chosen)
 
 

@@ -66,6 +66,17 @@ def test_html():
     assert html_text.main_text("plain text") == "plain text"
 
 
+def test_html_marks():
+    """Ratios choose the content, whatever is marked as an article."""
+    body = "<p>A paragraph of the body that goes on for quite a while, with many words in it.</p>" * 5
+    cards = "".join(f"<{tag}><a href=x>Read</a> <a href=y>on</a></{tag.split()[0]}>" for tag in ("article", "div class=post", "td class=entry"))
+    for page in (f"<div id=content>{body}</div>{cards}", f"{cards}<div id=content>{body}</div>"):
+        text = html_text.main_text(f"<html><body>{page}</body></html>")
+        assert text.count("goes on") == 5 and "Read" not in text
+    both = html_text.main_text(f"<article>{body}</article><ul><li><a>x</a></ul><div>{body}</div>")
+    assert both.count("goes on") == 10
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
