@@ -3,7 +3,9 @@
 A text is normalised by longest-prefix match through the model's compiled character map (a double-array trie
 over UTF-8 bytes, with replacement strings), recording for every normalised byte the source byte it stems from;
 then white space is escaped and the model's dummy prefix is put in front, as the model says. The library
-encodes; every piece is projected through the alignment to a byte span of the original text.
+encodes; every piece is projected through the alignment to a byte span of the original text. A text's pieces must
+spell its normalised bytes exactly, else an error is raised; so no span is off. Without a character map, alignment is
+the same for every character and is made by numpy.
 
 For models whose pieces never hold the space mark after another character, nor a line feed, no merge crosses
 such a place. Then a text is cut there into words, each distinct word is encoded once by the library and kept in
@@ -22,6 +24,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import sentencepiece
 
 MARK = "▁"
@@ -147,6 +150,24 @@ class Normalizer:
         return bytes(out), [*align, end]
 
 
+    def aligned(self, text: str) -> tuple[bytes, np.ndarray]:
+        """What normalize gives, the alignment as an array."""
+        if not self.identity:
+            out, align = self.normalize(text)
+            return out, np.array(align, np.int32)
+        data = text.encode("utf-8", "replace")
+        if not data:
+            return b"", np.zeros(1, np.int32)
+        mark = MARK.encode() if self.escape else b" "
+        head = mark if self.dummy_prefix else b""
+        source = np.frombuffer(data, np.uint8)
+        starts = np.arange(len(data), dtype=np.int32)
+        if not data.isascii():  # every byte of a character stems from where it begins
+            starts = np.maximum.accumulate(np.where(source & 0xC0 == 0x80, 0, starts))
+        align = np.repeat(starts, np.where(source == 32, len(mark), 1))
+        return head + data.replace(b" ", mark), np.concatenate([np.zeros(len(head), np.int32), align, [len(data)]], dtype=np.int32)
+
+
 class Codec:
     """Encoder and decoder of one model."""
 
@@ -168,6 +189,9 @@ class Codec:
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
         self.begin, self.end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         self.feed = struct.pack("<I", self.library.piece_to_id("<0x0A>"))
+        #: What each piece stands for in normalised text, and of how many bytes it is.
+        self.surfaces = [bytes([int(p[1:-1], 16)]) if self.library.is_byte(i) else p.encode() for i, p in enumerate(pieces)]
+        self.lengths = np.array([len(x) for x in self.surfaces], np.int64)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -239,6 +263,32 @@ class Codec:
             at += n
         return out
 
+    def located_all(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """For each text its packed ids, and the begin and end bytes of each piece between the begin and end ids."""
+        unknown = self.library.unk_id()
+        for text, packed in zip(texts, self.packed_all(texts), strict=True):
+            ids = np.frombuffer(packed, "<u4")[1:-1]
+            if (ids == unknown).any():
+                spans = np.array([x[2:] for x in self.spans(text)], np.int32)
+                yield packed, spans[:, 0], spans[:, 1]
+                continue
+            normalized, align = self.normalizer.aligned(text)
+            surfaces = self.surfaces
+            if b"".join([surfaces[i] for i in ids.tolist()]) != normalized:
+                raise ValueError("the pieces of a text don't spell its normalised bytes")
+            at = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(self.lengths[ids], out=at[1:])
+            own = align[at]
+            yield packed, own[:-1], own[1:]
+
+    def covered(self, text: str, begins: np.ndarray, ends: np.ndarray) -> None:
+        """Raise an error unless the spans follow one another from the text's first byte to its last. Only for models whose
+        normalisation removes nothing."""
+        if self.normalizer.identity and text:
+            size = len(text) if text.isascii() else len(text.encode("utf-8", "replace"))
+            if not len(begins) or begins[0] or ends[-1] != size or (begins[1:] != ends[:-1]).any():
+                raise ValueError("the spans of a text's pieces don't cover it")
+
     def _unknown_length(self, data: bytes, at: int) -> int:
         first = data[at]
         n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
@@ -256,11 +306,8 @@ class Codec:
         return self.library.decode(ids)
 
     def decoded(self, text: str, packed: bytes) -> str:
-        """What the library's decode gives for the ids of a text. With the identity map it is the text itself with
-        marks as spaces; the library is asked where characters that its decoder treats in its own way occur."""
-        if self.by_word and not text.startswith((" ", MARK)):
-            return text.replace(MARK, " ")
-        return self.decode(list(struct.unpack(f"<{len(packed) // 4}I", packed)))
+        """What the library's decode gives for the ids of a text, which are all that it is given."""
+        return self.decode(np.frombuffer(packed, "<u4").tolist())
 
 
 @lru_cache(maxsize=2)
@@ -269,7 +316,8 @@ def codec(model: bytes) -> Codec:
 
 
 def digests(docs, model: bytes, id_col: str = "doc_id", text_col: str = "text"):
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256. The model (some hundred KB) travels with the task."""
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256, from ids whose spans were made and found to cover the text and
+    from what the library decodes them to. The model (some hundred KB) travels with the task."""
     import pyarrow as pa
     from pyspark.sql import functions as F
 
@@ -281,7 +329,8 @@ def digests(docs, model: bytes, id_col: str = "doc_id", text_col: str = "text"):
             n, first, second = [], [], []
             for k in range(0, batch.num_rows, 256):
                 texts = [text or "" for text in batch.column(1).slice(k, 256).to_pylist()]
-                for text, packed in zip(texts, own.packed_all(texts), strict=True):
+                for text, (packed, begins, ends) in zip(texts, own.located_all(texts), strict=True):
+                    own.covered(text, begins, ends)
                     n.append(len(packed) // 4)
                     first.append(hashlib.sha256(packed).hexdigest())
                     second.append(hashlib.sha256(own.decoded(text, packed).encode()).hexdigest())
@@ -303,11 +352,10 @@ def encoded(docs, model: bytes, id_col: str = "doc_id", text_col: str = "text"):
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 tokens, begins, ends = [], [], []
-                for value in part.column(1):
-                    spans = own.spans(value.as_py() or "")
-                    tokens.append([own.bos, *(s[0] for s in spans), own.eos])
-                    begins.append([s[2] for s in spans])
-                    ends.append([s[3] for s in spans])
+                for packed, begin, end in own.located_all([text or "" for text in part.column(1).to_pylist()]):
+                    tokens.append(np.frombuffer(packed, "<i4"))
+                    begins.append(begin)
+                    ends.append(end)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (tokens, begins, ends))], names=["id", "tokens", "begins", "ends"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -343,6 +343,29 @@ def test_sentencepiece_fuzz():
             assert all(x[3] == y[2] for x, y in zip(spans, spans[1:]))
 
 
+def test_sentencepiece_spans(spark, docs, monkeypatch):
+    """Digests are made from located pieces and from what the library decodes; both ways of alignment agree."""
+    model = model_or_skip()
+    codec = sentencepieces.codec(model)
+    texts = ["", "a b", "  é 日本\n\tß ", "▁x", "<0x41> \0", "the ing 99." * 50, " a", "\U0001f600\u200b"]
+    for text, (packed, begins, ends) in zip(texts, codec.located_all(texts)):
+        assert codec.normalizer.aligned(text)[1].tolist() == codec.normalizer.normalize(text)[1]
+        assert codec.normalizer.aligned(text)[0] == codec.normalizer.normalize(text)[0]
+        assert [(x[2], x[3]) for x in codec.spans(text)] == list(zip(begins.tolist(), ends.tolist()))
+        assert [x[0] for x in codec.spans(text)] == codec.ids(text)[1:-1]
+        codec.covered(text, begins, ends)
+    rows = {r.doc_id: r for r in sentencepieces.encoded(docs, model).collect()}
+    for i, text, *_ in corpus():
+        assert list(rows[i].tokens) == codec.library.encode(text or "", add_bos=True, add_eos=True) and len(rows[i].begins) == len(rows[i].tokens) - 2
+    told = []
+    monkeypatch.setattr(codec, "decode", lambda ids: told.append(ids) or "")
+    assert codec.decoded("plain", codec.packed("plain")) == "" and told == [codec.ids("plain")]
+    wrong = codec.packed("other")
+    monkeypatch.setattr(codec, "packed_all", lambda texts: [wrong for _ in texts])
+    with pytest.raises(ValueError):
+        list(codec.located_all(["plain"]))
+
+
 def darts(keys):
     """A double array over byte strings, one unit for each state, for a few keys."""
     out = [0] * 70000
