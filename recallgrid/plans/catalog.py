@@ -669,6 +669,18 @@ def strip_date_anchors(spark, d):
     return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), sc.strip_date_anchor(text).alias("content"))
 
 
+@query(
+    "strip_date_anchors_whole",
+    """SELECT doc_id AS id, trim(replace(regexp_replace(left(text, 60) || ' (2023-12-0' || (doc_id % 9 + 1) || ')' || substr(text, 61) || ' (2024-01-0' || (doc_id % 9 + 1) || ')  and', ' \\(\\d{4}-\\d{2}-\\d{2}\\)', '', 'g'), '  ', ' ')) AS content FROM documents""",
+)
+def strip_date_anchors_whole(spark, d):
+    """The whole of each text, with an anchor within and one behind."""
+    day = (F.col("doc_id") % 9 + 1).cast("string")
+    inner, behind = F.concat(F.lit(" (2023-12-0"), day, F.lit(")")), F.concat(F.lit(" (2024-01-0"), day, F.lit(")  and"))
+    text = F.concat(F.left("text", F.lit(60)), inner, F.expr("substring(text, 61)"), behind)
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), sc.strip_date_anchor(text).alias("content"))
+
+
 @query(
     "citation_format",
     """SELECT p_partkey AS id, p_brand || '. (' || p_size || '). *' || p_name || '*' || CASE WHEN p_size % 2 = 0 THEN ' (2nd).' ELSE '' END || ' ' || CASE WHEN p_size % 3 = 0 THEN 'https://doi.org/10.1/' || p_partkey ELSE p_type || '.' END AS reference,
