@@ -729,6 +729,14 @@ def doc_pages(spark, d):
     return documents.pages(_sources(spark, d).where(F.col("text").contains("\f"))).withColumn("page_number", F.col("page_number").cast("int"))
 
 
+@query("doc_pages_whole")
+def doc_pages_whole(spark, d):
+    """Pages of all documents: those of even ids have lines as pages, those of odd ids lines as paragraphs, to be packed."""
+    t = views.table(spark, d, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\f"))).otherwise(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return documents.pages(t.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), text.alias("text")))
+
+
 @query("doc_codes", "SELECT doc_id AS id, array_to_string(regexp_extract_all('F' || (10 + doc_id % 80) || '.' || (doc_id % 10) || ' and F' || (doc_id % 90 + 10) || ' ' || text, 'F\\d{2}(?:\\.\\d{1,2})?'), ',') AS codes FROM documents")
 def doc_codes(spark, d):
     i = F.col("doc_id")

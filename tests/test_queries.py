@@ -59,6 +59,33 @@ def test_anchors_of_whole_texts(spark):
     assert got == {i: re.sub(r" \(\d{4}-\d{2}-\d{2}\)", "", f"{t}  and").replace("  ", " ").strip(" ") for i, t in texts.items()}
 
 
+def test_pages_of_all_documents(spark):
+    """Pages by form feed and by packing, against a fold in plain Python."""
+    import re
+
+    def stripped(text):
+        return re.sub(r"^\s+|\s+$", "", text, flags=re.A).strip(" ")
+
+    want = []
+    for i, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        clean = re.sub(r"[ \t]+", " ", text)
+        if i % 2 == 0 and "\n" in clean:
+            found = [(k, stripped(p)) for k, p in enumerate(clean.split("\n"), 1)]
+        else:
+            packed = []
+            for p in filter(None, map(stripped, clean.split("\n"))):
+                if packed and len(f"{packed[-1]}\n\n{p}".encode()) <= 3000:
+                    packed[-1] += f"\n\n{p}"
+                else:
+                    packed.append(p)
+            found = list(enumerate(packed, 1))
+        want += [(f"doc{i}", k, p) for k, p in found if p]
+    got = [(r.source, r.page_number, r.content) for r in registry.queries()["doc_pages_whole"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+    assert len({g[0] for g in got}) == spark.read.parquet(f"{SF}/documents.parquet").where("trim(text) != ''").count()
+    assert any(k > 1 and int(s[3:]) % 2 and "\n\n" in p for s, k, p in got)
+
+
 def test_entry(spark):
     import __spark_entry__
 
