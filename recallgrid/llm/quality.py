@@ -1,14 +1,15 @@
 """Quality by co-training of two views.
 
 One classifier sees the text's content alone, the other the page's metadata alone (source, language, length as
-told). Both are logistic regressions. They start from the labelled rows; in each round each view scores the
-unlabelled pool, and the rows it is surest of, as many of either class as keeps the labelled balance, become
-labelled examples for the other view. At the end both are calibrated on rows that took no part in the fit, and
+told). Both are logistic regressions. They start from the labelled rows; in each round each view scores all
+unlabelled rows, and the rows it is surest of, as many of either class as keeps the labelled balance, become
+labelled examples for the other view. The bounds of what is sure come from counts of log-odds by narrow bins, and
+rows of one bin are taken together; gradients and Hessians are summed over all rows that were taken, by tasks. At the end both are calibrated on rows that took no part in the fit, and
 the calibrated log-odds are combined by a last logistic regression on the same rows, so a view that knows little
 weighs little. Every document is then scored from both views.
 
-The fit reads bounded samples: ``fit_rows`` labelled and ``pool_rows`` unlabelled rows, those with the smallest
-hash of their id (all, if fewer). Scoring sees every row and the whole of its text.
+Of labelled rows the fit reads a bounded sample: ``fit_rows`` of them, those with the smallest hash of their id (all,
+if fewer). Unlabelled rows all take part. Scoring sees every row and the whole of its text.
 
 Defined results: null text is the empty text, null metadata a value of its own; without labels of both classes
 every document gets the labelled share of good ones (one half if there are none); repeated rows are scored alike;
@@ -24,7 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_first, written
+
 META_BUCKETS = 64
+#: Edges of the bins of ranks, and from which rank a view is sure: a probability of 0.9 (of 0.1, on the other side).
+EDGES = np.linspace(-12, 12, 12001)
+SURE = np.arcsinh(np.log(9))
 _runs = re.compile(r"(.)\1{2,}").findall
 
 
@@ -86,8 +92,8 @@ class Logistic:
     def __init__(self, ridge: float = 1.0):
         self.ridge = ridge
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    def fit(self, x: np.ndarray, y: np.ndarray, scale: np.ndarray | None = None) -> Logistic:
+        self.scale = np.maximum(np.abs(x).max(axis=0), 1e-9) if scale is None else scale
         z, w = x / self.scale, np.zeros(x.shape[1])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -98,6 +104,10 @@ class Logistic:
         self.w = w / self.scale
         return self
 
+    def ranks(self, x: np.ndarray) -> np.ndarray:
+        """Log-odds without a bound, on a scale that has room for large ones, so that sure rows don't tie."""
+        return np.clip(np.arcsinh(x @ self.w), EDGES[0], EDGES[-1])
+
     def odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(x @ self.w, -30, 30)
 
@@ -120,8 +130,144 @@ class CoTrained:
         return probability(self.blend.odds(np.column_stack([one, *views]))), probability(views[0]), probability(views[1])
 
 
-def cotrained(x, m, y, pool_x, pool_m, rounds: int = 4, share: float = 0.05) -> CoTrained:
-    """x, m, y: views and labels of labelled rows; every fifth of them calibrates."""
+def summed(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of (v array<double>) rows, added up in two steps so that few rows reach the driver."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            total += batch.column(0).flatten().to_numpy().reshape(-1, size).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    found = parts.repartition(8).mapInArrow(run, "v array<double>").toArrow().column("v").combine_chunks()
+    return found.flatten().to_numpy().reshape(-1, size).sum(axis=0)
+
+
+def greatest(pool: DataFrame, least: list[np.ndarray]) -> list[np.ndarray]:
+    """The greatest absolute value of each feature of both views, and least if that is more."""
+    import pyarrow as pa
+
+    def run(batches):
+        most = [x.copy() for x in least]
+        for batch in batches:
+            for v in (0, 1):
+                most[v] = np.maximum(most[v], np.abs(matrix(batch.column(v))).max(axis=0, initial=0))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in most], names=["x", "m"])
+
+    found = pool.mapInArrow(run, "x array<double>, m array<double>").toArrow()
+    return [np.maximum(x, matrix(found.column(v).combine_chunks()).max(axis=0, initial=0)) for v, x in enumerate(least)]
+
+
+def newton_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The Hessian and then the gradient of the loss of rows, in one array."""
+    p = probability(np.clip(z @ w, -30, 30))
+    return np.concatenate([((z * (p * (1 - p) + 1e-6)[:, None]).T @ z).ravel(), z.T @ (p - y)])
+
+
+def matrix(column) -> np.ndarray:
+    """An Arrow column of arrays of one length."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def refitted(models: list[Logistic], labelled: list[np.ndarray], y: np.ndarray, taken: DataFrame) -> list[Logistic]:
+    """Both views fitted to labelled rows and to what was taken for them, (view, label, f), by Newton's steps from models."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    scales = [m.scale for m in models]
+    sizes = [len(x) for x in scales]
+    ws = [m.w * m.scale for m in models]
+    lengths = [d * d + d for d in sizes]
+    for _ in range(25):
+
+        def run(batches, ws=tuple(ws)):
+            sums = [np.zeros(n) for n in lengths]
+            for batch in batches:
+                for k in range(0, batch.num_rows, 4096):
+                    part = batch.slice(k, 4096)
+                    for v in (0, 1):
+                        own = part.filter(pc.equal(part.column(0), v))
+                        if own.num_rows:
+                            sums[v] += newton_sums(matrix(own.column(2)) / scales[v], own.column(1).to_numpy(), ws[v])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums)], pa.list_(pa.float64()))], names=["v"])
+
+        sums = np.split(summed(taken.mapInArrow(run, "v array<double>"), sum(lengths)), [lengths[0]])
+        most = 0.0
+        for v, d in enumerate(sizes):
+            own = sums[v] + newton_sums(labelled[v] / scales[v], y, ws[v])
+            step = np.linalg.solve(own[: d * d].reshape(d, d) + models[v].ridge * np.eye(d), own[d * d :] + models[v].ridge * ws[v])
+            ws[v] = ws[v] - step
+            most = max(most, np.abs(step).max())
+        if most < 1e-6:
+            break
+    out = []
+    for m, w in zip(models, ws, strict=True):
+        new = Logistic(m.ridge)
+        new.scale, new.w = m.scale, w / m.scale
+        out.append(new)
+    return out
+
+
+def free_rows(views: list[np.ndarray], history: list) -> list[np.ndarray]:
+    """Which rows no earlier round has taken for each view. history has each round's models and bounds: bounds[v] are
+    the ranks up to and from which the other view's rows are taken for view v."""
+    free = [np.ones(len(views[0]), bool) for _ in views]
+    for models, bounds in history:
+        for v in (0, 1):
+            ranks = models[1 - v].ranks(views[1 - v])
+            free[v] &= (ranks > bounds[v][0]) & (ranks < bounds[v][1])
+    return free
+
+
+def bounds_of(pool: DataFrame, models: list[Logistic], history: list, share: float, base: float) -> list[tuple[float, float]]:
+    """For each view, the ranks of the other view's surest rows among all that are free."""
+    import pyarrow as pa
+
+    bins = len(EDGES) - 1
+
+    def run(batches):
+        sums = np.zeros((2, bins))
+        rows = 0
+        for batch in batches:
+            views = [matrix(batch.column(i)) for i in (0, 1)]
+            rows += batch.num_rows
+            for v, free in enumerate(free_rows(views, history)):
+                sums[v] += np.histogram(models[1 - v].ranks(views[1 - v])[free], EDGES)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(sums.ravel(), rows)], pa.list_(pa.float64()))], names=["v"])
+
+    found = summed(pool.mapInArrow(run, "v array<double>"), 2 * bins + 1)
+    want = int(share * found[-1])
+    out = []
+    for own in found[:-1].reshape(2, bins):
+        low, high = round(want * (1 - base)), round(want * base)
+        # So many bins from either end that they hold what is wanted.
+        up = EDGES[min(bins, np.searchsorted(np.cumsum(own), low) + 1)] if low else -np.inf
+        down = EDGES[max(0, bins - 1 - np.searchsorted(np.cumsum(own[::-1]), high))] if high else np.inf
+        out.append((min(up, -SURE), max(down, SURE)))
+    return out
+
+
+def taken_rows(pool: DataFrame, models: list[Logistic], bounds, history: list) -> DataFrame:
+    """(view, label, f): rows that this round takes for each view, with that view's features."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            views = [matrix(batch.column(i)) for i in (0, 1)]
+            for v, free in enumerate(free_rows(views, history)):
+                ranks = models[1 - v].ranks(views[1 - v])
+                here = np.nonzero(free & ((ranks <= bounds[v][0]) | (ranks >= bounds[v][1])))[0]
+                for k in range(0, len(here), 4096):
+                    at = here[k : k + 4096]
+                    label = (ranks[at] > 0).astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)), pa.array(label), pa.array(list(views[v][at]), pa.list_(pa.float64()))], names=["view", "label", "f"])
+
+    return pool.mapInArrow(run, "view long, label double, f array<double>")
+
+
+def cotrained(x, m, y, pool: DataFrame | None, rounds: int = 4, share: float = 0.05) -> CoTrained:
+    """x, m, y: views and labels of labelled rows; every fifth of them calibrates. pool: (x, m) of all unlabelled rows."""
     base = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2 or len(y) < 10:
         return CoTrained(None, None, None, None, base)
@@ -129,27 +275,18 @@ def cotrained(x, m, y, pool_x, pool_m, rounds: int = 4, share: float = 0.05) ->
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
     views = [x, m]
-    pools = [pool_x, pool_m]
-    train = [[v[~held]] for v in views]
-    truth = [[y[~held]] for _ in views]
-    free = [np.ones(len(pool_x), bool) for _ in views]
-    models = []
-    for _ in range(rounds + 1):
-        models = [Logistic().fit(np.concatenate(t), np.concatenate(z)) for t, z in zip(train, truth, strict=True)]
-        for me, other in ((0, 1), (1, 0)):
-            at = np.nonzero(free[other])[0]
-            if not len(at):
-                continue
-            p = probability(models[me].odds(pools[me][at]))
-            want = int(share * len(free[other]))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: round(want * (1 - base))], order[::-1][: round(want * base)]
-            low, high = low[p[low] < 0.1], high[p[high] > 0.9]  # only what the view is sure of
-            for picked, label in ((low, 0.0), (high, 1.0)):
-                if len(picked):
-                    train[other].append(pools[other][at[picked]])
-                    truth[other].append(np.full(len(picked), label))
-                    free[other][at[picked]] = False
+    labelled = [v[~held] for v in views]
+    scales = [np.maximum(np.abs(v).max(axis=0), 1e-9) for v in labelled]
+    if pool is not None:
+        scales = greatest(pool, scales)
+    models = [Logistic().fit(v, y[~held], scale) for v, scale in zip(labelled, scales, strict=True)]
+    history, taken = [], None
+    for _ in range(rounds if pool is not None else 0):
+        bounds = bounds_of(pool, models, history, share, base)
+        more = written(taken_rows(pool, models, bounds, history), "taken")
+        taken = more if taken is None else taken.union(more)
+        history.append((models, bounds))
+        models = refitted(models, labelled, y[~held], taken)
     proof = held if held.any() else ~held
     one = np.ones(int(proof.sum()))
     calibrations = [Logistic(0.01).fit(np.column_stack([one, v.odds(f[proof])]), y[proof]) for v, f in zip(models, views, strict=True)]
@@ -177,20 +314,21 @@ def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, pool_rows: int = 8_000) -> CoTrained:
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> CoTrained:
     told = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("label")).dropDuplicates(["id"])
-    first = told.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rest = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").join(told, "id", "left_anti").distinct()
-    pool = rest.orderBy(F.xxhash64("id"), "id").limit(pool_rows).withColumn("label", F.lit(None).cast("double"))
-    wanted = first.union(pool)  # at most fit_rows + pool_rows short rows
-    rows = featured(_inputs(docs).join(F.broadcast(wanted), "id")).toArrow()
+    first = told.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # short rows
+    rows = featured(_inputs(docs).join(F.broadcast(first), "id")).toArrow()
     label = rows.column("label").to_numpy(zero_copy_only=False)
     order = np.argsort(rows.column("id").to_numpy(), kind="stable")
     shape = (len(label), -1)
     x, m = ((np.array(rows.column(c).to_pylist(), float).reshape(shape) if len(label) else np.empty((0, 1)))[order] for c in ("x", "m"))
     label = label[order]
-    known = ~np.isnan(label)
-    return cotrained(x[known], m[known], label[known], x[~known], m[~known])
+    if len(set(label.tolist())) < 2:
+        return cotrained(x, m, label, None)
+    known = small_first(written(told.select("id"), "told"))
+    rest = _inputs(docs).where("id is not null").join(known, "id", "left_anti").withColumn("label", F.lit(None).cast("double"))
+    pool = written(featured(rest.select("id", "text", "source", "lang", "n_chars", "label")).select("x", "m"), "pool")
+    return cotrained(x, m, label, pool)
 
 
 def scored(docs: DataFrame, model: CoTrained) -> DataFrame:

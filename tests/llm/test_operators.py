@@ -490,5 +490,33 @@ def test_quality(spark):
     assert quality.scored(docs.limit(0), model).count() == 0
 
 
+def test_quality_takes_all_rows(spark, monkeypatch):
+    """As many of all unlabelled rows are taken as the share says, more than any fixed pool would give; sums are exact."""
+    n, rng = 20_000, random.Random(3)
+    rows = [(i, ("plain words here " if i % 2 else "### 77 ") + "abcdefgh"[rng.randrange(8)] * rng.randrange(1, 4), "en" if i < 9000 else "xx", "good" if i % 2 else "other", 10 + i % 7) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    told = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    real = quality.refitted
+
+    def spied(models, labelled, y, taken):
+        out = real(models, labelled, y, taken)
+        seen.append((out, labelled, y, taken))
+        return out
+
+    monkeypatch.setattr(quality, "refitted", spied)
+    model = quality.fitted(docs, told)
+    models, labelled, y, taken = seen[-1]
+    counts = {r.view: r["count"] for r in taken.groupBy("view").count().collect()}
+    assert all(counts[v] >= 4 * int(0.05 * (n - 200)) - 8 for v in (0, 1))
+    got = taken.collect()
+    for v in (0, 1):
+        own = [r for r in got if r.view == v]
+        z, truth = np.concatenate([labelled[v], np.array([r.f for r in own])]) / models[v].scale, np.append(y, [r.label for r in own])
+        sums, w, d = quality.newton_sums(z, truth, models[v].w * models[v].scale), models[v].w * models[v].scale, len(models[v].w)
+        assert np.abs(sums[d * d :] + models[v].ridge * w).max() < 1e-4
+    assert np.mean([(r.score >= 0.5) == bool(r.doc_id % 2) for r in quality.scored(docs, model).collect()]) > 0.99
+
+
 def test_shared_dir(spark):
     assert common.shared_dir(spark)
