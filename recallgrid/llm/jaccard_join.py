@@ -5,39 +5,51 @@ one shingle). Two sets of sizes n and m whose Jaccard similarity is at least t d
 d = (1 - t) / (1 + t) * (n + m) shingles. Each set has a parity sketch: every shingle flips one bit, so the
 Hamming distance of two sketches is at most the symmetric difference of the sets.
 
-For candidates, the sketch of a size band is cut into more than d blocks of 2**40 bits each. Two linked sets
-differ in at most d blocks, so with d + 1 + s blocks they agree in s + 1. A block that few shingles meet says
-little; a document with at most s such light blocks leaves them out, and by pigeonhole still shares a block with
-each partner, as agreeing blocks are light in both or in neither. A block's key is the XOR of a hash of each set
-bit. A document emits the blocks of its own band and, if smaller partners may lie there, of the band below.
+For candidates, the sketch of a size band is cut into d + 1 + s blocks of 2**40 bits each. Two linked sets differ in
+at most d blocks, so they agree in s + 1. A block's key is the XOR of a hash of each set bit. A document emits the
+blocks of its own band and, if smaller partners may lie there, of the band below.
 
-Equal sets (by size and 128 bits) form one class beforehand. Documents that share a key are compared with the
+Blocks that say nothing are left out on both sides, as agreeing blocks say nothing in both or in neither:
+
+- A block that no shingle meets has no key. If more than s of a document's blocks are empty, it gives the keys of a
+  next cut as well (the same band, other hashes), up to the first cut with at most s. Both documents of a link give
+  the keys of the first cut in which one of them has at most s empty blocks, and there they share a key.
+- A key of more than ``hot`` sets says little (a phrase that many texts share, alone in its block). A document whose
+  empty and hot blocks in a cut are at most s leaves its hot keys out there: with each partner it still shares a key
+  that isn't hot. Documents with more of them keep their hot keys, so two such documents meet by those.
+
+Equal sets (by size and hash) form one class beforehand. Documents that share a key are compared with the
 least document of the key, not with each other; what that likely links forms groups, and only keys that still
 hold several groups have their other pairs compared, by sketch and in tiles of bounded size, so a group of
 thousands of near copies costs a row each. Pairs that pass the Hamming test of folded sketches are verified on
-whole sets. Groups whose likely links did not all hold are compared again within, so no link is lost.
+whole sets: first one pair for each document, which settles most groups, then the pairs that would still join
+two groups. Groups whose likely links did not all hold are compared again within, so no link is lost.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; ids are integers;
-rows that share an id and differ in text are compared as if they had ids of their own and share a component; other
-input columns are ignored.
+rows that share an id and differ in text are sets of their own, and link with each other, as one id has one
+component (an empty set's row keeps its own id); rows of a null id take part, and a component's id is the least that isn't null;
+other input columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_first, written
-from .words import mixed, run_hashes, word_hashes
+from .words import MASK, forget, mixed, run_hashes, word_hashes
 
-#: Blocks that at most so many shingles meet are light.
-LIGHT = 2
 #: Each size band's upper end over its lower end.
 BAND = 1.3
+#: Below this threshold a cut could not have d + 1 blocks that aren't empty.
+LOWEST = Fraction(7, 10)
+#: A key's low bits name its band and cut.
+CUTS, TAG = 32, 4095
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -52,6 +64,7 @@ def band_of(n: int) -> int:
     return int(math.floor(math.log(n) / math.log(BAND) + 1e-12))
 
 
+@lru_cache(maxsize=4096)
 def band_ends(band: int) -> tuple[int, int]:
     """Smallest and largest set size of a band."""
     lo = math.ceil(BAND**band - 1e-9)
@@ -65,46 +78,58 @@ def band_ends(band: int) -> tuple[int, int]:
     return lo, max(lo, hi)
 
 
+@lru_cache(maxsize=4096)
 def blocks_of(band: int, t: Fraction) -> tuple[int, int]:
-    """How many blocks a band's sketch has, and how many light ones a document may leave out."""
-    _, hi = band_ends(band)
-    partner = math.floor(hi / t)
-    d = math.floor((1 - t) / (1 + t) * (hi + partner))
-    spare = math.ceil(0.125 * (d + 1) + 3 * math.sqrt(0.11 * (d + 1))) if d >= 6 else 0
-    return d + 1 + spare, spare
+    """How many blocks a band's sketch has, and how many of them, empty or hot, a document may leave out: as many as
+    leave nine in ten of the band's smallest sets with one cut, and six in a hundred for hot ones."""
+    lo, hi = band_ends(band)
+    d = math.floor((1 - t) / (1 + t) * (hi + math.floor(hi / t)))
+    if not d:
+        return 1, 0  # only equal sets link here
+    spare = more = math.ceil(0.06 * (d + 1)) if d >= 8 else 0
+    while True:
+        count = d + 1 + spare
+        mean = count * (1 - 1 / count) ** lo
+        spread = math.sqrt(max(0.0, mean + count * (count - 1) * (1 - 2 / count) ** lo - mean**2))
+        wanted = more + (0 if mean <= 0.15 else math.ceil(mean + 1.3 * spread))
+        if wanted <= spare:
+            return count, spare
+        spare = wanted
 
 
-def block_keys(hashes: np.ndarray, band: int, t: Fraction) -> np.ndarray:
-    """Keys of the blocks that a set shows in a band."""
+def block_keys(hashes: np.ndarray, band: int, t: Fraction) -> tuple[list[np.ndarray], list[int], list[int]]:
+    """Keys of the blocks that a set shows in a band, and by cut its tag and how many more blocks it may leave out."""
     count, spare = blocks_of(band, t)
+    keys, tags, left = [], [], []
     if count == 1:
-        return np.empty(0, np.uint64)  # only equal sets link here
-    bits = mixed(hashes + np.uint64(0x51ED270B))
-    block = ((bits >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
-    block = block[order]
-    starts = np.searchsorted(block, np.arange(count))
-    sizes = np.diff(np.append(starts, len(block)))
-    keys = np.zeros(count, np.uint64)
-    full = sizes > 0
-    keys[full] = np.bitwise_xor.reduceat(mixed(bits[order] ^ np.uint64(0xA5A5)), starts[full])
-    show = sizes > LIGHT
-    if count - int(show.sum()) > spare:
-        show[:] = True
-    at = np.nonzero(show)[0]
-    return mixed(keys[at] + (at.astype(np.uint64) * np.uint64(1000) + np.uint64(band)) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def keys_of(hashes: np.ndarray, t: Fraction) -> np.ndarray:
+        return keys, tags, left
+    for cut in range(CUTS):
+        bits = mixed(hashes + np.uint64(0x51ED270B + 0x9E3779B97F4A7C15 * cut & MASK))
+        block = ((bits >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        at, starts = np.unique(block[order], return_index=True)
+        content = np.bitwise_xor.reduceat(mixed(bits[order] ^ np.uint64(0xA5A5)), starts)
+        tag = band * CUTS + cut
+        hashed = mixed(content + (at.astype(np.uint64) * np.uint64(4096) + np.uint64(tag)) * np.uint64(0x9E3779B97F4A7C15))
+        keys.append(hashed & np.uint64(MASK ^ TAG) | np.uint64(tag))
+        tags.append(tag)
+        left.append(spare - (count - len(at)))
+        if left[-1] >= 0:
+            break
+    return keys, tags, left
+
+
+def keys_of(hashes: np.ndarray, t: Fraction) -> tuple[np.ndarray, list[int], list[int]]:
     n = len(hashes)
     band = band_of(n)
-    out = [block_keys(hashes, band, t)]
+    keys, tags, left = block_keys(hashes, band, t)
     lower = band - 1
     while lower >= 0 and band_ends(lower)[1] >= math.ceil(n * t):
         if band_ends(lower)[0] <= band_ends(lower)[1] and band_of(band_ends(lower)[1]) == lower:
-            out.append(block_keys(hashes, lower, t))
+            for own, more in zip((keys, tags, left), block_keys(hashes, lower, t), strict=True):
+                own += more
         lower -= 1
-    return np.concatenate(out)
+    return np.concatenate([np.empty(0, np.uint64), *keys]), tags, left
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -134,34 +159,35 @@ def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
 
 
 def described(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Per row: doc, node (a hash of the set, so equal sets are one node), n_shingles, sketch and block keys. A task gives
-    the keys of a set that it meets again only once."""
+    """Per row: doc, text_hash, node (a hash of the set, so equal sets are one node), n_shingles, sketch, block keys, and by cut
+    its tag and how many blocks may still be left out. A task gives the keys of a set that it meets again only once."""
     import pyarrow as pa
 
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    names = ["doc", "text_hash", "node", "n_shingles", "sketch", "keys", "tags", "left"]
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                nodes, sizes, sketches, keys = [], [], [], []
-                for v in part.column(1):
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                nodes, sizes, facts = [], [], []
+                for v in part.column(2):
                     h = shingles(v.as_py(), n)
                     node = node_of(h)
                     nodes.append(node)
                     sizes.append(len(h))
                     if not len(h) or node in seen:
-                        sketches.append(None)
-                        keys.append(None)
+                        facts.append((None, None, None, None))
                     else:
                         seen.add(node)
-                        sketches.append(sketch(h))
-                        keys.append(keys_of(h, t).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc", "node", "n_shingles", "sketch", "keys"],
-                )
+                        keys, tags, left = keys_of(h, t)
+                        facts.append((sketch(h), keys.view(np.int64), tags, left))
+                more = [pa.array(x, kind) for x, kind in zip(zip(*facts, strict=True), (pa.binary(), longs, ints, ints), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *more], names=names)
+        forget()
 
-    return docs.mapInArrow(run, "doc long, node long, n_shingles long, sketch binary, keys array<long>")
+    return docs.mapInArrow(run, "doc long, text_hash long, node long, n_shingles long, sketch binary, keys array<long>, tags array<int>, left array<int>")
 
 
 def node_of(h: np.ndarray) -> int:
@@ -215,6 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, t: Fraction) -> DataFram
                     sets.append(h)
                 ok.append(linked(*sets, t))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        forget()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -241,11 +268,24 @@ def components(edges: DataFrame) -> DataFrame:
             return written(comps, "comps")
 
 
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, node) rows of the keys that several nodes share, each with the least of them. One shuffle serves both uses."""
-    dealt = rows.repartition("key")
-    least = dealt.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").drop("most")
-    return dealt.join(least, "key").distinct()
+def shared_keys(facts: DataFrame, hot: int) -> DataFrame:
+    """(key, node, least) rows of the keys that several nodes show, each with the least of them.
+
+    Keys are counted with partial sums, and the counts are a written table, so a key that many share is split where its
+    rows meet the counts. Hot keys go where a node may leave them out, and have the least of the nodes that still show them."""
+    rows = facts.select(F.explode("keys").alias("key"), "node")
+    counts = written(rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least != most").drop("most"), "counts")
+    keys = written(rows.join(small_first(counts), "key").distinct(), "keys")
+    some = keys.where(f"n > {hot}")
+    if not some.take(1):
+        return keys.drop("n")
+    some = some.withColumn("tag", F.expr(f"cast(key & {TAG} as int)"))
+    left = facts.select("node", F.explode(F.arrays_zip("tags", "left")).alias("x")).select("node", F.col("x.tags").alias("tag"), F.col("x.left").alias("left")).distinct()
+    met = some.groupBy("node", "tag").agg(F.count("*").alias("met"))
+    shown = met.join(left, ["node", "tag"]).where("met > left").select("node", "tag")
+    some = written(some.join(shown, ["node", "tag"]).select("key", "node"), "hot")
+    least = written(some.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").drop("most"), "least")
+    return keys.where(f"n <= {hot}").select("key", "node", "least").union(some.join(small_first(least), "key").select("key", "node", "least"))
 
 
 def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -> DataFrame:
@@ -313,13 +353,31 @@ def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id of its component)."""
+    facts = clusters(docs, n, threshold, id_col, text_col, tile_rows, hot)
+    # Sets of one id link with each other.
+    several = facts.where("cluster is not null").groupBy("doc").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("doc is not null and a != b").select("doc")
+    several = written(several, "several")
+    if several.take(1):
+        own = facts.where("cluster is not null").join(several, "doc").select("doc", "cluster")
+        edges = own.join(own.groupBy("doc").agg(F.min("cluster").alias("a")), "doc").where("a != cluster").select("a", F.col("cluster").alias("b"))
+        facts = facts.join(components(edges).toDF("cluster", "comp"), "cluster", "left").withColumn("cluster", F.coalesce("comp", "cluster"))
+    least = facts.where("cluster is not null").groupBy("cluster").agg(F.min("doc").alias("component_id"))
+    return facts.join(least, "cluster", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def clusters(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64) -> DataFrame:
+    """One row per input row: doc, text_hash (xxhash64 of its text), n_shingles, cluster: equal for the rows whose sets are
+    joined by links, null for the empty set. Ids play no part."""
     t = Fraction(threshold)
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    if not LOWEST <= t <= 1:
+        raise ValueError(f"the threshold must lie between {LOWEST} and 1")
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     facts = written(described(base, n, t), "sets")
-    keys = written(shared_keys(facts.where("keys is not null").select(F.explode("keys").alias("key"), "node")), "keys")
-    about = facts.where("sketch is not null").select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    told = facts.where("keys is not null")
+    keys = written(shared_keys(told, hot), "shown")
+    about = told.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
 
     def crossing(labelled: DataFrame) -> DataFrame:
         """Of (key, node, comp, ...), the keys with several comps."""
@@ -333,22 +391,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col:
     # 2. What shares a key across the groups that likely links make.
     apart = keys.join(groups, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     others = written(compared(crossing(apart), about, t, tile_rows), "others")
-    pairs = likely.union(others)
+    pairs = written(likely.union(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(facts.join(nodes, "node").groupBy("node").agg(F.min("doc").alias("doc")), "wanted")
-    texts = written(base.join(small_first(wanted), "doc").select("node", "text").dropDuplicates(["node"]), "texts")
-    links = written(verified(pairs.distinct(), texts, n, t), "links")
+    wanted = written(facts.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("x")).select("node", "x.*"), "wanted")
+    met = (base["text_hash"] == wanted["text_hash"]) & base["doc"].eqNullSafe(wanted["doc"])
+    texts = written(base.join(small_first(wanted), met).select("node", "text").dropDuplicates(["node"]), "texts")
+    # 3. One pair of each node verified, then the pairs that would still join two components.
+    first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = written(verified(first, texts, n, t), "links")
     comps = components(links)
-    # 3. Groups of likely links that did not all hold: the pairs within them that no verified link joins.
+    open_ = apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), comps)
+    more = written(verified(open_, texts, n, t), "links")
+    if more.take(1):
+        links = links.union(more)
+        comps = components(links)
+    # 4. Groups of likely links that did not all hold: the pairs within them that no verified link joins.
     within = keys.join(groups, "node").join(comps, "node", "left").select("key", "node", groups["comp"].alias("group"), F.coalesce(comps["comp"], "node").alias("comp"))
     split = within.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("group")
     inside = crossing(within.join(split, "group", "left_semi").select(F.xxhash64("key", "group").alias("key"), "node", "comp"))
     rest = compared(inside, about, t, tile_rows).join(pairs, ["a", "b"], "left_anti")
     more = written(verified(rest, texts, n, t), "links")
     final = components(links.union(more)) if more.take(1) else comps
-    labelled = written(facts.join(final, "node", "left").select("doc", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("comp")), "labelled")
-    least = labelled.where("comp is not null").groupBy("comp").agg(F.min("doc").alias("component_id"))
-    return labelled.join(least, "comp", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
+    return written(facts.join(final, "node", "left").select("doc", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("cluster")), "labelled")
+
+
+def apart_pairs(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    both = pairs.join(comps.toDF("a", "comp_a"), "a", "left").join(comps.toDF("b", "comp_b"), "b", "left")
+    return both.where("coalesce(comp_a, a) != coalesce(comp_b, b)").select("a", "b")
 
 
 OP2_SQL = r"""

@@ -6,9 +6,9 @@ import numpy as np
 import xxhash
 
 MASK = (1 << 64) - 1
-#: An odd factor of the polynomial over words, and how many words a worker remembers.
+#: An odd factor of the polynomial over words, and how many words a worker remembers, if they are no longer than so many bytes.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 500_000
+MEMO, LONGEST = 100_000, 64
 _memo: dict[bytes, int] = {}
 
 
@@ -22,13 +22,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_memo) > MEMO:
-        _memo.clear()
     get, out = _memo.get, []
     for w in words:
         h = get(w)
         if h is None:
-            h = _memo[w] = xxhash.xxh3_64_intdigest(w)
+            h = xxhash.xxh3_64_intdigest(w)
+            if len(w) <= LONGEST:
+                if len(_memo) >= MEMO:
+                    _memo.clear()
+                _memo[w] = h
         out.append(h)
     return np.array(out, dtype=np.uint64)
 
@@ -52,6 +54,13 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 _up = _down = np.empty(0, np.uint64)
 
 
+def forget() -> None:
+    """Release what a worker remembers; called at the end of a partition, as workers are used again."""
+    global _up, _down
+    _memo.clear()
+    _up = _down = np.empty(0, np.uint64)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE, and of its inverse; kept for the longest text so far."""
     global _up, _down

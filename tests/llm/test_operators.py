@@ -520,3 +520,47 @@ def test_quality_takes_all_rows(spark, monkeypatch):
 
 def test_shared_dir(spark):
     assert common.shared_dir(spark)
+
+
+def test_jaccard_shared_ids(spark):
+    """Rows of one id are sets of their own, which link; an empty set's row keeps its id."""
+    rng = random.Random(3)
+    a, b = ([str(rng.random()) for _ in range(200)] for _ in "ab")
+    near = [" ".join([*x[:-1], "end"]) for x in (a, b)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near[0]), (8, near[1]), (9, ""), (9, " ".join(a)), (11, "x"), (11, "x"), (None, near[0])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):
+        got = sorted((r.doc_id or -1, r.n_shingles > 0, r.component_id) for r in jaccard_join.near_duplicates(frame.repartition(3), 4, "0.85").collect())
+        assert got == sorted([(5, True, 5), (5, True, 5), (7, True, 5), (8, True, 5), (9, False, 9), (9, True, 5), (11, True, 11), (11, True, 11), (-1, True, 5)])
+
+
+@pytest.mark.parametrize("hot", [1, 64])
+def test_jaccard_hot_keys(spark, hot):
+    """Pairs at the threshold among texts that share a line, with any key hot and with few."""
+    rng = random.Random(hot)
+    line, rows = [str(rng.random()) for _ in range(15)], []
+    for k in range(60):
+        size = rng.randrange(6, 150)
+        own = [str(rng.random()) for _ in range(size)]
+        other = own[: size - rng.randrange(0, 2 + size // 12)] + [str(rng.random()) for _ in range(rng.randrange(0, 2 + size // 12))]
+        rows += [(2 * k, " ".join(line + own)), (2 * k + 1, " ".join(line + other))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame, 4, "0.85", hot=hot).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
+def test_jaccard_keys_meet():
+    """Linked sets share a key that isn't hot for either, or one that both may show; no key stands for an empty block."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    for t in (Fraction("0.85"), Fraction("0.8")):
+        for n in [*range(5, 60), 200, 900]:
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            most = int((1 - t) * n)  # b lacks so many of a
+            b = a[most:]
+            assert jaccard_join.linked(a, b, t)
+            keys = [set(jaccard_join.keys_of(x, t)[0].tolist()) for x in (a, b)]
+            assert most == 0 or keys[0] & keys[1]
+    with pytest.raises(ValueError):
+        jaccard_join.clusters(None, threshold="0.5")
