@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than these six ASCII white-space characters.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,22 +30,45 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of a thousand rows where the session has Spark's default of ten thousand, so that a batch of long texts
+    fits a worker. The operators work with any setting."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master has one of its
+    own, and any other raises an error, as executors don't share a machine's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return "file:///tmp/recallgrid-shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame once as Parquet in the shared folder and read it again, which cuts its lineage.
 
-    Later stages and retries after a lost executor read the files instead of computing the plan anew.
+    Later stages and retries after a lost executor read the files instead of computing the plan anew. ``clear`` removes
+    what a session wrote, once the results that read it are written or collected.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that ``written`` has left so far; how many there were."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
 
 
 def small_first(df: DataFrame, most_rows: int = 250_000) -> DataFrame:

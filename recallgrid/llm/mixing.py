@@ -13,7 +13,8 @@ all rows is summed by many tasks.
 
 Defined results: null text has size 0; null source is a source of its own, the last; documents of size 0 are
 drawn as others are but take no words; a source whose size is 0 has target 0 and no copies; an empty table
-gives an empty one; rows with equal ids are drawn each for itself. Input columns of whatever
+gives an empty one; rows with equal ids are drawn each for itself, in the order of a hash of their columns, so
+that reruns agree (rows equal in all columns are alike). Input columns of whatever
 names are carried in one struct.
 """
 
@@ -55,9 +56,10 @@ def mix(
     seed: str = "mix",
 ) -> DataFrame:
     """Per input row: row (a struct of the input's columns), size, source_size, target, copies."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), (n_words(F.col("text")) if size is None else size).alias("size"))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map" not in kind and "variant" not in kind] or [F.lit(0)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), (n_words(F.col("text")) if size is None else size).alias("size"), tie.alias("tie"))
     placed = written(
-        rows.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id")).withColumn("part", F.spark_partition_id()),
+        rows.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id"), F.col("tie")).withColumn("part", F.spark_partition_id()),
         "mix",
     )
     parts = placed.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
@@ -70,7 +72,7 @@ def mix(
     starts = starts.join(sizes.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     starts = starts.select(F.col("source").alias("of"), F.col("part").alias("at"), "start", "source_size", "target", "step", "offset")
     out = placed.join(starts, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
-    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "id"))
+    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy(F.col("size").desc(), "id", "tie"))
     out = out.withColumn("upto", (F.col("start") + rank) * F.col("step") + F.col("offset"))
     crossed = F.expr(f"(upto div {ONE}) - ((upto - step) div {ONE})")
     return out.select("row", "size", "source_size", "target", crossed.cast("long").alias("copies"))

@@ -28,8 +28,8 @@ import numpy as np
 import sentencepiece
 
 MARK = "▁"
-#: How many distinct words a worker remembers, beside as many older ones.
-MEMO_WORDS = 300_000
+#: How many distinct words a worker remembers, beside as many older ones, and the most characters of such a word.
+MEMO_WORDS, LONGEST = 40_000, 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -195,24 +195,34 @@ class Codec:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, missing: set[str]) -> None:
-        """Put words into the memo: a word w stands for mark + w, and a line feed + w for w without a mark, between which
-        and the line feed nothing merges. A full memo becomes the older one, which is searched once more before it goes."""
-        if len(self.words) + len(missing) > MEMO_WORDS:
-            self.older, self.words = self.words, {}
-        new = []
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of words: a word w stands for mark + w, and a line feed + w for w without a mark, between which
+        and the line feed nothing merges. Those of bounded length go to the memo as well; a full memo becomes the older
+        one, which is searched once more before it goes."""
+        out, new = {}, []
         for w in missing:
             found = self.older.get(w)
             if found is None:
                 new.append(w)
             else:
-                self.words[w] = found
+                out[w] = found
         for w, ids in zip(new, self.library.encode(new, num_threads=1) if new else [], strict=True):
             if w[:1] == "\n":  # the dummy prefix and the line feed go
                 ids = ids[2:]
             elif not w:
                 ids = [self.library.piece_to_id(MARK)]
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+            out[w] = struct.pack(f"<{len(ids)}I", *ids)
+        short = {w: ids for w, ids in out.items() if len(w) <= LONGEST}
+        if len(short) <= MEMO_WORDS:
+            if len(self.words) + len(short) > MEMO_WORDS:  # what this call still needs of the older words is in out
+                out |= self.words
+                self.older, self.words = self.words, {}
+            self.words.update(short)
+        return out
+
+    def forget(self) -> None:
+        """Release the memo; called at the end of a partition, as workers are used again."""
+        self.words, self.older = {}, {}
 
     def packed_all(self, texts: list[str]) -> list[bytes]:
         """For each text all its ids, begin and end included, as little-endian unsigned 32-bit integers."""
@@ -225,8 +235,8 @@ class Codec:
             else:
                 out.append(None)
                 cut.append(text.replace("\n", " \n").split(" ") if "\n" in text else text.split(" "))
-        self._learn({w for words in cut for w in words if w not in self.words})
-        known, older, feed = self.words, self.older, self.feed
+        once = self._learn({w for words in cut for w in words if w not in self.words})
+        known, feed = self.words, self.feed
         at = iter(cut)
         for i, found in enumerate(out):
             if found is None:
@@ -234,7 +244,7 @@ class Codec:
                 for w in next(at):
                     ids = known.get(w)
                     if ids is None:
-                        ids = older[w]
+                        ids = once[w]
                     parts.append(feed + ids if w[:1] == "\n" else ids)
                 out[i] = b"".join([*parts, self.end])
         return out
@@ -335,6 +345,7 @@ def digests(docs, model: bytes, id_col: str = "doc_id", text_col: str = "text"):
                     first.append(hashlib.sha256(packed).hexdigest())
                     second.append(hashlib.sha256(own.decoded(text, packed).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
@@ -357,5 +368,6 @@ def encoded(docs, model: bytes, id_col: str = "doc_id", text_col: str = "text"):
                     begins.append(begin)
                     ends.append(end)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (tokens, begins, ends))], names=["id", "tokens", "begins", "ends"])
+        own.forget()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
