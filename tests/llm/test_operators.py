@@ -10,6 +10,7 @@ import pytest
 
 from recallgrid.llm import exact_dedup, html_text, jaccard_join, lm_scoring, mixing, nearest, quality, queries, sentencepieces, substring_dedup, toxicity
 from recallgrid.llm import common
+from recallgrid.llm.words import run_hashes, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, norm string, doc long, node long, size long, score double, key long, mix_rank long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -468,6 +469,21 @@ def test_substrings(docs, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_substrings_odd_rows(spark, monkeypatch):
+    """Null ids, shared ids and repeated rows; and no word goes without an occurrence that the automaton finds."""
+    rng = random.Random(2)
+    p = [str(rng.random()) for _ in range(60)]
+    rows = [(4, " ".join(["x", *p])), (4, " ".join(["y", *p])), (None, " ".join(["z", *p])), (6, " ".join(["u", *p])), (6, " ".join(["u", *p])), (9, " ".join(p[:49])), (2, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for shard_bytes in (100, 10**6):
+        got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup.without_repeats(frame, shard_bytes=shard_bytes).collect())
+        assert got == sorted([(4, 61, 0), (4, 61, 0), (-1, 61, 0), (6, 61, 60), (6, 61, 60), (9, 49, 0), (2, 0, 0)])
+    shard = substring_dedup.Shard({b"a b", b"b c"})
+    assert shard.places(b"a b c a b".split()) == [(0, 2), (1, 2), (3, 2)]
+    windows = np.sort(run_hashes(word_hashes([b"w"] * 3 + [b"v"] * 3), 3))
+    assert not substring_dedup.covered([b"w"] * 6, [], 5, windows, np.zeros(len(windows), np.int64), 3).any()
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
