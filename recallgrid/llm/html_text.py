@@ -8,8 +8,8 @@ is. A region whose text-weighted smoothed ratio reaches the threshold is content
 short ones too. That an element is an article, by tag or by the words of class and id, only groups its lines: such
 a region is chosen by its ratio like any other, and no other region is dropped for it.
 Menus, headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-known by element, role or the words of class and id, and are never content, though their lines count in the
-statistics.
+known by element, role or a whole name in class or id (all of its words are of furniture or neutral, so "share-price" names
+none), and are never content, though their lines count in the statistics.
 
 Defined results: null, empty and text-free pages give the empty text; unclosed and stray tags don't lose an
 article; character references are decoded; white space within a line becomes one space and lines are joined by
@@ -42,9 +42,25 @@ FURNITURE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination "
     "pager paging skip search toc".split()
 )
+#: Words that may stand beside a furniture word in one name, as in "sidebar-left"; with any other word ("share-price") the name says nothing.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col column container entry footer form global group head header holder icon icons inner item items "
+    "left link links list main outer page panel post posts primary read reader right row secondary section site slot social story text title top unit user wrap wrapper zone".split()
+)
 TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+").findall
 CONTENT = frozenset(("article", "main"))
 CONTENT_WORDS = frozenset("article post entry story".split())
+BODY_WORDS = frozenset("content single full hentry".split())
+
+
+def named_words(value: str) -> list[frozenset[str]]:
+    """The words of each name in a class or id attribute."""
+    return [frozenset(w.lower() for w in TOKEN(name)) for name in value.split()]
+
+
+def names_furniture(value: str) -> bool:
+    """Whether a name in a class or id attribute is one of page furniture as a whole."""
+    return any(words & FURNITURE_WORDS and words <= FURNITURE_WORDS | NEUTRAL_WORDS for words in named_words(value))
 
 
 class Lines(HTMLParser):
@@ -92,8 +108,7 @@ class Lines(HTMLParser):
                 if value.lower() in LANDMARK_ROLES:
                     return True
             elif name == "class" or name == "id":
-                words = {w.lower() for w in TOKEN(value)}
-                if words & FURNITURE_WORDS and not (tag in CONTENT and "comment" not in words and "comments" not in words):
+                if names_furniture(value) and not (tag in CONTENT and "comment" not in value.lower()):
                     return True
             elif name == "style":
                 if "display:none" in value.replace(" ", "").lower():
@@ -120,7 +135,7 @@ class Lines(HTMLParser):
             self.skip, self.depth = tag, 1
             self.comments = any(v and re.search("comment|repl|respond|discuss", v, re.I) for n, v in attrs if n in ("class", "id"))
             return
-        if tag in CONTENT or tag in ("div", "section", "td") and any(n in ("class", "id") and v and CONTENT_WORDS & {w.lower() for w in TOKEN(v)} for n, v in attrs):
+        if tag in CONTENT or tag in ("div", "section", "td") and any(n in ("class", "id") and v and any(words & CONTENT_WORDS and words <= CONTENT_WORDS | NEUTRAL_WORDS | BODY_WORDS for words in named_words(v)) for n, v in attrs):
             self.open.append([tag, 1])
             self.new_region()
         elif self.open and tag == self.open[-1][0]:

@@ -78,6 +78,53 @@ def test_html_marks():
     assert both.count("goes on") == 10
 
 
+def test_html_names():
+    """A name is furniture as a whole or not at all, and one loose word doesn't make a region the content."""
+    words = " ".join(f"word{i}" for i in range(50))
+    assert html_text.main_text(f"<article><h1>T</h1><p>{words}</p><div class='share-price'>42</div><p>End</p></article>") == f"T\n{words}\n42\nEnd"
+    assert words in html_text.main_text(f"<body><div class='entry-meta'>by me</div><div><p>{words}</p></div></body>")
+    assert html_text.main_text(f"<body><p>{words}</p></body>") == words
+    for name in ("sidebar-left", "site-footer", "relatedPosts", "ad", "x comments-area", "cookie_notice", "newsletter-signup", "social-share"):
+        assert html_text.main_text(f"<article><p>{words}</p><div class='{name}'>gone</div></article>") == words, name
+    assert html_text.main_text("<div>" * 3000 + f"<p>{words}</p>") == words
+
+
+def plain_main_text(lines, sigma=1.0):
+    """Regions chosen by smoothed ratios, written anew with numpy over (text, tags, region, furniture)."""
+    ratio = np.array([len(t) / max(1, k) for t, k, _, _ in lines])
+    at = np.arange(len(ratio))
+    kernel = np.exp(-((at[:, None] - at[None]) ** 2) / (2 * sigma**2)) * (abs(at[:, None] - at[None]) <= np.ceil(2 * sigma))
+    smooth = kernel @ ratio / kernel.sum(axis=1)
+    upper = smooth.max()
+    while abs((mean := smooth[smooth >= upper / 2].mean()) - upper) >= 1e-9:
+        upper = mean
+    own = [(t, r, len(t), s) for (t, _, r, skip), s in zip(lines, smooth, strict=True) if not skip]
+    level = {r: np.average([s for _, q, _, s in own if q == r], weights=[n for _, q, n, _ in own if q == r]) for r in {x[1] for x in own}}
+    least = min(upper / 2, max(level.values(), default=0))
+    return "\n".join(t for t, r, _, _ in own if level[r] >= least - 1e-12)
+
+
+def test_html_against_plain_ratios():
+    """The choice of regions against another computation of it, on random pages; smoothing and the threshold change results."""
+    rng = random.Random(6)
+    odd = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(2, 9)):
+            tag = rng.choice(["div", "section", "ul", "div class=menu", "article"])
+            inner = "".join(f"<{t}>{'word ' * rng.randrange(1, 40)}{'<a href=x>y</a>' * rng.randrange(6)}</{t}>" for t in rng.choices(["p", "li", "span"], k=rng.randrange(1, 6)))
+            parts.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        page = f"<html><body>{''.join(parts)}</body></html>"
+        parser = html_text.Lines()
+        parser.feed(page)
+        parser.close()
+        parser.end_line()
+        want = plain_main_text(parser.lines) if any(not x[3] for x in parser.lines) else ""
+        assert html_text.main_text(page) == want
+        odd += want != plain_main_text(parser.lines, 0.01)
+    assert odd > 5
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, "t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
