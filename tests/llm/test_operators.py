@@ -251,6 +251,46 @@ def test_neighbours(spark):
     assert nearest.neighbours(frame.limit(0)).count() == 0
 
 
+def test_neighbours_extremes(spark):
+    """Finite vectors of any size take part; repeated ids and equal vectors; a cell of equal vectors is dealt to several blocks."""
+    rows = [(0, [1.0, 0.0]), (20, [1e200, 0.0]), (40, [1e-200, 0.0]), (3, [1e-200, 1e-200]), (5, [-1e200, 1e200]), (7, [2.0, 1.0]), (7, [2.0, 1.0]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(nearest.neighbours(frame, lambda i: i % 20 == 0).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    plain = [(i, v) for i, v in rows if i is not None]
+    for q in (0, 20, 40):
+        x = dict(plain)[q]
+        want = sorted(((i, v[0] * x[0] + v[1] * x[1]) for i, v in plain if i != q), key=lambda p: (-p[1], p[0]))
+        assert got[q] == want
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((900, 8))
+    v[100:700] = v[3]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest.neighbours(frame, lambda i: i % 20 == 0, k=5, block_rows=100, chunk_rows=7, dims=8, confidence=0.97).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 900, 20):
+        s = nearest.dots(v, v[q])
+        hits += len(got[q] & set([i for i in np.lexsort((np.arange(900), -s)) if i != q][:5]))
+    assert hits >= 0.9 * 5 * 45
+
+
+def test_neighbours_prune():
+    """On vectors without structure less than half of the index is verified, at a recall above 0.9."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((8000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    space = nearest.Space(64, float(np.abs(v).max()), float((v**2).sum(axis=1).max() / np.abs(v).max() ** 2), 32, 7)
+    index, quantile, hits = nearest.Index(np.arange(8000), v, space), nearest.chi_square_quantile(0.94, 32), 0
+    own, at = space.asked(v[:100])
+    for q in range(100):
+        near, *_ = index.search(q, v[q], own[q], at[q], 20, quantile)
+        hits += len(set(near.tolist()) & set(np.argsort(-(v @ v[q]))[1:21].tolist()))
+    assert hits >= 0.9 * 2000 and index.verified < 0.5 * 8000 * 100
+
+
 def test_chi_square():
     rng = np.random.default_rng(0)
     sample = (rng.standard_normal((200_000, 8)) ** 2).sum(axis=1)
