@@ -19,11 +19,12 @@ Blocks that say nothing are left out on both sides, as agreeing blocks say nothi
   that isn't hot. Documents with more of them keep their hot keys, so two such documents meet by those.
 
 Equal sets (by size and hash) form one class beforehand. Documents that share a key are compared with the
-least document of the key, not with each other; what that likely links forms groups, and only keys that still
-hold several groups have their other pairs compared, by sketch and in tiles of bounded size, so a group of
-thousands of near copies costs a row each. Pairs that pass the Hamming test of folded sketches are verified on
-whole sets: first one pair for each document, which settles most groups, then the pairs that would still join
-two groups. Groups whose likely links did not all hold are compared again within, so no link is lost.
+least document of the key, not with each other; what that likely links (by the Hamming test of folded sketches) forms
+groups, and only keys that still hold several groups have their other pairs compared, in tiles of bounded size. A tile
+gives no pair that would join what its pairs have joined already, so a group of thousands of near copies costs a row
+each. Likely links are verified on whole sets: first one pair for each document, which settles most groups. In a group
+that these don't hold together, all documents of different components are compared, by sketch and then on whole
+sets, again in tiles of bounded size that give the joining links alone. So no link is lost that a component rests on.
 
 Defined results: null texts and texts without words have the empty set and link with nothing; ids are integers;
 rows that share an id and differ in text are sets of their own, and link with each other, as one id has one
@@ -271,11 +272,11 @@ def components(edges: DataFrame) -> DataFrame:
 def shared_keys(facts: DataFrame, hot: int) -> DataFrame:
     """(key, node, least) rows of the keys that several nodes show, each with the least of them.
 
-    Keys are counted with partial sums, and the counts are a written table, so a key that many share is split where its
-    rows meet the counts. Hot keys go where a node may leave them out, and have the least of the nodes that still show them."""
-    rows = facts.select(F.explode("keys").alias("key"), "node")
-    counts = written(rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least != most").drop("most"), "counts")
-    keys = written(rows.join(small_first(counts), "key").distinct(), "keys")
+    One shuffle of 16 bytes a key serves the counts and the rows; a task streams a key's rows and holds none of them. Hot keys
+    go where a node may leave them out, and have the least of the nodes that still show them."""
+    rows = facts.select(F.explode("keys").alias("key"), "node").repartition("key")
+    counts = rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).where("least != most").drop("most")
+    keys = written(rows.join(counts, "key").distinct(), "keys")
     some = keys.where(f"n > {hot}")
     if not some.take(1):
         return keys.drop("n")
@@ -288,39 +289,63 @@ def shared_keys(facts: DataFrame, hot: int) -> DataFrame:
     return keys.where(f"n <= {hot}").select("key", "node", "least").union(some.join(small_first(least), "key").select("key", "node", "least"))
 
 
-def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, comp) with one key and different comp whose sizes and sketches don't rule a link
-    out. Groups are compared in tiles of bounded size: a group of k rows is dealt into k / tile_rows parts, and
-    each two parts meet in one tile, so no task holds a whole group."""
-    import pyarrow as pa
+class Labels:
+    """Which of a tile's rows are joined: the labels they came with, and what was joined since."""
+
+    def __init__(self, labels: np.ndarray):
+        names, self.of = np.unique(labels, return_inverse=True)
+        counts = np.bincount(self.of)
+        # Rows outside the most frequent label come first, as only they need to be compared with all others.
+        self.order = np.concatenate([np.nonzero(self.of != counts.argmax())[0], np.nonzero(self.of == counts.argmax())[0]])
+        self.open = len(self.of) - int(counts.max())
+
+    def join(self, i: int, k: int) -> None:
+        self.of[self.of == self.of[k]] = self.of[i]
 
+
+def joined_pairs(part: np.ndarray, crossing: bool, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sketches: list[bytes], t: Fraction, holds=None):
+    """Pairs of a tile's rows that join rows of different comps: their sizes and sketches don't rule a link out and, if
+    given, holds(i, k) confirms it. A pair that would join what is joined already is left out. In a tile of two parts
+    (crossing), pairs of one part are another tile's."""
+    labels = Labels(comp)
+    if not labels.open:
+        return
     num, den = t.numerator, t.denominator
-    parts = F.ceil(F.col("n") / tile_rows).cast("int")
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n"))
-    rows = groups.join(sizes, "key").join(about.select("node", "n_shingles", "sketch"), "node")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "comp", "n_shingles", "sketch")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def pairs(lo, hi, part, node, comp, n, sk):
-        if len(node) < 2 or (comp == comp[0]).all():
-            return
-        width = min(map(len, sk))
-        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sk])
-        for i in range(len(node) - 1):
-            j = slice(i + 1, None)
-            ok = (comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))
-            if lo != hi:
-                ok &= part[j] != part[i]
-            at = np.nonzero(ok)[0] + i + 1
-            if len(at):
-                far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                for k in at[(den + num) * far <= (den - num) * (n[at] + n[i])]:
+    width = min(map(len, sketches))
+    bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketches])
+    order = labels.order
+    for at in range(min(labels.open, len(order) - 1)):
+        i, rest = order[at], order[at + 1 :]
+        ok = (labels.of[rest] != labels.of[i]) & (den * np.minimum(n[rest], n[i]) >= num * np.maximum(n[rest], n[i]))
+        if crossing:
+            ok &= part[rest] != part[i]
+        rest = rest[ok]
+        if len(rest):
+            far = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            for k in rest[(den + num) * far <= (den - num) * (n[rest] + n[i])]:
+                if labels.of[k] != labels.of[i] and (holds is None or holds(i, k)):
+                    labels.join(i, k)
                     yield min(node[i], node[k]), max(node[i], node[k])
 
-    def run(batches):
+
+def tiled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows with a key, dealt into tiles: of the ``parts`` of their key, each two meet in one tile, so no task holds a whole group."""
+    rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other")
+
+
+def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -> DataFrame:
+    """From rows (key, node, comp), pairs (a, b) with one key whose sizes and sketches don't rule a link out, enough of them to
+    join what such pairs join."""
+    import pyarrow as pa
+
+    parts = groups.groupBy("key").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
+    rows = tiled(groups.join(about.select("node", "n_shingles", "sketch"), "node"), parts)
+    rows = rows.select("key", "lo", "hi", "part", "node", "comp", "n_shingles", "sketch").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def likely(batches):
         held: list[pa.RecordBatch] = []
-        last = None
 
         def flush(table):
             key, lo, hi, part, node, comp, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "part", "node", "comp", "n_shingles"))
@@ -329,7 +354,7 @@ def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -
             found = set()
             for a, b in zip([0, *cut], [*cut, len(key)], strict=True):
                 if b - a > 1:
-                    found.update(pairs(lo[a], hi[a], part[a:b], node[a:b], comp[a:b], n[a:b], sk[a:b]))
+                    found.update(joined_pairs(part[a:b], lo[a] != hi[a], node[a:b], comp[a:b], n[a:b], sk[a:b], t))
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -338,24 +363,50 @@ def compared(groups: DataFrame, about: DataFrame, t: Fraction, tile_rows: int) -
                 continue
             held.append(batch)
             table = pa.Table.from_batches(held)
-            ends = [table.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
             same = np.ones(table.num_rows, bool)
-            for c, v in zip(("key", "lo", "hi"), ends, strict=True):
-                same &= table.column(c).to_numpy() == v
+            for c in ("key", "lo", "hi"):
+                same &= table.column(c).to_numpy() == table.column(c)[-1].as_py()
             k = int(np.nonzero(~same)[0][-1]) + 1 if not same.all() else 0
             if k:
                 yield flush(table.slice(0, k))
             held = table.slice(k).to_batches()
-            last = ends
-        if held and last is not None:
+        if held:
             yield flush(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(likely, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64) -> DataFrame:
+def settled(groups: DataFrame, about: DataFrame, texts: DataFrame, n: int, t: Fraction, tile_shingles: int) -> DataFrame:
+    """From rows (key, node, comp), pairs (a, b) with one key that are linked, verified on whole sets, enough of them to join what
+    links join. Tiles are of bounded size in shingles."""
+    import pyarrow as pa
+
+    sized = groups.join(about.select("node", "n_shingles", "sketch"), "node")
+    parts = sized.groupBy("key").agg(F.ceil(F.sum("n_shingles") / tile_shingles).cast("int").alias("parts"))
+    rows = tiled(sized.join(texts, "node"), parts).select("key", "lo", "hi", "part", "node", "comp", "n_shingles", "sketch", "text")
+
+    def links(table: pa.Table) -> pa.Table:
+        out = []
+        if table.num_rows > 1:
+            part, node, comp, size = (table.column(c).to_numpy() for c in ("part", "node", "comp", "n_shingles"))
+            sets: dict[int, np.ndarray] = {}
+
+            def own(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingles(table.column("text")[int(i)].as_py(), n)
+                return sets[i]
+
+            crossing = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+            out = list(joined_pairs(part, crossing, node, comp, size, table.column("sketch").to_pylist(), t, lambda i, k: linked(own(i), own(k), t)))
+            forget()
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(links, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64, tile_shingles: int = 1_000_000) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id of its component)."""
-    facts = clusters(docs, n, threshold, id_col, text_col, tile_rows, hot)
+    facts = clusters(docs, n, threshold, id_col, text_col, tile_rows, hot, tile_shingles)
     # Sets of one id link with each other.
     several = facts.where("cluster is not null").groupBy("doc").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("doc is not null and a != b").select("doc")
     several = written(several, "several")
@@ -367,7 +418,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col:
     return facts.join(least, "cluster", "left").select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
 
 
-def clusters(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64) -> DataFrame:
+def clusters(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64, tile_shingles: int = 1_000_000) -> DataFrame:
     """One row per input row: doc, text_hash (xxhash64 of its text), n_shingles, cluster: equal for the rows whose sets are
     joined by links, null for the empty set. Ids play no part."""
     t = Fraction(threshold)
@@ -378,49 +429,32 @@ def clusters(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str =
     told = facts.where("keys is not null")
     keys = written(shared_keys(told, hot), "shown")
     about = told.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-
-    def crossing(labelled: DataFrame) -> DataFrame:
-        """Of (key, node, comp, ...), the keys with several comps."""
-        several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        return labelled.join(several, "key", "left_semi")
-
     # 1. Each key's nodes against the least of them: likely links.
     star = keys.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     likely = written(close(star, about, t), "likely")
     groups = components(likely)
     # 2. What shares a key across the groups that likely links make.
     apart = keys.join(groups, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    others = written(compared(crossing(apart), about, t, tile_rows), "others")
+    several = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    others = compared(apart.join(several, "key", "left_semi"), about, t, tile_rows)
     pairs = written(likely.union(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(facts.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("x")).select("node", "x.*"), "wanted")
+    groups = components(pairs)
+    wanted = written(facts.join(groups.select("node"), "node").groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("x")).select("node", "x.*"), "wanted")
     met = (base["text_hash"] == wanted["text_hash"]) & base["doc"].eqNullSafe(wanted["doc"])
     texts = written(base.join(small_first(wanted), met).select("node", "text").dropDuplicates(["node"]), "texts")
-    # 3. One pair of each node verified, then the pairs that would still join two components.
-    first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    # 3. One pair of each node verified, which settles most groups.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(verified(first, texts, n, t), "links")
-    comps = components(links)
-    open_ = apart_pairs(pairs.join(first, ["a", "b"], "left_anti"), comps)
-    more = written(verified(open_, texts, n, t), "links")
+    final = components(links)
+    # 4. Groups of likely links that did not all hold: within them, whatever links join.
+    within = groups.join(final.toDF("node", "own"), "node", "left").select(F.col("comp").alias("key"), "node", F.coalesce("own", "node").alias("comp"))
+    split = within.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    more = written(settled(written(within.join(split, "key", "left_semi"), "within"), about, texts, n, t, tile_shingles), "links")
     if more.take(1):
-        links = links.union(more)
-        comps = components(links)
-    # 4. Groups of likely links that did not all hold: the pairs within them that no verified link joins.
-    within = keys.join(groups, "node").join(comps, "node", "left").select("key", "node", groups["comp"].alias("group"), F.coalesce(comps["comp"], "node").alias("comp"))
-    split = within.groupBy("group").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("group")
-    inside = crossing(within.join(split, "group", "left_semi").select(F.xxhash64("key", "group").alias("key"), "node", "comp"))
-    rest = compared(inside, about, t, tile_rows).join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(rest, texts, n, t), "links")
-    final = components(links.union(more)) if more.take(1) else comps
+        final = components(links.union(more))
     return written(facts.join(final, "node", "left").select("doc", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")).alias("cluster")), "labelled")
 
 
-def apart_pairs(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends lie in different components."""
-    both = pairs.join(comps.toDF("a", "comp_a"), "a", "left").join(comps.toDF("b", "comp_b"), "b", "left")
-    return both.where("coalesce(comp_a, a) != coalesce(comp_b, b)").select("a", "b")
-
-
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
