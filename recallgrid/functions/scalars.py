@@ -45,11 +45,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine in double precision; 0 where a norm is 0, null where a vector is null or lengths differ."""
+def cosine(a: Column | str, b: Column | str, unequal: str = "null") -> Column:
+    """Cosine in double precision; 0 where a norm is 0, null where a vector is null. Where lengths differ: null (a scan skips
+    the pair), zero (as the classifier counts it), or with zip the dot product over the shorter and norms over all."""
     a, b = col(a), col(b)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(F.size(a) == F.size(b), F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms))
+    same = F.size(a) == F.size(b)
+    if unequal == "zip":
+        n = F.least(F.size(a), F.size(b))
+        return F.when(a.isNotNull() & b.isNotNull(), F.when(norms == 0, 0.0).otherwise(dot(F.slice(a, 1, n), F.slice(b, 1, n)) / norms))
+    out = F.when(same, F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms))
+    return out if unequal == "null" else F.when(a.isNotNull() & b.isNotNull(), F.when(same, out).otherwise(0.0))
 
 
 def jaccard(a: Column | str, b: Column | str) -> Column:
@@ -146,12 +152,95 @@ def is_uuid(text: Column | str) -> Column:
     return col(text).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
 
-def truncate_content(text: Column | str, most: int) -> Column:
-    """At most so many characters, dots within the budget (for ASCII; byte budgets of other text see text.truncate_bytes)."""
+def byte_prefix(text: Column | str, most: int) -> Column:
+    """At most so many bytes from the front, cut at a character."""
+    b = F.encode(col(text), "UTF-8")
+
+    def inner(i: int) -> Column:  # whether the byte at a place goes on a character
+        return F.substring(F.hex(F.substring(b, i, 1)), 1, 1).isin("8", "9", "A", "B")
+
+    end = F.when(~inner(most + 1), most)
+    for back in (1, 2):
+        if most - back >= 0:
+            end = end.when(~inner(most + 1 - back), most - back)
+    return F.decode(F.substr(b, F.lit(1), end.otherwise(max(0, most - 3))), "UTF-8")
+
+
+def truncated_bytes(text: Column | str, most: int) -> Column:
+    """At most so many bytes, dots within the budget; dots alone where it is three or less."""
     t = col(text)
-    if most <= 3:
-        return F.when(F.length(t) <= most, t).otherwise("." * most)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(most - 3)), F.lit("...")))
+    cut = F.lit("." * most) if most <= 3 else F.concat(byte_prefix(t, most - 3), F.lit("..."))
+    return F.when(F.octet_length(t) <= most, t).otherwise(cut)
+
+
+def chain_hint(text: Column | str, most: int) -> Column:
+    """At most so many bytes, and dots beyond the budget."""
+    t = col(text)
+    return F.when(F.octet_length(t) <= most, t).otherwise(F.concat(byte_prefix(t, most), F.lit("...")))
+
+
+def url_decoded(text: Column | str) -> Column:
+    """Plus signs as spaces, %XX decoded; escapes that aren't one stay."""
+    return F.try_url_decode(F.regexp_replace(col(text), "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def query_params(text: Column | str) -> Column:
+    """(key, value) of each part of a query string, in order, values decoded."""
+    parts = F.filter(F.split(col(text), "&"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), url_decoded(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value")))
+
+
+def query_param(text: Column | str, key: str) -> Column:
+    """The first value of a key; null if there is none."""
+    return F.try_element_at(F.filter(query_params(text), lambda p: p["key"] == key), F.lit(1))["value"]
+
+
+def reference_date(text: Column | str) -> Column:
+    """A date, or the date that a longer text begins with; null otherwise."""
+    day = F.left(F.trim(col(text)), F.lit(10))
+    return F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
+
+
+def format_resolved(first: Column | str, last: Column | str, label: Column | str) -> Column:
+    """A resolved date or range as text, its label in brackets."""
+    a, b, tail = col(first).cast("string"), col(last).cast("string"), F.coalesce(F.concat(F.lit(" ("), col(label), F.lit(")")), F.lit(""))
+    return F.concat(F.when(b.isNull() | (a == b), a).otherwise(F.concat(a, F.lit(" to "), b)), tail)
+
+
+def resolver_language(text: Column | str) -> Column:
+    """The language whose rules read an expression. There is one, and texts of any length and language go to it."""
+    return F.when(col(text).isNotNull(), "english")
+
+
+def format_memory(id_, content, state, energy, access_count, created_at) -> Column:
+    return F.format_string("ID: %s\nContent: %s\nState: %s (energy: %.2f)\nAccess count: %s\nCreated: %s", col(id_).cast("string"), col(content), col(state), col(energy), col(access_count).cast("string"), col(created_at).cast("string"))
+
+
+def format_item(content, secondary, tertiary, category) -> Column:
+    """An identity item on one line; what is missing is left out."""
+    return F.concat_ws(" ", col(content), F.concat(F.lit("("), col(secondary), F.lit(")")), F.concat(F.lit("["), col(tertiary), F.lit("]")), F.concat(F.lit("{"), col(category), F.lit("}")))
+
+
+def lens_name(name: Column | str) -> Column:
+    """Letters, digits, hyphens and underscores alone; null if nothing is left."""
+    return F.nullif(F.regexp_replace(col(name), r"[^\p{L}\p{N}_-]", ""), F.lit(""))
+
+
+def citation_short(author, year) -> Column:
+    return F.concat(F.lit("("), col(author), F.lit(", "), col(year), F.lit(")"))
+
+
+def citation_instruction(title, reference) -> Column:
+    """What a reader of a cited source is told."""
+    return F.concat(F.lit("When presenting information from "), col(title), F.lit(", always include the APA 7 citation.\nFull reference: "), col(reference))
+
+
+def vector_bytes(vector: Column | str) -> Column:
+    """Little-endian 32-bit floats of a vector; the reverse of vector_of, in Arrow batches."""
+    import numpy as np
+
+    pack = F.pandas_udf(lambda column: column.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes()), "binary", F.PandasUDFType.SCALAR)
+    return pack(col(vector))
 
 
 def citation_reference(author, year, title, edition, doi, url, publisher) -> Column:

@@ -30,7 +30,9 @@ ACCENTED, PLAIN = _accents()
 def tokens(content: Column | str) -> Column:
     """Lower-case runs of letters and digits, accents folded."""
     c = F.col(content) if isinstance(content, str) else content
-    return F.filter(F.split(F.translate(F.lower(c), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    low = F.lower(c)
+    folded = F.when(low.rlike("[\u00c0-\u024f]"), F.translate(low, ACCENTED, PLAIN)).otherwise(low)  # most texts have none
+    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 
 def query_phrases(query: str) -> list[list[str]]:
@@ -114,6 +116,17 @@ def percent_decode(text: str) -> str:
     return re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), data).decode("utf-8", "replace")
 
 
+def multipart_file(body: bytes, boundary: str) -> tuple[str, bytes] | None:
+    """Name and bytes of the first file of a multipart body; none if it holds none."""
+    parts = body.split(b"--" + boundary.encode())
+    for part in parts[1:-1]:  # what lies between two boundaries
+        head, blank, data = part.removeprefix(b"\r\n").partition(b"\r\n\r\n")
+        named = re.search(r'filename="([^"]+)"', head.decode("utf-8", "replace"))
+        if blank and named:
+            return named[1], data.removesuffix(b"\r\n")
+    return None
+
+
 # Porter's algorithm (1980): suffixes of steps 2 to 4, longest first within each rule list.
 _STEP2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"),

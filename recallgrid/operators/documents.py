@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.functions.scalars import title_case  # noqa: F401  part of this module's surface
+from recallgrid.functions.scalars import SMALL_WORDS, title_case  # noqa: F401  title_case is part of this module's surface
 from recallgrid.functions.text import query_phrases, tokens
 from recallgrid.operators.retrieval import bm25_part, counted
 
@@ -59,27 +62,82 @@ def _page_of(marks: list[tuple[int, int]], at: int) -> int:
     return max((m for m in marks if m[0] + len(PAGE_MARK.format(m[1])) - 1 <= at), default=(0, 1))[1]
 
 
-def _cut(pages_: list[tuple[int, str]], headings: list[tuple[str, int, str, str]], first_page: int) -> list[dict]:
-    """Sections from (pattern, level, title template, kind): each heading runs to the next; a heading's parent is the last one
-    of a smaller level, where level 0 stands alone and ends every parent."""
+@dataclass(frozen=True)
+class Heading:
+    """A kind of heading. Its level ends the open headings of its own and deeper levels; its parent is the open heading of the
+    first of the levels in under that has one. Level 0 stands alone and ends all. With coded, its first groups are codes."""
+
+    pattern: str
+    level: int
+    title: Callable[..., str]
+    under: tuple[int, ...] = ()
+    kind: str = "other"
+    coded: tuple[int, ...] = ()
+
+
+def _cut(pages_: list[tuple[int, str]], headings: list[Heading], first_page: int) -> list[dict]:
+    """Sections of a text by its headings, each from its place to the next heading; those before first_page are left out."""
     full = "\n".join(PAGE_MARK.format(n) + text for n, text in pages_)
     marks = _pages_at(full)
-    found = sorted((m.start(), level, template.format(*(g.strip() for g in m.groups())), kind) for pattern, level, template, kind in headings for m in re.finditer(pattern, full, re.M))
-    parents: dict[int, str] = {}
+    found = sorted(((m.start(), i, m) for i, h in enumerate(headings) for m in re.finditer(h.pattern, full, re.M)), key=lambda x: x[:2])
+    open_: dict[int, str] = {}
     out = []
-    for i, (at, level, title, kind) in enumerate(found):
-        end = found[i + 1][0] if i + 1 < len(found) else len(full)
-        parents = {k: v for k, v in parents.items() if k < level}
-        parent = parents[max(parents)] if parents and level > 0 else None
-        if level > 0:
-            parents[level] = title
-        content = re.sub(r"<<<PAGE \d+>>>\n?", "", full[at:end])
-        row = {"title": title, "parent": parent, "page_start": _page_of(marks, at), "page_end": _page_of(marks, end), "content": content, "codes": re.findall(r"F\d{2}(?:\.\d{1,2})?", content), "section_type": kind}
+    for (at, i, m), end in zip(found, [*(x[0] for x in found[1:]), len(full)], strict=False):
+        heading = headings[i]
+        groups = [g.strip() for g in m.groups()]
+        title = heading.title(*groups)
+        parent = next((open_[x] for x in heading.under if x in open_), None)
+        open_ = {x: t for x, t in open_.items() if x < heading.level}
+        if heading.level:
+            open_[heading.level] = title
+        row = {"title": title, "parent": parent, "page_start": _page_of(marks, at), "page_end": _page_of(marks, end), "content": re.sub(r"<<<PAGE \d+>>>\n?", "", full[at:end])}
         if row["page_start"] >= first_page:
-            out.append(row)
+            out.append(row | {"codes": [groups[k] for k in heading.coded], "section_type": heading.kind})
     return out
 
 
+class Handbook:
+    """Numbered sections in chapters in parts. From page 11 on, as the table of contents before has the same form."""
+
+    id = "dsm5trhandbook"
+    # The forms of headings, and the first page of content.
+    HEADINGS = [
+        Heading(r"(?i)^part\s+(\d+)\s*:\s*(.+?)$", 1, "Part {}: {}".format),
+        Heading(r"(?i)^chapter\s+(\d+)\s*:\s*(.+?)$", 2, "Chapter {}: {}".format, (1,)),
+        Heading(r"^(\d+)\.(\d+)\s+([A-Z][^\n]+?)$", 3, "{}.{} {}".format, (2,)),
+        Heading(r"^(\d+)\.(\d+)\.(\d+)\s+([A-Z][^\n]+?)$", 4, "{}.{}.{} {}".format, (3,)),
+    ]
+    FIRST_PAGE = 11
+
+    def matches(self, name: Column, sample: Column) -> Column:
+        low = F.lower(name)
+        return low.contains("handbook") & (low.contains("dsm") | low.contains("diagnostic"))
+
+    def sections(self, pages: list[tuple[int, str]]) -> list[dict]:
+        return _cut(pages, self.HEADINGS, self.FIRST_PAGE)
+
+
+class Classification:
+    """Codes and their titles in blocks in chapters, from page 44 on."""
+
+    id = "icd11"
+    # The forms of headings, and the first page of content.
+    HEADINGS = [
+        Heading(r"^CHAPTER\s+(\d{2})\s*\n+([A-Z][^\n]+?)$", 1, "Chapter {}: {}".format),
+        Heading(r"^([A-Z][A-Za-z0-9\s,\-']+?)\s+\(([A-Z0-9]{2,5})-([A-Z0-9]{2,5}(?:\.[A-Z0-9])?)\)\s*$", 2, "{} ({}-{})".format, (1,), coded=(1, 2)),
+        Heading(r"^([0-9][A-Z][A-Z0-9]{2})\s+([A-Z][^\n]+?)$", 3, "{} {}".format, (2, 1), "disorder", (0,)),
+        Heading(r"^([0-9][A-Z][A-Z0-9]{2}\.[A-Z0-9]+)\s+([A-Z][^\n]+?)$", 4, "{} {}".format, (3, 2), "disorder", (0,)),
+    ]
+    FIRST_PAGE = 44
+
+    def matches(self, name: Column, sample: Column) -> Column:
+        low = F.lower(name)
+        return low.contains("icd") & low.contains("11")
+
+    def sections(self, pages: list[tuple[int, str]]) -> list[dict]:
+        return _cut(pages, self.HEADINGS, self.FIRST_PAGE)
+
+
 class Manual:
     """Disorder entries, each with its standard sub-sections; codes of an entry hold for its sub-sections."""
 
@@ -113,25 +171,33 @@ class Manual:
         return out
 
 
+def _titled(text: str) -> str:
+    """Words in lower case with a capital in front, small ones without."""
+    return " ".join(w if w in SMALL_WORDS else w[:1].upper() + w[1:] for w in text.lower().split())
+
+
 class Ethics:
-    """Numbered standards under numbered parts."""
+    """Numbered standards under numbered parts, from page 3 on."""
 
     id = "nasw_ethics"
+    # The forms of headings, and the first page of content.
+    HEADINGS = [
+        Heading(r"^(Preamble|Purpose Of The NASW Code Of Ethics|Ethical Principles|Ethical Standards|Overview)\s*$", 0, "{}".format),
+        Heading(r"^(\d)\.\s+(SOCIAL WORKERS[''’]?\s+ETHICAL RESPONSIBILITIES[^\n]+)$", 1, lambda n, t: f"{n}. {_titled(t)}"),
+        Heading(r"^(\d)\.(\d{2})\s+([A-Z][^\n]+?)$", 2, "{}.{} {}".format, (1,)),
+    ]
+    FIRST_PAGE = 3
 
     def matches(self, name: Column, sample: Column) -> Column:
         low = F.lower(name)
         return low.contains("ethics") & (low.contains("nasw") | (low.contains("code") & low.contains("social")))
 
     def sections(self, pages: list[tuple[int, str]]) -> list[dict]:
-        heads = [
-            (r"^(Preamble|Purpose of the NASW Code of Ethics|Ethical Principles)\s*$", 0, "{}", "other"),
-            (r"^(\d)\.\s+(SOCIAL WORKERS[^\n]+)$", 1, "{}. {}", "other"),
-            (r"^(\d)\.(\d{2})\s+([A-Z][^\n]+)$", 2, "{}.{} {}", "other"),
-        ]
-        return _cut(pages, heads, 3)
+        return _cut(pages, self.HEADINGS, self.FIRST_PAGE)
 
 
-PROFILES: list[Profile] = [Manual(), Ethics()]
+#: In the order in which they are asked.
+PROFILES: list[Profile] = [Handbook(), Manual(), Classification(), Ethics()]
 SECTION = "source string, rowid long, profile string, title string, parent string, page_start int, page_end int, content string, codes array<string>, section_type string"
 
 
@@ -182,36 +248,156 @@ def index(paged: DataFrame, profiles: list[Profile] | None = None) -> DataFrame:
     return parsed.unionByName(bare)
 
 
-def parse_query(query: str) -> list[tuple[str, str]]:
-    """(AND | OR | NOT, phrase) steps of a full-text query, read from left to right; AND where nothing stands between."""
-    steps, op = [], "AND"
-    for quoted, word in re.findall(r'"([^"]*)"|(\S+)', query):
-        if word in ("AND", "OR", "NOT"):
-            op = word
-        elif quoted or word:
-            steps.append((op, quoted or word))
-            op = "AND"
-    return steps
+def page_range(paged: DataFrame, first: int, last: int) -> DataFrame:
+    """The pages of each source from first to last."""
+    return paged.where(F.col("page_number").between(first, last))
+
+
+def section(sections: DataFrame, source: str, title: str) -> DataFrame:
+    """The first section of a source with exactly this title."""
+    return sections.where((F.col("source") == source) & (F.col("title") == title)).orderBy("rowid").limit(1)
+
+
+def of_type(sections: DataFrame, section_type: str) -> DataFrame:
+    return sections.where(F.col("section_type") == section_type)
+
+
+def titles(sections: DataFrame) -> DataFrame:
+    """(source, title) of the top sections, each title once, in the order in which they stand."""
+    return sections.where("parent is null").groupBy("source", "title").agg(F.min("rowid").alias("at")).orderBy("source", "at").select("source", "title")
+
+
+def index_kinds(sections: DataFrame) -> DataFrame:
+    """(source, index_type, profile) of each index; pages where a profile has cut nothing."""
+    known = F.max(F.col("rowid") > 0)
+    return sections.groupBy("source").agg(F.when(known, "sections").otherwise("pages").alias("index_type"), F.when(known, F.max("profile")).otherwise("pages").alias("profile"))
+
+
+def hydrated(hits: DataFrame, sections: DataFrame) -> DataFrame:
+    """Hits (source, rowid, ...) with what they stand for: a positive row is a section, read from the index; any other is a page
+    named by its number, without codes."""
+    page = -F.col("rowid")
+    told = sections.where("rowid > 0").select("source", "rowid", "title", "parent", "page_start", "page_end", "codes", "section_type")
+    cut = hits.where("rowid > 0").join(told, ["source", "rowid"])
+    bare = hits.where("rowid <= 0").select(
+        *hits.columns,
+        F.concat(F.lit("Page "), page.cast("string")).alias("title"),
+        F.lit(None).cast("string").alias("parent"),
+        page.cast("int").alias("page_start"),
+        page.cast("int").alias("page_end"),
+        F.array().cast("array<string>").alias("codes"),
+        F.lit("page").alias("section_type"),
+    )
+    return cut.select(*bare.columns).unionByName(bare)
+
+
+def codes_of(text: Column | str) -> Column:
+    """Codes of a JSON list; none where it can't be read."""
+    return F.coalesce(F.from_json(F.col(text) if isinstance(text, str) else text, "array<string>"), F.array().cast("array<string>"))
+
+
+def related(sources: DataFrame, name: str) -> DataFrame:
+    """A source and those that its sidecar names, which exist."""
+    named = sources.where(F.col("source") == name).select(F.explode(F.concat(F.array("source"), F.coalesce("related_sources", F.array().cast("array<string>")))).alias("source")).distinct()
+    return named.join(sources.select("source"), "source", "left_semi")
+
+
+def search_related(sections: DataFrame, sources: DataFrame, name: str, query: str, limit: int = 10) -> DataFrame:
+    """search over a source and its related ones; sources without an index give nothing."""
+    return search(sections.join(related(sources, name), "source", "left_semi"), query, limit)
+
+
+def search_type(sections: DataFrame, query: str, section_type: str, limit: int = 10) -> DataFrame:
+    """search among the sections of a type, with shorter snippets; sources that are indexed by page are searched as they are."""
+    cut = index_kinds(sections).where("index_type = 'sections'").select("source")
+    return search(sections, query, limit, F.col("section_type") == section_type, cut, 32)
+
+
+def parse_query(query: str) -> tuple[list[list[str]], object]:
+    """The phrases of a full-text query, and the query as a tree: a phrase's number, or (operator, left, right). NOT binds
+    before AND, AND before OR, and words that merely follow one another before all of these; round brackets group.
+
+    A query that can't be read that way raises a ValueError."""
+    steps = re.findall(r'"([^"]*)"|([()])|([^\s()"]+)', query)
+    words = [("phrase", quoted) if not mark and not word else (mark or ("op" if word in ("AND", "OR", "NOT") else "phrase"), word) for quoted, mark, word in steps]
+    phrases: list[list[str]] = []
+    at = 0
+
+    def kind() -> str | None:
+        return words[at][0] if at < len(words) else None
+
+    def one():
+        nonlocal at
+        if kind() == "(":
+            at += 1
+            inner = level(0)
+            if kind() != ")":
+                raise ValueError(f"a bracket of {query!r} isn't closed")
+            at += 1
+            return inner
+        if kind() != "phrase":
+            raise ValueError(f"{query!r} lacks a word")
+        found = query_phrases("-".join(words[at][1].split()))
+        at += 1
+        if not found:
+            return None  # punctuation alone
+        phrases.append(found[0])
+        return len(phrases) - 1
+
+    def sequence():
+        out = one()
+        while kind() in ("phrase", "("):
+            out = both("AND", out, one())
+        return out
+
+    def both(op: str, left, right):
+        return right if left is None and op != "NOT" else left if right is None else (op, left, right)
+
+    def level(i: int):
+        nonlocal at
+        if i == 3:
+            return sequence()
+        op = ("OR", "AND", "NOT")[i]
+        out = level(i + 1)
+        while at < len(words) and words[at] == ("op", op):
+            at += 1
+            out = both(op, out, level(i + 1))
+        return out
+
+    tree = level(0) if words else None
+    if at < len(words):
+        raise ValueError(f"{query!r} can't be read from {words[at][1]!r} on")
+    return phrases, tree
 
 
-def search(sections: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """(source, rowid, title, snippet, score) over title, content and codes, best first over all sources."""
-    steps = [(op, *query_phrases("-".join(p.split()))) for op, p in parse_query(query)]
-    steps = [s for s in steps if len(s) == 2]
-    if not steps:
+def search(sections: DataFrame, query: str, limit: int = 10, keep: Column | None = None, keep_in: DataFrame | None = None, width: int = 40) -> DataFrame:
+    """(source, rowid, title, snippet, score) over title, content and codes, best first over all sources. What keep names, in the
+    sources of keep_in (all, if none), is shown; statistics are of all sections."""
+    phrases, tree = parse_query(query)
+    if tree is None:
         return sections.select("source", "rowid", "title", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
     body = F.concat_ws(" ", "title", "content", F.array_join("codes", " "))
     docs = sections.withColumn("id", F.struct("source", "rowid")).withColumn("body", body)
-    rows, stats = counted(docs, [p for _, p in steps], "body")
-    wanted_rows, score = F.lit(True), F.lit(0.0)
-    for i, (op, _) in enumerate(steps):
-        hit = F.col(f"tf{i}") > 0
-        wanted_rows = (wanted_rows & ~hit) if op == "NOT" else hit if not i else (wanted_rows | hit) if op == "OR" else (wanted_rows & hit)
-        score = score if op == "NOT" else score + bm25_part(i)
-    found = rows.where(wanted_rows).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
-    wanted = [w for op, p in steps if op != "NOT" for w in p]
+    rows, stats = counted(docs, phrases, "body")
+    scoring: list[int] = []
+
+    def condition(node, counts: bool = True) -> Column:
+        if isinstance(node, int):
+            scoring.extend([node] if counts else [])
+            return F.col(f"tf{node}") > 0
+        op, left, right = node
+        a, b = condition(left, counts), condition(right, counts and op != "NOT")
+        return a & ~b if op == "NOT" else a & b if op == "AND" else a | b
+
+    where = condition(tree)
+    score = reduce(lambda x, y: x + y, (bm25_part(i) for i in scoring))
+    found = rows.where(where).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+    wanted = [w for i in scoring for w in phrases[i]]
+    if keep is not None:
+        shown = docs.where(keep) if keep_in is None else docs.where(keep).join(keep_in, "source", "left_semi").select("id").union(docs.join(keep_in, "source", "left_anti").select("id"))
+        found = found.join(shown.select("id"), "id", "left_semi")
     top = found.orderBy(F.desc("score"), "id").limit(limit)  # snippets are made for what is shown
-    return docs.join(F.broadcast(top), "id").select("source", "rowid", "title", snippet(F.col("content"), wanted).alias("snippet"), "score")
+    return docs.join(F.broadcast(top), "id").select("source", "rowid", "title", snippet(F.col("content"), wanted, width).alias("snippet"), "score")
 
 
 def snippet(content: Column, words: list[str], width: int = 40) -> Column:

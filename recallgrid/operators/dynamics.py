@@ -28,6 +28,15 @@ def time_decay(memories: DataFrame, edges: DataFrame, elapsed_hours: float, per_
     return decay(memories, amount), decay_edges(edges, amount, edge_rate)
 
 
+def decay_since(memories: DataFrame, edges: DataFrame, last_decay_at: int | None, now: int, per_day: float = 0.05, interval_hours: float = 1.0, edge_rate: float = 1.0):
+    """time_decay from the time of the last decay on, and the time to note: now, or the old one where nothing was due. A store
+    without a note counts as decayed a day ago."""
+    hours = 24.0 if last_decay_at is None else (now - last_decay_at) / 3600
+    if hours < interval_hours:
+        return memories, edges, last_decay_at
+    return *time_decay(memories, edges, hours, per_day, interval_hours, edge_rate), now
+
+
 def tick_decay(memories: DataFrame, edges: DataFrame, per_day: float = 0.05, edge_rate: float = 1.0):
     return decay(memories, per_day / 24.0), decay_edges(edges, per_day / 24.0, edge_rate)
 

@@ -12,6 +12,11 @@ def prune_weak(edges: DataFrame, least: float = 0.05) -> DataFrame:
     return edges.where(F.col("weight") >= least)
 
 
+def pruned_counts(edges: DataFrame, least: float = 0.05) -> DataFrame:
+    """How many edges pruning keeps and drops."""
+    return edges.agg(F.count_if(F.col("weight") >= least).alias("kept"), F.count_if(~(F.col("weight") >= least)).alias("pruned"))
+
+
 def prune_orphans(edges: DataFrame, memories: DataFrame) -> DataFrame:
     """Edges whose two ends exist."""
     ids = memories.select("id")

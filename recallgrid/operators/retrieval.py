@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.functions.scalars import cosine, source_bucket
 from recallgrid.functions.text import fallback_terms, query_phrases, shaping_tokens, tokens
+from recallgrid.operators import postings
 
 RRF_K = 60
 
@@ -98,10 +99,10 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return every.groupBy("id").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total / (len(lists) / (k + 1)))).alias("score"))
 
 
-def hybrid(memories: DataFrame, q: DataFrame, query: str, fetch: int, min_score: float, enrichments: DataFrame | None = None) -> DataFrame:
+def hybrid(memories: DataFrame, q: DataFrame, query: str, fetch: int, min_score: float, enrichments: DataFrame | None = None, index: postings.Index | None = None) -> DataFrame:
     """Vector hits fused with keyword hits; without keyword hits, the vector scores as they are."""
     near = knn(memories.select("id", "embedding"), q, fetch, min_score, enrichments)
-    words = bm25(memories, query, fetch)
+    words = bm25(memories, query, fetch) if index is None else postings.bm25(index, query, fetch, places=12)
     fused = rrf([near, words])
     any_word = words.limit(1).agg(F.count("*").alias("hits"))
     plain = near.crossJoin(F.broadcast(any_word)).where("hits = 0").select("id", "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,13 @@ def query_tail(signals: DataFrame, most: int = 50) -> DataFrame:
     return out if most == 0 else out.withColumn("queries", F.slice("queries", F.greatest(F.lit(1), F.size("queries") - most + 1), most))
 
 
+def parsed(rows: DataFrame) -> DataFrame:
+    """Stored sessions with their lists read from JSON; a list that can't be read is empty."""
+    empty = F.array().cast("array<string>")
+    lists = [c for c in ("queries", "created_ids", "recalled_ids") if c in rows.columns]
+    return rows.withColumns({c: F.coalesce(F.from_json(c, "array<string>"), empty) for c in lists})
+
+
 def id_sets(signals: DataFrame, id_col: str = "at") -> DataFrame:
     """Per session its ids without repeats, in the order of first mention."""
     firsts = signals.groupBy("session_id", id_col).agg(F.min("turn").alias("turn"))
@@ -56,3 +63,54 @@ def session_id(seconds: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(seconds), 8, "0"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8)))
 
 
+def upserted(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """Sessions of new in place of those with their ids."""
+    return sessions.join(new.select("session_id"), "session_id", "left_anti").unionByName(new)
+
+
+SIGNAL = ("session_id", "at", "rank", "kind", "text", "memory_id", "embedding")
+
+
+def signals(searches: DataFrame, creations: DataFrame, recalls: DataFrame, memories: DataFrame) -> DataFrame:
+    """What moves a session's centroid, in order of (at, rank): a search's text and vector, each created memory and each recalled
+    memory's vector, with its id. A search's own signal has the rank 1 and all others 0, and ``before`` takes what is
+    strictly earlier, so no search sees itself.
+
+    searches: (session_id, at, text, embedding); creations: (session_id, at, memory_id); recalls: (session_id, at, memory_id).
+    Memories that don't exist or have no vector give no signal.
+    """
+    own = memories.where("embedding is not null").select(F.col("id").alias("memory_id"), "embedding")
+    none, no_text = F.lit(None).cast(dict(own.dtypes)["memory_id"]), F.lit(None).cast("string")
+    asked = searches.select("session_id", "at", F.lit(1).alias("rank"), F.lit("search").alias("kind"), "text", none.alias("memory_id"), "embedding")
+    for kind, rows in (("create", creations), ("recall", recalls)):
+        met = rows.join(own, "memory_id").select("session_id", "at", F.lit(0).alias("rank"), F.lit(kind).alias("kind"), no_text.alias("text"), "memory_id", "embedding")
+        asked = asked.unionByName(met)
+    return asked.select(*SIGNAL)
+
+
+def before(all_signals: DataFrame, searches: DataFrame) -> DataFrame:
+    """For each search (search_id, session_id, at) the signals of its session that were there when it ran."""
+    then = searches.select("search_id", "session_id", F.col("at").alias("search_at"))
+    return all_signals.join(then, "session_id").where("at < search_at or (at = search_at and rank = 0)")
+
+
+def touched(all_signals: DataFrame) -> DataFrame:
+    """Per session: when it was last seen, its number of signals of each kind, and the ids it created or recalled, each once."""
+    count = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("search", "create", "recall")]
+    return all_signals.groupBy("session_id").agg(F.max("at").alias("last_seen_at"), *count, F.sort_array(F.collect_set("memory_id")).alias("ids"))
+
+
+def access_log(searches: DataFrame, recalls: DataFrame) -> DataFrame:
+    """(session_id, search_id, result_ids, recall_id, recalled) of each recall that is the first after a search of its session:
+    a search is taken once, by the next recall, and gone if another search comes first.
+
+    searches: (session_id, at, search_id, result_ids); recalls: (session_id, at, recall_id, recalled). At one time a search
+    comes before a recall. One window a session, without a join."""
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = searches.select("session_id", "at", F.lit(0).alias("kind"), F.col("search_id").alias("event"), F.col("search_id"), "result_ids", none(dict(recalls.dtypes)["recalled"]).alias("recalled"))
+    kinds = dict(searches.dtypes)
+    met = recalls.select("session_id", "at", F.lit(1).alias("kind"), F.col("recall_id").alias("event"), none(kinds["search_id"]).alias("search_id"), none(kinds["result_ids"]).alias("result_ids"), "recalled")
+    order = Window.partitionBy("session_id").orderBy("at", "kind", "event")
+    prior = [F.lag(c).over(order).alias(f"last_{c}") for c in ("kind", "search_id", "result_ids")]
+    every = asked.unionByName(met).select("*", *prior)
+    return every.where("kind = 1 and last_kind = 0").select("session_id", F.col("last_search_id").alias("search_id"), F.col("last_result_ids").alias("result_ids"), F.col("event").alias("recall_id"), "recalled")

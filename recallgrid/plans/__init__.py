@@ -1,3 +1,3 @@
 """Named queries: importing the package fills the registry."""
 
-from recallgrid.plans import catalog, registry  # noqa: F401
+from recallgrid.plans import catalog, lifecycle, reading, registry  # noqa: F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tomllib
 from dataclasses import dataclass, fields
 from typing import ClassVar
@@ -118,6 +120,47 @@ def settings(text: str) -> Settings:
     return Settings(**{k: v for k, v in given.items() if k in kinds and type(v) is kinds[k]})
 
 
+def with_setting(text: str, key: str, value: bool | int | float | str) -> str:
+    """A TOML text with one setting of its [brain] table, which is made if it lacks; comments and everything else stay as they are."""
+    if key not in {f.name for f in fields(Settings)}:
+        raise ValueError(f"unknown setting {key!r}")
+    said = json.dumps(value) if isinstance(value, (bool, str)) else repr(value)
+    lines = text.splitlines()
+    heads = [i for i, line in enumerate(lines) if re.match(r"\s*\[", line)]
+    at = next((i for i in heads if re.match(r"\s*\[\s*brain\s*\]", lines[i])), None)
+    if at is None:
+        return "\n".join([*lines, *([""] if lines else []), "[brain]", f"{key} = {said}"]) + "\n"
+    end = next((i for i in heads if i > at), len(lines))
+    for i in range(at + 1, end):
+        old = re.match(rf"(\s*{key}\s*=\s*)(\"(?:[^\"\\]|\\.)*\"|'[^']*'|[^#]*?)(\s*(?:#.*)?)$", lines[i])
+        if old:
+            lines[i] = f"{old[1]}{said}{old[3]}"
+            break
+    else:
+        while end > at + 1 and not lines[end - 1].strip():
+            end -= 1
+        lines.insert(end, f"{key} = {said}")
+    return "\n".join(lines) + "\n"
+
+
+def copy_document(spark: SparkSession, source: str, folder: str) -> str:
+    """Copy a .pdf file under its sanitised name into a folder, with _2, _3 and so on if that name is taken; the path it has now.
+    A file without the format's mark raises a ValueError."""
+    from recallgrid.functions.scalars import sanitized_name
+
+    if document_files(spark, source).where("error is not null").count():
+        raise ValueError(f"{source} is not a PDF file")
+    name = spark.range(1).select(sanitized_name(F.lit(source.rstrip("/").rsplit("/", 1)[-1]))).first()[0]
+    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    here, there = path(source), path(folder)
+    system = there.getFileSystem(hadoop)
+    system.mkdirs(there)
+    taken = {status.getPath().getName() for status in system.listStatus(there)}
+    out = path(f"{folder.rstrip('/')}/{sanitized_copy_name(name, taken)}")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(here.getFileSystem(hadoop), here, system, out, False, hadoop)
+    return out.toString()
+
+
 def sanitized_copy_name(name: str, taken: set[str]) -> str:
     """A name that is not taken yet: with _2, _3 and so on before the ending."""
     stem, dot, ending = name.rpartition(".")

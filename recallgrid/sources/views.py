@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallgrid.functions.scalars import state_of
+from recallgrid.operators import postings
 from recallgrid.operators.dynamics import hebbian
 
 
@@ -36,6 +37,11 @@ def mem(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     return docs.select(*cols).withColumn("state", state_of("energy"))
 
 
+def keyword_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The postings of the memories, built when first asked for."""
+    return postings.ensure(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 

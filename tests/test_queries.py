@@ -54,7 +54,7 @@ def test_anchors_of_whole_texts(spark):
     import re
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.id: r.content for r in registry.queries()["strip_date_anchors_whole"](spark, SF).collect()}
+    got = {r.id: r.content for r in registry.queries()["strip_date_anchors"](spark, SF).collect()}
     assert any(len(t) > 1000 for t in texts.values())
     assert got == {i: re.sub(r" \(\d{4}-\d{2}-\d{2}\)", "", f"{t}  and").replace("  ", " ").strip(" ") for i, t in texts.items()}
 

@@ -203,7 +203,7 @@ def test_identity(spark):
     items = spark.createDataFrame([("1", "persona_name", "Ada", None, None, None, 1), ("2", "trait", "kind", None, None, None, 2)], identity.SCHEMA)
     items = identity.add(identity.retyped(items, "trait", "value", "old"), "persona_name", "Eve", 3)
     assert {(r.item_type, r.content, r.category) for r in items.collect()} == {("value", "kind", "old"), ("persona_name", "Eve", None)}
-    assert identity.search(items, "Eve").count() == 0 and "<value>kind</value>" in identity.render(items)
+    assert identity.search(items, "Eve").count() == 0 and "<values>\n  • kind\n</values>" in identity.render(items)
     with pytest.raises(ValueError):
         identity.add(items, "nonsense", "x", 1)
 
@@ -213,11 +213,11 @@ def test_documents(spark):
     got = sorted((r.source, r.page_number, r.content[:5]) for r in documents.pages(texts).collect())
     assert got == [("f", 1, "one"), ("f", 3, "two x"), ("p", 1, "aaaaa"), ("p", 2, "bbbbb")]
     page = "Anxiety Disorder\nDiagnostic Criteria\nF41.1 text\nComorbidity\nmore 1.\nPanic Disorder\nbody F40"
-    paged = spark.createDataFrame([("dsm5", 1, page), ("other", 2, "plain rewh page"), ("nasw ethics", 3, "1. SOCIAL WORKERS AND THE PUBLIC\n1.01 Commitment\ntext")], "source string, page_number int, content string")
+    paged = spark.createDataFrame([("dsm5", 1, page), ("other", 2, "plain rewh page"), ("nasw ethics", 3, "1. SOCIAL WORKERS' ETHICAL RESPONSIBILITIES TO CLIENTS\n1.01 Commitment\ntext")], "source string, page_number int, content string")
     rows = documents.index(paged).collect()
     by = {(r.source, r.title): r for r in rows}
     assert by["dsm5", "Anxiety Disorder"].codes == ["F41.1"] and by["dsm5", "Anxiety Disorder - Comorbidity"].parent == "Anxiety Disorder"
-    assert by["other", "Page 2"].rowid == -2 and by["nasw ethics", "1.01 Commitment"].parent == "1. SOCIAL WORKERS AND THE PUBLIC"
+    assert by["other", "Page 2"].rowid == -2 and by["nasw ethics", "1.01 Commitment"].parent == "1. Social Workers' Ethical Responsibilities to Clients"
     hits = documents.search(documents.index(paged), 'rewh OR "body F40"', 5).collect()
     assert {(h.source, h.title) for h in hits} == {("other", "Page 2"), ("dsm5", "Panic Disorder")}
     assert ">>>rewh<<<" in next(h.snippet for h in hits if h.source == "other")
