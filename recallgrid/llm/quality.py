@@ -1,19 +1,24 @@
 """Quality by co-training of two views.
 
-One classifier sees the text's content alone, the other the page's metadata alone (source, language, length as
-told). Both are logistic regressions. They start from the labelled rows; in each round each view scores all
-unlabelled rows, and the rows it is surest of, as many of either class as keeps the labelled balance, become
-labelled examples for the other view. The bounds of what is sure come from counts of log-odds by narrow bins, and
-rows of one bin are taken together; gradients and Hessians are summed over all rows that were taken, by tasks. At the end both are calibrated on rows that took no part in the fit, and
-the calibrated log-odds are combined by a last logistic regression on the same rows, so a view that knows little
-weighs little. Every document is then scored from both views.
+One classifier sees the text's content alone (its words, their forms, and shares of characters), the other the page's
+metadata alone (source, language, length as told). Both are logistic regressions. They start from the labelled rows;
+in each round each view scores all unlabelled rows, and the rows it is surest of, as many of either class as keeps
+the labelled balance, become labelled examples for the other view. The bounds of what is sure come from counts of
+log-odds by narrow bins, and rows of one bin are taken together; gradients and Hessians are summed over all rows that
+were taken, by tasks. At the end both are calibrated on rows that took no part in the fit, and the calibrated log-odds
+are combined by a last logistic regression on the same rows, so a view that knows little weighs little. Every
+document is then scored from both views.
+
+What a word says is its smoothed log-odds among labelled documents, by hash in ``WORD_BUCKETS`` buckets. It is counted in
+two halves of the labelled rows, each half scored by the other's counts, so no document is told by its own label;
+all others are scored by the mean of both.
 
 Of labelled rows the fit reads a bounded sample: ``fit_rows`` of them, those with the smallest hash of their id (all,
 if fewer). Unlabelled rows all take part. Scoring sees every row and the whole of its text.
 
-Defined results: null text is the empty text, null metadata a value of its own; without labels of both classes
-every document gets the labelled share of good ones (one half if there are none); repeated rows are scored alike;
-other input columns are ignored.
+Defined results: null text is the empty text, null metadata a value of its own; of several labels for one id the
+majority counts, and good if there is none; without labels of both classes every document gets the labelled share of
+good ones (one half if there are none); repeated rows are scored alike; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +33,13 @@ from pyspark.sql import functions as F
 from .common import small_first, written
 
 META_BUCKETS = 64
+#: Hash buckets of words, and how many words a worker remembers.
+WORD_BUCKETS, KNOWN_WORDS = 1 << 16, 50_000
 #: Edges of the bins of ranks, and from which rank a view is sure: a probability of 0.9 (of 0.1, on the other side).
 EDGES = np.linspace(-12, 12, 12001)
 SURE = np.arcsinh(np.log(9))
+#: The most steps of a fit.
+STEPS = 40
 _runs = re.compile(r"(.)\1{2,}").findall
 
 
@@ -48,7 +57,44 @@ CLASSES = _classes()
 N_CLASSES = int(CLASSES.max()) + 1
 
 
-def text_features(text: str | None) -> np.ndarray:
+class Words:
+    """What is known of words, kept for those met before: forms, lengths, and what their hash buckets say."""
+
+    def __init__(self, odds: np.ndarray | None):
+        self.odds = odds
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.table = np.empty((0, 9))
+
+    def _row(self, w: str) -> tuple:
+        n = len(w)
+        said = float(self.odds[bucket(w)]) if self.odds is not None else 0.0
+        return (w.isupper(), w[0].isupper(), not w[-1].isalnum(), not any(map(str.isalnum, w)), n, n * n, n <= 3, n >= 12, said)
+
+    def facts(self, words: list[str]) -> np.ndarray:
+        """A row of facts for each word."""
+        if len(self.at) > KNOWN_WORDS:
+            self.forget()
+        at, get = [], self.at.get
+        for w in words:
+            i = get(w)
+            if i is None:
+                i = self.at[w] = len(self.rows)
+                self.rows.append(self._row(w))
+            at.append(i)
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], float)])
+        return self.table[at]
+
+
+def bucket(word: str) -> int:
+    return zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % WORD_BUCKETS
+
+
+def text_features(text: str | None, known: Words) -> np.ndarray:
     text = text or ""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     n = max(1, len(data))
@@ -56,23 +102,28 @@ def text_features(text: str | None) -> np.ndarray:
     words = text.split()
     lines = [x for x in text.split("\n") if x]
     k = max(1, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
+    facts = known.facts(words) if words else np.zeros((1, 9))
+    upper, capital, ends, bare, length, squares, short, long, said = facts.sum(axis=0) / k
     rest = [
         1.0,
         np.log1p(len(words)),
         np.log1p(len(lines)),
-        lengths.mean(),
-        lengths.std(),
+        length,
+        np.sqrt(max(0.0, squares - length * length)),
         len(set(words)) / k,
         len(set(lines)) / max(1, len(lines)),
-        sum(1 for w in words if w.isupper()) / k,
-        sum(1 for w in words if w[:1].isupper()) / k,
-        sum(1 for w in words if not w[-1].isalnum()) / k,
-        sum(1 for w in words if not any(map(str.isalnum, w))) / k,
-        (lengths <= 3).mean(),
-        (lengths >= 12).mean(),
+        upper,
+        capital,
+        ends,
+        bare,
+        short,
+        long,
         len(_runs(text)) / k,
         float(text[-1:] in ".!?"),
+        said,
+        float(facts[:, 8].min()),
+        float(facts[:, 8].max()),
+        said * np.sqrt(k),
     ]
     return np.concatenate([np.sqrt(shares), rest])
 
@@ -86,6 +137,30 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
     return out
 
 
+class Newton:
+    """Newton's steps with a ridge; a step that makes the loss worse is halved until it doesn't."""
+
+    def __init__(self, w: np.ndarray, ridge: float):
+        self.w, self.best, self.ridge = w, w, ridge
+        self.least, self.done = np.inf, False
+
+    def take(self, sums: np.ndarray, loss: float) -> bool:
+        """Go on from the sums and the loss at w; whether the place is found."""
+        d = len(self.w)
+        loss += self.ridge * float(self.w @ self.w) / 2
+        if not self.done:
+            if loss <= self.least + 1e-9 * max(1.0, abs(self.least)):
+                step = np.linalg.solve(sums[: d * d].reshape(d, d) + self.ridge * np.eye(d), sums[d * d :] + self.ridge * self.w)
+                self.done = bool(np.abs(step).max() < 1e-6)
+                self.least, self.best, self.w = loss, self.w, self.w - step
+            else:
+                self.w = (self.w + self.best) / 2
+                self.done = bool(np.abs(self.w - self.best).max() < 1e-9)
+            if self.done:
+                self.best = self.w
+        return self.done
+
+
 class Logistic:
     """Logistic regression by Newton's steps with a ridge, on scaled features."""
 
@@ -94,13 +169,12 @@ class Logistic:
 
     def fit(self, x: np.ndarray, y: np.ndarray, scale: np.ndarray | None = None) -> Logistic:
         self.scale = np.maximum(np.abs(x).max(axis=0), 1e-9) if scale is None else scale
-        z, w = x / self.scale, np.zeros(x.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + self.ridge * np.eye(len(w)), z.T @ (p - y) + self.ridge * w)
-            w = w - step
-            if np.abs(step).max() < 1e-6:
+        z = x / self.scale
+        steps = Newton(np.zeros(x.shape[1]), self.ridge)
+        for _ in range(STEPS):
+            if steps.take(newton_sums(z, y, steps.w), loss_of(z, y, steps.w)):
                 break
+        w = steps.best
         self.w = w / self.scale
         return self
 
@@ -117,8 +191,8 @@ def probability(odds: np.ndarray) -> np.ndarray:
 
 
 class CoTrained:
-    def __init__(self, text: Logistic | None, meta: Logistic | None, calibrations, blend, base: float):
-        self.text, self.meta, self.calibrations, self.blend, self.base = text, meta, calibrations, blend, base
+    def __init__(self, text: Logistic | None, meta: Logistic | None, calibrations, blend, base: float, odds: np.ndarray | None = None):
+        self.text, self.meta, self.calibrations, self.blend, self.base, self.odds = text, meta, calibrations, blend, base, odds
 
     def scores(self, x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Combined, text and metadata probabilities."""
@@ -159,6 +233,11 @@ def greatest(pool: DataFrame, least: list[np.ndarray]) -> list[np.ndarray]:
     return [np.maximum(x, matrix(found.column(v).combine_chunks()).max(axis=0, initial=0)) for v, x in enumerate(least)]
 
 
+def loss_of(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The summed loss of rows."""
+    return float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * (z @ w)).sum())
+
+
 def newton_sums(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The Hessian and then the gradient of the loss of rows, in one array."""
     p = probability(np.clip(z @ w, -30, 30))
@@ -177,11 +256,11 @@ def refitted(models: list[Logistic], labelled: list[np.ndarray], y: np.ndarray,
 
     scales = [m.scale for m in models]
     sizes = [len(x) for x in scales]
-    ws = [m.w * m.scale for m in models]
-    lengths = [d * d + d for d in sizes]
-    for _ in range(25):
+    steps = [Newton(m.w * m.scale, m.ridge) for m in models]
+    lengths = [d * d + d + 1 for d in sizes]
+    for _ in range(STEPS):
 
-        def run(batches, ws=tuple(ws)):
+        def run(batches, ws=tuple(x.w for x in steps)):
             sums = [np.zeros(n) for n in lengths]
             for batch in batches:
                 for k in range(0, batch.num_rows, 4096):
@@ -189,22 +268,21 @@ def refitted(models: list[Logistic], labelled: list[np.ndarray], y: np.ndarray,
                     for v in (0, 1):
                         own = part.filter(pc.equal(part.column(0), v))
                         if own.num_rows:
-                            sums[v] += newton_sums(matrix(own.column(2)) / scales[v], own.column(1).to_numpy(), ws[v])
+                            rows = matrix(own.column(2)) / scales[v], own.column(1).to_numpy(), ws[v]
+                            sums[v] += np.append(newton_sums(*rows), loss_of(*rows))
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums)], pa.list_(pa.float64()))], names=["v"])
 
         sums = np.split(summed(taken.mapInArrow(run, "v array<double>"), sum(lengths)), [lengths[0]])
-        most = 0.0
-        for v, d in enumerate(sizes):
-            own = sums[v] + newton_sums(labelled[v] / scales[v], y, ws[v])
-            step = np.linalg.solve(own[: d * d].reshape(d, d) + models[v].ridge * np.eye(d), own[d * d :] + models[v].ridge * ws[v])
-            ws[v] = ws[v] - step
-            most = max(most, np.abs(step).max())
-        if most < 1e-6:
+        found = []
+        for v, x in enumerate(steps):
+            rows = labelled[v] / scales[v], y, x.w
+            found.append(x.take(sums[v][:-1] + newton_sums(*rows), sums[v][-1] + loss_of(*rows)))
+        if all(found):
             break
     out = []
-    for m, w in zip(models, ws, strict=True):
+    for m, x in zip(models, steps, strict=True):
         new = Logistic(m.ridge)
-        new.scale, new.w = m.scale, w / m.scale
+        new.scale, new.w = m.scale, x.best / m.scale
         out.append(new)
     return out
 
@@ -266,11 +344,11 @@ def taken_rows(pool: DataFrame, models: list[Logistic], bounds, history: list) -
     return pool.mapInArrow(run, "view long, label double, f array<double>")
 
 
-def cotrained(x, m, y, pool: DataFrame | None, rounds: int = 4, share: float = 0.05) -> CoTrained:
+def cotrained(x, m, y, pool: DataFrame | None, odds: np.ndarray | None = None, rounds: int = 4, share: float = 0.05) -> CoTrained:
     """x, m, y: views and labels of labelled rows; every fifth of them calibrates. pool: (x, m) of all unlabelled rows."""
     base = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2 or len(y) < 10:
-        return CoTrained(None, None, None, None, base)
+        return CoTrained(None, None, None, None, base, odds)
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
@@ -290,57 +368,92 @@ def cotrained(x, m, y, pool: DataFrame | None, rounds: int = 4, share: float = 0
     proof = held if held.any() else ~held
     one = np.ones(int(proof.sum()))
     calibrations = [Logistic(0.01).fit(np.column_stack([one, v.odds(f[proof])]), y[proof]) for v, f in zip(models, views, strict=True)]
-    odds = [c.odds(np.column_stack([one, v.odds(f[proof])])) for c, v, f in zip(calibrations, models, views, strict=True)]
-    blend = Logistic(0.1).fit(np.column_stack([one, *odds]), y[proof])
-    return CoTrained(models[0], models[1], calibrations, blend, base)
+    told = [c.odds(np.column_stack([one, v.odds(f[proof])])) for c, v, f in zip(calibrations, models, views, strict=True)]
+    blend = Logistic(0.1).fit(np.column_stack([one, *told]), y[proof])
+    return CoTrained(models[0], models[1], calibrations, blend, base, odds)
+
+
+def word_counts(docs: DataFrame, half: int) -> np.ndarray:
+    """By bucket, how many bad and good documents of (id, text, label) in one half of the ids hold a word of it: two rows."""
+    import pyarrow as pa
+
+    def run(batches):
+        total = np.zeros((2, WORD_BUCKETS))
+        for batch in batches:
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                own = {bucket(w) for w in set((text.as_py() or "").split())}
+                total[int(label), list(own)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["v"])
+
+    own = docs.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).select("text", "label")
+    return summed(own.mapInArrow(run, "v array<double>"), 2 * WORD_BUCKETS).reshape(2, WORD_BUCKETS)
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """(id, label) rows of (id, text, source, lang, n_chars, label) with both views' features."""
+def word_odds(counts: np.ndarray, smoothing: float = 2.0) -> np.ndarray:
+    """Smoothed log-odds of good by bucket; 0 for buckets that say nothing."""
+    bad, good = counts
+    share = (good.sum() + 1) / (good.sum() + bad.sum() + 2)
+    return np.log((good + smoothing * share) / (bad + smoothing * (1 - share))) - np.log(share / (1 - share))
+
+
+def featured(docs: DataFrame, odds: list[np.ndarray]) -> DataFrame:
+    """(id, label) rows of (id, text, source, lang, n_chars, label) with both views' features. Labelled rows are told by the
+    words of the other half, all others by the mean."""
     import pyarrow as pa
 
+    mean = (odds[0] + odds[1]) / 2
+
     def run(batches):
+        known = [Words(odds[1]), Words(odds[0]), Words(mean)]
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                x = [text_features(v.as_py()) for v in part.column(1)]
+                x = [text_features(v.as_py(), known[h]) for v, h in zip(part.column(1), part.column(6).to_pylist(), strict=True)]
                 m = [meta_features(*v) for v in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), pa.array(x, pa.list_(pa.float64())), pa.array(m, pa.list_(pa.float64()))], names=["id", "label", "x", "m"])
 
-    return docs.mapInArrow(run, "id long, label double, x array<double>, m array<double>")
+    half = F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("id"), F.lit(2))).otherwise(2).cast("int").alias("half")
+    return docs.select("id", "text", "source", "lang", "n_chars", "label", half).mapInArrow(run, "id long, label double, x array<double>, m array<double>")
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+def _inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    told = [F.col(c).cast(kind).alias(c) for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *told)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000) -> CoTrained:
-    told = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("label")).dropDuplicates(["id"])
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
+    each = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
+    told = each.groupBy("id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
     first = told.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # short rows
-    rows = featured(_inputs(docs).join(F.broadcast(first), "id")).toArrow()
+    inputs = _inputs(docs, id_col, text_col)
+    near = inputs.join(F.broadcast(first), "id")
+    odds = [word_odds(word_counts(near, half)) for half in (0, 1)]
+    rows = featured(near, odds).toArrow()
     label = rows.column("label").to_numpy(zero_copy_only=False)
     order = np.argsort(rows.column("id").to_numpy(), kind="stable")
     shape = (len(label), -1)
     x, m = ((np.array(rows.column(c).to_pylist(), float).reshape(shape) if len(label) else np.empty((0, 1)))[order] for c in ("x", "m"))
     label = label[order]
+    mean = (odds[0] + odds[1]) / 2
     if len(set(label.tolist())) < 2:
-        return cotrained(x, m, label, None)
+        return cotrained(x, m, label, None, mean)
     known = small_first(written(told.select("id"), "told"))
-    rest = _inputs(docs).where("id is not null").join(known, "id", "left_anti").withColumn("label", F.lit(None).cast("double"))
-    pool = written(featured(rest.select("id", "text", "source", "lang", "n_chars", "label")).select("x", "m"), "pool")
-    return cotrained(x, m, label, pool)
+    rest = inputs.where("id is not null").join(known, "id", "left_anti").withColumn("label", F.lit(None).cast("double"))
+    pool = written(featured(rest, odds).select("x", "m"), "pool")
+    return cotrained(x, m, label, pool, mean)
 
 
-def scored(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """Per row: doc_id, score, text_score, meta_score."""
+def scored(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, score, text_score, meta_score."""
     import pyarrow as pa
 
     def run(batches):
+        known = Words(model.odds)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                x = np.array([text_features(v.as_py()) for v in part.column(1)])
+                x = np.array([text_features(v.as_py(), known) for v in part.column(1)])
                 m = np.array([meta_features(*v) for v in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, model.scores(x, m))], names=["doc_id", "score", "text_score", "meta_score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, model.scores(x, m))], names=["id", "score", "text_score", "meta_score"])
 
-    return _inputs(docs).mapInArrow(run, "doc_id long, score double, text_score double, meta_score double")
+    return _inputs(docs, id_col, text_col).mapInArrow(run, "id long, score double, text_score double, meta_score double").withColumnRenamed("id", id_col)

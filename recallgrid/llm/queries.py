@@ -33,15 +33,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_model(name: str = "piece_bpe_32k.model") -> bytes:
-    """A public tokenizer's file, from RECALLGRID_TOKENIZERS or else where its package keeps it."""
-    folder = os.environ.get("RECALLGRID_TOKENIZERS")
-    if folder:
-        path = os.path.join(folder, name)
-    else:
+def tokenizer_model(name: str = "piece_bpe_32k.model", folder: str | None = None) -> bytes:
+    """A public tokenizer's file, from a folder or else where its package keeps it."""
+    if folder is None:
         import public_tokenizers
 
         path = public_tokenizers.path(name)
+    else:
+        path = os.path.join(folder, name)
     with open(path, "rb") as f:
         return f.read()
 

@@ -667,3 +667,19 @@ def test_jaccard_keys_meet():
             assert most == 0 or keys[0] & keys[1]
     with pytest.raises(ValueError):
         jaccard_join.clusters(None, threshold="0.5")
+
+
+def test_quality_sees_words(spark):
+    """Good and bad texts of words that differ by meaning alone, not by their letters' shares; labels that contradict each other."""
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    turned = [w[::-1] for w in base]  # the same letters
+    rows = [(i, " ".join(rng.choice(base if i % 2 else turned) for _ in range(30)), "en", "s", 200) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, i % 2) for i in range(400)] + [(0, 1), (0, 0), (2, 1), (2, 0), (2, 0)]
+    told = spark.createDataFrame(labels, "doc_id long, quality int")
+    scores = [{r.doc_id: (r.score, r.text_score) for r in quality.scored(docs, quality.fitted(docs, told.repartition(n))).collect()} for n in (1, 3)]
+    assert all(scores[0][i] == pytest.approx(scores[1][i], abs=1e-6) for i in scores[0])
+    assert np.mean([(scores[0][i][1] >= 0.5) == bool(i % 2) for i in range(400, 600)]) > 0.95
+    known = quality.Words(None)
+    assert known.facts(["Ab", "X", "..."])[:, :8].tolist() == [[0, 1, 0, 0, 2, 4, 1, 0], [1, 1, 0, 0, 1, 1, 1, 0], [0, 0, 1, 1, 3, 9, 1, 0]]
