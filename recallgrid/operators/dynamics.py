@@ -55,14 +55,18 @@ def stimulate(memories: DataFrame, ids: Column, amount: float, now: Column) -> D
 
 
 def ordered_index(df: DataFrame, order_cols: tuple[str, ...], time_col: str, name: str = "idx") -> DataFrame:
-    """A gapless global position by order_cols, of which time_col is the first. Rows are numbered within the hour and
-    hours are offset by the counts before, so no window holds more than an hour or the list of hours."""
-    df = df.withColumn("hour_of", F.date_trunc("hour", time_col))
-    counts = df.groupBy("hour_of").agg(F.count("*").alias("n"))
+    """A gapless global position by order_cols, of which time_col is the first. Rows are numbered within the minute, minutes are
+    offset by the counts before them in the hour and hours by the counts before, so no window holds more than the rows of a
+    minute, the minutes of an hour or the list of hours."""
+    df = df.withColumn("minute_of", F.date_trunc("minute", time_col))
+    minutes = df.groupBy("minute_of").agg(F.count("*").alias("n")).withColumn("hour_of", F.date_trunc("hour", "minute_of"))
+    earlier = Window.partitionBy("hour_of").orderBy("minute_of").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("hour_of").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("hour_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("hour_of").orderBy(*order_cols))
-    return df.withColumn("in_hour", within).join(offsets, "hour_of").withColumn(name, F.col("in_hour") + F.col("offset")).drop("hour_of", "in_hour", "offset")
+    hours = minutes.groupBy("hour_of").agg(F.sum("n").alias("n")).select("hour_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("hours_before"))
+    offsets = minutes.select("hour_of", "minute_of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("minutes_before")).join(hours, "hour_of")
+    offsets = offsets.select("minute_of", (F.col("hours_before") + F.col("minutes_before")).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("minute_of").orderBy(*order_cols))
+    return df.withColumn("in_minute", within).join(offsets, "minute_of").withColumn(name, F.col("in_minute") + F.col("offset")).drop("minute_of", "in_minute", "offset")
 
 
 def hebbian(log: DataFrame, id_col: str = "mem_id", order_cols: tuple[str, ...] = ("ts", "event_id"), window: int = 5, rate: float = 0.1) -> DataFrame:

@@ -81,12 +81,18 @@ def delete_cascade(memories: DataFrame, edges: DataFrame, enrichments: DataFrame
     return left, kept, enrichments.join(ids.withColumnRenamed("id", "memory_id"), "memory_id", "left_anti")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The frame checkpointed, if spark.checkpoint.dir is set; else as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def discover(seeds: DataFrame, edges: DataFrame, memories: DataFrame, q: DataFrame, depth: int = 1, least: float = 0.15, bonus: float = 0.1) -> DataFrame:
     """Breadth-first discovery from seeds (id, frontier_rank) over edges (with edge_seq for arrival order).
 
     Per hop, each unseen target takes the edge of the first frontier node that reaches it; whatever was reached stays
     seen. Targets without memory or embedding are dropped and lead no further. Score: similarity to the query, times
-    0.5 + 0.5 energy, plus a bonus by weight. Each hop is a join, a window per target and an anti-join.
+    0.5 + 0.5 energy, plus a bonus by weight. Each hop is a join, a window per target and an anti-join, checkpointed
+    where the session has a folder for it, so that the plan doesn't grow with the depth.
     """
     strong = edges.where(F.col("weight") >= least)
     seen = seeds.select("id")
@@ -96,6 +102,7 @@ def discover(seeds: DataFrame, edges: DataFrame, memories: DataFrame, q: DataFra
         first = Window.partitionBy("to_id").orderBy("frontier_rank", "edge_seq")
         step = strong.join(frontier.withColumnRenamed("id", "from_id"), "from_id").join(seen.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
         step = step.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(F.col("to_id").alias("id"), "weight", "ordinal", "frontier_rank", "edge_seq")
+        step = cut(step) if depth > 1 else step
         seen = seen.union(step.select("id"))
         scored = step.join(memories.where("embedding is not null").select("id", "energy", "state", "created_at", "embedding", "content"), "id").crossJoin(F.broadcast(q))
         sim = cosine("embedding", "q")

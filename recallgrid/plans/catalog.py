@@ -777,7 +777,14 @@ def _manual(spark, d):
     return views.table(spark, d, "documents").select(F.concat(F.lit("dsm5-"), F.col("source")).alias("source"), (i + 1).cast("int").alias("page_number"), entry.alias("content"))
 
 
-@query("doc_sections")
+@query(
+    "doc_sections",
+    """WITH p AS (SELECT 'dsm5-' || source AS source, doc_id + 1 AS page, COALESCE(LEAD(doc_id + 1) OVER w, doc_id + 1) AS following, ROW_NUMBER() OVER w AS k, 'Sample ' || upper(left(lang, 1)) || substr(lang, 2) || ' Disorder' AS title,
+  CAST(len(regexp_extract_all('F' || (10 + doc_id % 80) || ' ' || replace(text, chr(10), ' '), 'F\\d{2}(?:\\.\\d{1,2})?')) AS INTEGER) AS n_codes FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+SELECT source, 3 * k - 2 AS rowid, 'dsm5tr' AS profile, title, NULL AS parent, CAST(page AS INTEGER) AS page_start, CAST(following AS INTEGER) AS page_end, 'disorder' AS section_type, n_codes FROM p
+UNION ALL SELECT source, 3 * k - 1 AS rowid, 'dsm5tr' AS profile, title || ' - Diagnostic Criteria' AS title, title AS parent, CAST(page AS INTEGER) AS page_start, CAST(page AS INTEGER) AS page_end, 'diagnostic_criteria' AS section_type, n_codes FROM p
+UNION ALL SELECT source, 3 * k AS rowid, 'dsm5tr' AS profile, title || ' - Comorbidity' AS title, title AS parent, CAST(page AS INTEGER) AS page_start, CAST(following AS INTEGER) AS page_end, 'comorbidity' AS section_type, n_codes FROM p""",
+)
 def doc_sections(spark, d):
     return documents.index(_manual(spark, d)).select("source", "rowid", "profile", "title", "parent", "page_start", "page_end", "section_type", F.size("codes").alias("n_codes"))
 
