@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,16 +63,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Remove the tables that ``written`` has left so far; how many there were."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+    _remove(spark, _written)
+    _written.clear()
     return n
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are removed at the end, but for those given to the function that this yields; no frame that is used
+    later may read them. Shuffle files that nothing refers to any more go as well, once the JVM has collected garbage."""
+    begin, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_written[-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine = _written[begin:]
+        _written[begin:] = [path for path in mine if path in kept]
+        _remove(spark, [path for path in mine if path not in kept])
+        gc.collect()
+        spark._jvm.System.gc()
+
+
 def small_first(df: DataFrame, most_rows: int = 250_000) -> DataFrame:
     """The side of a join, broadcast if its rows were counted and are few; else as it is, for a shuffled join. For narrow,
     written rows, whose count reads no more than file footers."""

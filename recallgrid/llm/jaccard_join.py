@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_first, written
+from .common import scratch, small_first, written
 from .words import MASK, forget, mixed, run_hashes, word_hashes
 
 #: Each size band's upper end over its lower end.
@@ -420,10 +420,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col:
 
 def clusters(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096, hot: int = 64, tile_shingles: int = 1_000_000) -> DataFrame:
     """One row per input row: doc, text_hash (xxhash64 of its text), n_shingles, cluster: equal for the rows whose sets are
-    joined by links, null for the empty set. Ids play no part."""
+    joined by links, null for the empty set. Ids play no part. The result is a written table; what it was made from is removed."""
     t = Fraction(threshold)
     if not LOWEST <= t <= 1:
         raise ValueError(f"the threshold must lie between {LOWEST} and 1")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_clusters(docs, n, t, id_col, text_col, tile_rows, hot, tile_shingles))
+
+
+def _clusters(docs: DataFrame, n: int, t: Fraction, id_col: str, text_col: str, tile_rows: int, hot: int, tile_shingles: int) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     facts = written(described(base, n, t), "sets")
     told = facts.where("keys is not null")

@@ -21,6 +21,7 @@ import math
 import unicodedata
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -120,8 +121,8 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
 
 
-def learned(rows: list[tuple[str, int]], max_entries: int = 2000, support: int = 4, precision: float = 0.85, exceptions: int = 500) -> Lexicon:
-    """Fit on (text, label) rows; equal texts count once."""
+def learned(rows: Iterable[tuple[str, int]], max_entries: int = 2000, support: int = 4, precision: float = 0.85, exceptions: int = 500) -> Lexicon:
+    """Fit on (text, label) rows, taken one by one; equal texts count once."""
     seen: dict[str, int] = {}
     for text, label in rows:
         seen.setdefault(folded(text or ""), int(label or 0))
@@ -194,7 +195,8 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = 12_000, id_col: s
         .limit(fit_rows)
     )
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(told), "id").select("id", "text", "toxic")
-    return learned([(r.text or "", r.toxic) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.id, r.toxic))])
+    ordered = rows.orderBy("id", "toxic", F.xxhash64("text")).select("text", "toxic")
+    return learned((r.text or "", r.toxic) for r in ordered.toLocalIterator())
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, whole: bool = False) -> DataFrame:

@@ -683,3 +683,21 @@ def test_quality_sees_words(spark):
     assert np.mean([(scores[0][i][1] >= 0.5) == bool(i % 2) for i in range(400, 600)]) > 0.95
     known = quality.Words(None)
     assert known.facts(["Ab", "X", "..."])[:, :8].tolist() == [[0, 1, 0, 0, 2, 4, 1, 0], [1, 1, 0, 0, 1, 1, 1, 0], [0, 0, 1, 1, 3, 9, 1, 0]]
+
+
+def test_scratch(spark):
+    """Tables written inside go, kept ones stay, and clear removes the rest."""
+    import os
+
+    frame = spark.range(5)
+    paths = lambda: [p for p in common._written if os.path.isdir(p.removeprefix("file://"))]
+    common.clear(spark)
+    with common.scratch(spark) as keep:
+        common.written(frame, "a")
+        with common.scratch(spark) as inner:
+            common.written(frame, "b")
+            inner(common.written(frame, "c"))
+        kept = keep(common.written(frame, "d"))
+        gone = list(common._written)
+    assert len(paths()) == 1 and kept.count() == 5 and len(gone) == 3 and sum(os.path.isdir(p.removeprefix("file://")) for p in gone) == 1
+    assert common.clear(spark) == 1 and not paths()
