@@ -212,8 +212,13 @@ def resolver_language(text: Column | str) -> Column:
     return F.when(col(text).isNotNull(), "english")
 
 
+# The layouts of a memory, and of what a reader of a cited source is told.
+MEMORY_LAYOUT = "ID: %s\nContent: %s\nState: %s (energy: %.2f)\nAccess count: %s\nCreated: %s"
+CITING = ("When presenting information from ", ", always include the APA 7 citation.\nFull reference: ")
+
+
 def format_memory(id_, content, state, energy, access_count, created_at) -> Column:
-    return F.format_string("ID: %s\nContent: %s\nState: %s (energy: %.2f)\nAccess count: %s\nCreated: %s", col(id_).cast("string"), col(content), col(state), col(energy), col(access_count).cast("string"), col(created_at).cast("string"))
+    return F.format_string(MEMORY_LAYOUT, col(id_).cast("string"), col(content), col(state), col(energy), col(access_count).cast("string"), col(created_at).cast("string"))
 
 
 def format_item(content, secondary, tertiary, category) -> Column:
@@ -232,7 +237,7 @@ def citation_short(author, year) -> Column:
 
 def citation_instruction(title, reference) -> Column:
     """What a reader of a cited source is told."""
-    return F.concat(F.lit("When presenting information from "), col(title), F.lit(", always include the APA 7 citation.\nFull reference: "), col(reference))
+    return F.concat(F.lit(CITING[0]), col(title), F.lit(CITING[1]), col(reference))
 
 
 def vector_bytes(vector: Column | str) -> Column:

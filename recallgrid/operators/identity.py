@@ -137,19 +137,23 @@ def from_blob(items: DataFrame, blob: DataFrame) -> DataFrame:
     return items.unionByName(fresh.crossJoin(empty).where("empty").drop("empty"))
 
 
+# Marks of items, of rules to follow and not to, and of what stands instead.
+BULLET, CROSS, DASH, ARROW = "  • ", "  ✗ ", " — ", " → "
+
+
 def render(items: DataFrame) -> str:
     """The identity as tagged text: persona, values, preferences, relationships, and rules as dos and don'ts. One row comes to
     the driver, of one identity's items, all of them."""
     me = assembled(items).first()
     persona = f"I am {me.name}. {me.description}" if me.name and me.description else f"I am {me.name}." if me.name else me.description
     why = lambda text: f"\n    ({text})" if text else ""
-    does = [f"  • {r.content}{f' — {r.instead}' if r.instead else ''}{why(r.why)}" for r in me.rules if not r.negative]
-    donts = [f"  ✗ {r.content}{f' → {r.instead}' if r.instead else ''}{why(r.why)}" for r in me.rules if r.negative]
+    does = [f"{BULLET}{r.content}{DASH + r.instead if r.instead else ''}{why(r.why)}" for r in me.rules if not r.negative]
+    donts = [f"{CROSS}{r.content}{ARROW + r.instead if r.instead else ''}{why(r.why)}" for r in me.rules if r.negative]
     parts = {
         "persona": [persona] if persona else [],
-        "values": [f"  • {v.principle}{why(v.why)}" for v in me["values"]],
-        "preferences": [f"  • {p.prefer}{f' > {p.over}' if p.over else ''}" for p in me.preferences],
-        "relationships": [f"  • {r.entity}: {r.relation}{why(r.context)}" for r in me.relationships],
+        "values": [f"{BULLET}{v.principle}{why(v.why)}" for v in me["values"]],
+        "preferences": [f"{BULLET}{p.prefer}{f' > {p.over}' if p.over else ''}" for p in me.preferences],
+        "relationships": [f"{BULLET}{r.entity}: {r.relation}{why(r.context)}" for r in me.relationships],
         "rules": [*(["Do:", *does] if does else []), *([""] if does and donts else []), *(["Don't:", *donts] if donts else [])],
     }
     return "".join(f"<{name}>\n" + "\n".join(lines) + f"\n</{name}>\n\n" for name, lines in parts.items() if lines)

@@ -41,11 +41,11 @@ def tag_count(spark, d):
     return each.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.col("tag") != "SRC3", "tag").limit(1)
 
 
-@query("dashboard_states", f"WITH {MEM}, t AS (SELECT * FROM mem WHERE contains(lower(content), 'the') AND state IN ('active', 'dormant') ORDER BY energy DESC, id LIMIT 40) SELECT id, state FROM t WHERE state = 'dormant'")
+@query("dashboard_states", f"WITH {MEM}, t AS (SELECT * FROM mem WHERE contains(lower(content), 'the') AND state IN ('active', 'dormant') ORDER BY energy DESC, id LIMIT 600) SELECT id, state FROM t WHERE state = 'dormant'")
 def dashboard_states(spark, d):
     """A dashboard's text search, whose state filter comes after the limit."""
     m = views.mem(spark, d)
-    return pipeline.dashboard(m, "the", None, 40, state="Dormant").join(m.select("id", "state"), "id").select("id", "state")
+    return pipeline.dashboard(m, "the", None, 600, state="Dormant").join(m.select("id", "state"), "id").select("id", "state")
 
 
 @query("dashboard_unknown_state", f"WITH {MEM} SELECT {COLS} FROM mem WHERE false")
