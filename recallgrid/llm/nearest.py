@@ -15,7 +15,7 @@ to blocks of bounded size, each with a tree of its own; a cell that holds more (
 blocks by a hash of the id. A query first searches the block that it lies in, which gives the score to beat, and
 then only the blocks whose box in the projected space is not beyond the stopping radius. So a block's vectors move
 once for the first search and once for each ``chunk_rows`` queries that come to it. A task's memory is that of a block
-and a chunk.
+and a chunk; the driver holds the boxes of all blocks, half a kilobyte for each 16,384 vectors.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as
 queries or as candidates; all other finite vectors do, however large or small (what compares them is scaled by the
@@ -87,6 +87,13 @@ class Tree:
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         return np.einsum("ij,ij->i", gap, gap)
 
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        """Places in the order of the tree of what some leaves hold."""
+        keep = np.zeros(len(self.order) + 1, np.int64)
+        keep[self.starts[leaves]] += 1
+        keep[self.ends[leaves]] -= 1
+        return np.nonzero(np.cumsum(keep[:-1]))[0]
+
 
 def projection(components: int, dims: int, seed: int) -> np.ndarray:
     """A Gaussian matrix; with as many components as dimensions or more, its columns are made orthogonal, of the norm they have on average."""
@@ -119,52 +126,73 @@ class Space:
 
 
 class Index:
+    #: How many projected neighbours are verified between two looks at the radius, at first; then four times as many.
+    STEP = 384
+    #: Queries whose projected distances are computed together, and the share of leaves from which this is done.
+    TOGETHER, WIDE = 32, 0.25
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, space: Space):
         self.space = space
         scaled, points = space.placed(vectors)
         self.tree = Tree(points)
         order = self.tree.order
         self.ids, self.vectors, self.scaled, self.points = ids[order], vectors[order], scaled[order], points[order]
+        self.squares = np.einsum("ij,ij->i", self.points, self.points)
         self.verified = 0
 
-    def search(self, query_id: int, query: np.ndarray, own: np.ndarray, at: np.ndarray, k: int, quantile: float, floor: float = -math.inf):
-        """Ids, exact scores and scaled scores of the k best; floor is a scaled score that k vectors are known to reach."""
-        tree, space = self.tree, self.space
-        leaf = tree.leaf_distances(at)
-        order = np.argsort(leaf, kind="stable")
-        kept_at, kept, worst = np.empty(0, np.int64), np.empty(0), floor
-
-        def radius() -> float:
-            return quantile * space.reach(worst) * (1 + 1e-9) if worst > -math.inf else math.inf
-
-        done, step = 0, max(4, 2 * k // LEAF)
-        while done < len(order) and leaf[order[done]] <= radius():
-            part = order[done : done + step]
-            done, step = done + step, min(64, step * 2)
-            where = np.concatenate([np.arange(a, b) for a, b in zip(tree.starts[part], tree.ends[part], strict=True)])
-            where = where[self.ids[where] != query_id]
-            gap = self.points[where] - at
-            far = np.einsum("ij,ij->i", gap, gap)
-            nearest = np.argsort(far, kind="stable")
-            where, far = where[nearest], far[nearest]
-            while len(where):  # incremental projected neighbours
-                n = min(int(np.searchsorted(far, radius(), side="right")), 256)
-                if not n:
-                    break
-                self.verified += n
-                kept_at, kept = np.concatenate([kept_at, where[:n]]), np.concatenate([kept, self.scaled[where[:n]] @ own])
-                where, far = where[n:], far[n:]
-                if len(kept) > k:
-                    least = np.partition(kept, len(kept) - k)[len(kept) - k]
-                    near = kept >= least - 1e-9 * max(1.0, abs(least))
-                    kept_at, kept = kept_at[near], kept[near]
-                if len(kept) >= k:
-                    worst = max(floor, float(np.partition(kept, len(kept) - k)[len(kept) - k]))
+    def search_all(self, ids: np.ndarray, queries: np.ndarray, k: int, quantile: float, floors: np.ndarray):
+        """For each query its id, and ids, exact scores and scaled scores of the k best; a floor is a scaled score that k vectors
+        are known to reach."""
+        own, at = self.space.asked(queries)
+        for begin in range(0, len(ids), self.TOGETHER):
+            these = range(begin, min(len(ids), begin + self.TOGETHER))
+            leaves = {i: np.nonzero(self.tree.leaf_distances(at[i]) <= self.radius(floors[i], quantile))[0] for i in these}
+            wide = [i for i in these if len(leaves[i]) > self.WIDE * len(self.tree.slices)]
+            products = dict(zip(wide, (self.points @ at[wide].T).T, strict=True)) if wide else {}
+            for i in these:
+                rows = self.tree.rows(leaves[i])
+                dot = products[i][rows] if i in products else self.points[rows] @ at[i]
+                far = np.maximum(self.squares[rows] - 2 * dot + float(at[i] @ at[i]), 0)
+                yield ids[i], *self.search(ids[i], queries[i], own[i], rows, far, k, quantile, floors[i])
+
+    def radius(self, worst: float, quantile: float) -> float:
+        return quantile * self.space.reach(worst) * (1 + 1e-9) + 1e-9 * self.space.largest if worst > -math.inf else math.inf
+
+    def search(self, query_id: int, query: np.ndarray, own: np.ndarray, rows: np.ndarray, far: np.ndarray, k: int, quantile: float, floor: float):
+        """Incremental projected neighbours of one query: rows are taken by growing far and verified, until none is within the radius."""
+        kept_at, kept, worst, step = np.empty(0, np.int64), np.empty(0), floor, self.STEP
+        while len(rows):
+            near = far <= self.radius(worst, quantile)
+            rows, far = rows[near], far[near]
+            if len(rows) > step:
+                order = np.argpartition(far, step)
+                at, (rows, far) = rows[order[:step]], (rows[order[step:]], far[order[step:]])
+            else:
+                at, rows = rows, rows[:0]
+            step *= 4
+            at = at[self.ids[at] != query_id]
+            self.verified += len(at)
+            kept_at, kept = np.concatenate([kept_at, at]), np.concatenate([kept, self.scaled[at] @ own])
+            if len(kept) > k:
+                least = np.partition(kept, len(kept) - k)[len(kept) - k]
+                best = kept >= least - 1e-9 * max(1.0, abs(least))
+                kept_at, kept = kept_at[best], kept[best]
+            if len(kept) >= k:
+                worst = max(floor, float(np.partition(kept, len(kept) - k)[len(kept) - k]))
+            far = far[: len(rows)]
         exact = dots(self.vectors[kept_at], query)
         best = np.lexsort((self.ids[kept_at], -exact))[:k]
         return self.ids[kept_at][best], exact[best], kept[best]
 
 
+def dots(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that equal vectors score equal everywhere."""
+    out = np.zeros(len(vectors))
+    for i in range(len(query)):
+        out += vectors[:, i] * query[i]
+    return out
+
+
 class Cells:
     """A top kd-tree: cuts a projected space into cells of like numbers of sampled points."""
 
@@ -199,14 +227,6 @@ class Cells:
         return -1 - out
 
 
-def dots(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products summed from the first component to the last, so that equal vectors score equal everywhere."""
-    out = np.zeros(len(vectors))
-    for i in range(len(query)):
-        out += vectors[:, i] * query[i]
-    return out
-
-
 def neighbours(
     vectors: DataFrame,
     queries=None,
@@ -226,8 +246,10 @@ def neighbours(
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     own = own.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x != 0)")
     peak = F.expr("array_max(transform(v, x -> abs(x)))")
-    sized = own.select(F.size("v").alias("dim"), peak.alias("peak"), F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda a, x: a + x * x).alias("squares"))
-    facts = sized.groupBy("dim").agg(F.count("*").alias("n"), F.max("peak").alias("unit"), F.max(2 * F.log("peak") + F.log("squares")).alias("log")).collect()
+    plain = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    scaled = F.aggregate(F.transform("v", lambda x: x / peak), F.lit(0.0), lambda a, x: a + x * x)  # where squares are too large or too small
+    sized = own.select(F.size("v").alias("dim"), peak.alias("peak"), F.when((plain > 1e-290) & (plain < 1e300), F.log(plain)).otherwise(2 * F.log(peak) + F.log(scaled)).alias("log"))
+    facts = sized.groupBy("dim").agg(F.count("*").alias("n"), F.max("peak").alias("unit"), F.max("log").alias("log")).collect()
     spaces = {r.dim: Space(r.dim, r.unit, math.exp(r.log - 2 * math.log(r.unit)) * (1 + 1e-9), dims, seed) for r in facts}
     quantile = chi_square_quantile(confidence, dims)
     own = own.withColumn("dim", F.size("v"))
@@ -270,9 +292,7 @@ def neighbours(
             space = spaces[v.shape[1]]
             first = np.argsort(ids, kind="stable")
             index = Index(ids[first], v[first], space)
-            vectors = matrix(right)
-            for q, x, mine, at, floor in zip(right.column("id").to_numpy(), vectors, *space.asked(vectors), right.column("floor").to_numpy(), strict=True):
-                near, score, scaled = index.search(int(q), x, mine, at, k, quantile, floor)
+            for q, near, score, scaled in index.search_all(right.column("id").to_numpy(), matrix(right), k, quantile, right.column("floor").to_numpy()):
                 for held, values in zip(out, (np.full(len(near), q, np.int64), near, score, scaled), strict=True):
                     held.append(values)
         return pa.table(dict(zip(("query_id", "id", "score", "scaled"), map(np.concatenate, out), strict=True)))

@@ -284,9 +284,7 @@ def test_neighbours_prune():
     v /= np.linalg.norm(v, axis=1)[:, None]
     space = nearest.Space(64, float(np.abs(v).max()), float((v**2).sum(axis=1).max() / np.abs(v).max() ** 2), 32, 7)
     index, quantile, hits = nearest.Index(np.arange(8000), v, space), nearest.chi_square_quantile(0.94, 32), 0
-    own, at = space.asked(v[:100])
-    for q in range(100):
-        near, *_ = index.search(q, v[q], own[q], at[q], 20, quantile)
+    for q, near, *_ in index.search_all(np.arange(100), v[:100], 20, quantile, np.full(100, -np.inf)):
         hits += len(set(near.tolist()) & set(np.argsort(-(v @ v[q]))[1:21].tolist()))
     assert hits >= 0.9 * 2000 and index.verified < 0.5 * 8000 * 100
 
