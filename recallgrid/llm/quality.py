@@ -66,8 +66,7 @@ class Words:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.table = np.empty((0, 9))
+        self.table = np.empty((4096, 9))
 
     def _row(self, w: str) -> tuple:
         n = len(w)
@@ -82,11 +81,11 @@ class Words:
         for w in words:
             i = get(w)
             if i is None:
-                i = self.at[w] = len(self.rows)
-                self.rows.append(self._row(w))
+                i = self.at[w] = len(self.at)
+                if i == len(self.table):  # doubled, so that growing costs little
+                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                self.table[i] = self._row(w)
             at.append(i)
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], float)])
         return self.table[at]
 
 
