@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, jaccard_join, lm_scoring, mixing, nearest, quality, sentencepieces, substring_dedup, toxicity
+from . import collocations, exact_dedup, html_text, jaccard_join, lm_scoring, mixing, nearest, prefix_trie, quality, sentencepieces, sharding, substring_dedup, toxicity
 from .common import n_words, table
 
 
@@ -72,6 +72,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("copies"))
+    dealt = sharding.sharded(docs, F.col("size"), by=[F.col("copies")], ident=F.col("doc_id"), shards=16)
+    return dealt.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.grafted(seqs))
+
+
 def queries():
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -84,6 +100,9 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_sharding": op11_sharding,
+        "op12_collocations": op12_collocations,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -92,4 +111,6 @@ def oracle_sql():
         "op2_ngram_jaccard_join": jaccard_join.OP2_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
