@@ -1,4 +1,7 @@
-"""Typed identity records in one wide table: item_type, content, secondary, tertiary, category."""
+"""Typed identity records in one wide table: item_type, content, secondary, tertiary, category.
+
+Where a table holds the identities of many owners, ``by`` names the columns that tell these apart, and each owner's items
+are a group of their own; without it all items are of one identity."""
 
 from __future__ import annotations
 
@@ -20,17 +23,19 @@ def search(items: DataFrame, term: str) -> DataFrame:
     return items.where(hit & ~F.col("item_type").startswith("persona"))
 
 
-def categories(items: DataFrame) -> DataFrame:
-    return items.where("item_type in ('value', 'preference') and category is not null").select("category").distinct()
+def categories(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return items.where("item_type in ('value', 'preference') and category is not null").select(*by, "category").distinct()
 
 
 def by_type(items: DataFrame, item_type: str) -> DataFrame:
     return items.where(F.col("item_type") == item_type).orderBy("created_at", "id")
 
 
-def relationship(items: DataFrame, entity: str) -> DataFrame:
-    """The first relationship with an entity, whatever the case."""
-    return items.where((F.col("item_type") == "relationship") & (F.lower("content") == entity.lower())).orderBy("created_at", "id").limit(1)
+def relationship(items: DataFrame, entity: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first relationship with an entity, whatever the case; of each owner its own."""
+    hits = items.where((F.col("item_type") == "relationship") & (F.lower("content") == entity.lower()))
+    first = F.min_by(F.struct(*items.columns), F.struct("created_at", "id")).alias("first")
+    return hits.groupBy(*by).agg(first).where("first is not null").select("first.*")
 
 
 def add(items: DataFrame, item_type: str, content: str, created_at: int, secondary=None, tertiary=None, category=None) -> DataFrame:
@@ -42,6 +47,15 @@ def add(items: DataFrame, item_type: str, content: str, created_at: int, seconda
     return rest.unionByName(row)
 
 
+def put(items: DataFrame, fresh: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Append items of many owners at once. Persona items replace those of their owner and type; of several new ones the last counts."""
+    is_persona = F.col("item_type").startswith("persona")
+    last = F.max_by(F.struct(*items.columns), F.struct("created_at", "id")).alias("last")
+    persona = fresh.where(is_persona).groupBy(*by, "item_type").agg(last).select("last.*")
+    rest = items.join(persona.select(*by, "item_type"), [*by, "item_type"], "left_anti")
+    return rest.select(*items.columns).unionByName(persona).unionByName(fresh.where(~is_persona))
+
+
 def remove(items: DataFrame, item_id: str) -> DataFrame:
     return items.where(F.col("id") != item_id)
 
@@ -66,13 +80,13 @@ def add_rule(items: DataFrame, content: str, created_at: int, instead=None, why=
     return add(items, "rule", content, created_at, instead, why, "negative" if negative else None)
 
 
-def absorbed(items: DataFrame) -> DataFrame:
+def absorbed(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Items of the older layout in the present one: traits, tones and expertise go into the persona's description, one sentence
     each with their contents in order; directives become rules and antipatterns negative rules. Items without such types
-    stay as they are. The lists are of one identity, a few dozen items."""
+    stay as they are. The lists are of one owner's items, a few dozen."""
     listed = lambda kind: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("item_type") == kind, F.struct("created_at", "id", "content")))), lambda x: x["content"]), ", ")
     first = F.min(F.when(F.col("item_type") == "persona_description", F.struct("created_at", "id", "content")))
-    told = items.agg(first["content"].alias("old"), F.coalesce(first["created_at"], F.lit(0)).alias("created_at"), *(listed(kind).alias(kind) for kind, _ in ABSORBED))
+    told = items.groupBy(*by).agg(first["content"].alias("old"), F.coalesce(first["created_at"], F.lit(0)).alias("created_at"), *(listed(kind).alias(kind) for kind, _ in ABSORBED))
     text = F.coalesce(F.col("old"), F.lit(""))
     for kind, name in ABSORBED:
         sentence = F.concat(F.regexp_replace(text, r"\.+$", ""), F.lit(f" {name}: "), F.col(kind), F.lit("."))
@@ -80,11 +94,12 @@ def absorbed(items: DataFrame) -> DataFrame:
             sentence = F.when(text == "", F.concat(F.lit(f"{name}: "), F.col(kind))).otherwise(sentence)
         text = F.when(F.col(kind) == "", text).otherwise(sentence)
     none = F.lit(None).cast("string")
-    told = told.select(text.alias("content"), "old", "created_at").where("content != coalesce(old, '')")
-    fresh = told.select(F.substring(F.md5("content"), 1, 8).alias("id"), F.lit("persona_description").alias("item_type"), "content", none.alias("secondary"), none.alias("tertiary"), none.alias("category"), F.col("created_at").cast("long").alias("created_at"))
-    changed = F.broadcast(told.agg((F.count("*") > 0).alias("changed")))
-    kept = items.where(~F.col("item_type").isin(*(kind for kind, _ in ABSORBED))).crossJoin(changed)
-    kept = kept.where((F.col("item_type") != "persona_description") | ~F.col("changed")).drop("changed")
+    told = told.select(*by, text.alias("content"), "old", "created_at").where("content != coalesce(old, '')")
+    fresh = told.select(*by, F.substring(F.md5(F.concat_ws("|", *by, "content")), 1, 8).alias("id"), F.lit("persona_description").alias("item_type"), "content", none.alias("secondary"), none.alias("tertiary"), none.alias("category"), F.col("created_at").cast("long").alias("created_at"))
+    kept = items.where(~F.col("item_type").isin(*(kind for kind, _ in ABSORBED)))
+    description = F.col("item_type") == "persona_description"
+    gone = told.select(*by, F.lit("persona_description").alias("item_type"))
+    kept = kept.where(~description).unionByName(kept.where(description).join(gone, [*by, "item_type"], "left_anti").select(*kept.columns))
     return retyped(retyped(kept, "directive", "rule"), "antipattern", "rule", "negative").unionByName(fresh)
 
 
@@ -97,13 +112,13 @@ def removed_type(items: DataFrame, raw_type: str) -> DataFrame:
     return items.where(F.col("item_type") != raw_type)
 
 
-def assembled(items: DataFrame) -> DataFrame:
-    """The identity as one row: name, description, and values, preferences, relationships and rules as arrays in order of
+def assembled(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """An identity as one row: name, description, and values, preferences, relationships and rules as arrays in order of
     creation. Items of unknown type play no part; of several names or descriptions the last counts."""
     placed = lambda kind, *fields: F.transform(F.sort_array(F.collect_list(F.when(F.col("item_type") == kind, F.struct("created_at", "id", F.struct(*fields).alias("item"))))), lambda x: x["item"])
     last = lambda kind: F.max(F.when(F.col("item_type") == kind, F.struct("created_at", "id", "content")))["content"]
     content, second, third, category = F.col("content"), F.col("secondary"), F.col("tertiary"), F.col("category")
-    return items.agg(
+    return items.groupBy(*by).agg(
         F.coalesce(last("persona_name"), F.lit("")).alias("name"),
         F.coalesce(last("persona_description"), F.lit("")).alias("description"),
         placed("value", content.alias("principle"), second.alias("why"), category.alias("category")).alias("values"),
@@ -113,17 +128,17 @@ def assembled(items: DataFrame) -> DataFrame:
     )
 
 
-def from_blob(items: DataFrame, blob: DataFrame) -> DataFrame:
-    """Items of an assembled identity (one row as assembled gives it), if there are none yet."""
+def from_blob(items: DataFrame, blob: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Items of assembled identities (rows as assembled gives them), for owners that have none yet."""
     none = F.lit(None).cast("string")
 
     def rows(kind: str, array: str, content: str, second: Column, third: Column, category: Column, order: int) -> DataFrame:
-        each = blob.select(F.posexplode(array).alias("pos", "x"))
-        return each.select(F.lit(kind).alias("item_type"), F.col(f"x.{content}").alias("content"), second.alias("secondary"), third.alias("tertiary"), category.alias("category"), F.lit(order).alias("list"), "pos")
+        each = blob.select(*by, F.posexplode(array).alias("pos", "x"))
+        return each.select(*by, F.lit(kind).alias("item_type"), F.col(f"x.{content}").alias("content"), second.alias("secondary"), third.alias("tertiary"), category.alias("category"), F.lit(order).alias("list"), "pos")
 
     x = lambda name: F.col(f"x.{name}")
-    persona = blob.select(F.explode(F.array(F.struct(F.lit("persona_name").alias("item_type"), F.col("name").alias("content"), F.lit(0).alias("pos")), F.struct(F.lit("persona_description").alias("item_type"), F.col("description").alias("content"), F.lit(1).alias("pos")))).alias("p"))
-    every = persona.select("p.item_type", "p.content", none.alias("secondary"), none.alias("tertiary"), none.alias("category"), F.lit(0).alias("list"), "p.pos").where("content != ''")
+    persona = blob.select(*by, F.explode(F.array(F.struct(F.lit("persona_name").alias("item_type"), F.col("name").alias("content"), F.lit(0).alias("pos")), F.struct(F.lit("persona_description").alias("item_type"), F.col("description").alias("content"), F.lit(1).alias("pos")))).alias("p"))
+    every = persona.select(*by, "p.item_type", "p.content", none.alias("secondary"), none.alias("tertiary"), none.alias("category"), F.lit(0).alias("list"), "p.pos").where("content != ''")
     for part in (
         rows("value", "values", "principle", x("why"), none, x("category"), 1),
         rows("preference", "preferences", "prefer", x("over"), none, x("category"), 2),
@@ -132,7 +147,9 @@ def from_blob(items: DataFrame, blob: DataFrame) -> DataFrame:
     ):
         every = every.unionByName(part)
     place = (F.col("list") * 1_000_000 + F.col("pos")).cast("long")
-    fresh = every.select(F.substring(F.md5(F.concat_ws("|", "item_type", place.cast("string"))), 1, 8).alias("id"), "item_type", "content", "secondary", "tertiary", "category", place.alias("created_at"))
+    fresh = every.select(*by, F.substring(F.md5(F.concat_ws("|", *by, "item_type", place.cast("string"))), 1, 8).alias("id"), "item_type", "content", "secondary", "tertiary", "category", place.alias("created_at"))
+    if by:
+        return items.unionByName(fresh.join(items.select(*by).distinct(), [*by], "left_anti").select(*items.columns))
     empty = F.broadcast(items.agg((F.count("*") == 0).alias("empty")))
     return items.unionByName(fresh.crossJoin(empty).where("empty").drop("empty"))
 

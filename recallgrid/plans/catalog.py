@@ -802,43 +802,58 @@ def doc_search(spark, d):
 
 # --- identity -----------------------------------------------------------------------------------------------------
 
-# A small identity.
-IDENTITY = [
-    ("00000001", "persona_name", "Ada", None, None, None, 1),
-    ("00000002", "value", "Honesty above ease", None, None, "ethics", 2),
-    ("00000003", "value", "Curiosity", None, None, "learning", 3),
-    ("00000004", "preference", "Short answers", "prefers", None, "style", 4),
-    ("00000005", "relationship", "Grace", "colleague", "works on compilers", None, 5),
-    ("00000006", "rule", "Never guess", None, None, "negative", 6),
-]
-IDENTITY_SQL = "i(id, item_type, content, secondary, tertiary, category, created_at) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in IDENTITY) + ")"
-
-
-def _identity(spark):
-    return spark.createDataFrame(IDENTITY, identity.SCHEMA)
+# An identity for each conversation, an item for each of its turns, as the present layout would hold it.
+ITEMS = """it AS (
+  SELECT conv_id AS owner, lpad(CAST(turn AS VARCHAR), 8, '0') AS id, k AS item_type, CASE WHEN k = 'relationship' THEN role ELSE text END AS content,
+    CASE WHEN k = 'relationship' THEN text WHEN turn % 2 = 0 THEN role END AS secondary, CASE WHEN k = 'rule' THEN role END AS tertiary,
+    CASE WHEN k = 'rule' THEN CASE WHEN conv_id % 2 = 0 THEN 'negative' END WHEN turn % 3 > 0 THEN 'c' || conv_id % 5 END AS category, turn AS created_at
+  FROM (SELECT *, ['persona_name', 'persona_description', 'value', 'preference', 'relationship', 'rule'][((conv_id + turn) % 6) + 1] AS k FROM conversations))"""
+OWNER = ("owner",)
+
+
+def _items(spark, d):
+    turn, conv, role, text = F.col("turn"), F.col("conv_id"), F.col("role"), F.col("text")
+    kind = F.array(*map(F.lit, identity.TYPES))[((conv + turn) % len(identity.TYPES)).cast("int")]
+    related, rule = kind == "relationship", kind == "rule"
+    return views.table(spark, d, "conversations").select(
+        conv.alias("owner"),
+        F.lpad(turn.cast("string"), 8, "0").alias("id"),
+        kind.alias("item_type"),
+        F.when(related, role).otherwise(text).alias("content"),
+        F.when(related, text).when(turn % 2 == 0, role).alias("secondary"),
+        F.when(rule, role).alias("tertiary"),
+        F.when(rule, F.when(conv % 2 == 0, "negative")).when(turn % 3 > 0, F.concat(F.lit("c"), (conv % 5).cast("string"))).alias("category"),
+        turn.alias("created_at"),
+    )
 
 
 @query(
     "identity_search",
-    f"WITH {IDENTITY_SQL} SELECT id, item_type, content FROM i WHERE item_type NOT LIKE 'persona%' AND (contains(lower(content), 'es') OR contains(lower(COALESCE(secondary, '')), 'es') OR contains(lower(COALESCE(tertiary, '')), 'es') OR contains(lower(COALESCE(category, '')), 'es'))",
+    f"""WITH {ITEMS} SELECT owner, id, item_type FROM it WHERE item_type NOT LIKE 'persona%'
+  AND (contains(lower(content), 'es ') OR contains(lower(COALESCE(secondary, '')), 'es ') OR contains(lower(COALESCE(tertiary, '')), 'es ') OR contains(lower(COALESCE(category, '')), 'es '))""",
 )
 def identity_search(spark, d):
-    return identity.search(_identity(spark), "ES").select("id", "item_type", "content")
+    return identity.search(_items(spark, d), "ES ").select("owner", "id", "item_type")
 
 
-@query("identity_categories", f"WITH {IDENTITY_SQL} SELECT DISTINCT category FROM i WHERE item_type IN ('value', 'preference') AND category IS NOT NULL")
+@query("identity_categories", f"WITH {ITEMS} SELECT DISTINCT owner, category FROM it WHERE item_type IN ('value', 'preference') AND category IS NOT NULL")
 def identity_categories(spark, d):
-    return identity.categories(_identity(spark))
+    return identity.categories(_items(spark, d), OWNER)
 
 
-@query("identity_by_type", f"WITH {IDENTITY_SQL} SELECT id, content, created_at FROM i WHERE item_type = 'value'")
+@query("identity_by_type", f"WITH {ITEMS} SELECT owner, id, content, created_at FROM it WHERE item_type = 'value'")
 def identity_by_type(spark, d):
-    return identity.by_type(_identity(spark), "value").select("id", "content", "created_at")
+    return identity.by_type(_items(spark, d), "value").select("owner", "id", "content", "created_at")
 
 
-@query("identity_relationship", f"WITH {IDENTITY_SQL} SELECT id, content, secondary, tertiary FROM i WHERE item_type = 'relationship' AND lower(content) = 'grace'")
+@query(
+    "identity_relationship",
+    f"""WITH {ITEMS} SELECT owner, id, content, secondary FROM it WHERE item_type = 'relationship' AND lower(content) = 'user'
+QUALIFY row_number() OVER (PARTITION BY owner ORDER BY created_at, id) = 1""",
+)
 def identity_relationship(spark, d):
-    return identity.relationship(_identity(spark), "GRACE").select("id", "content", "secondary", "tertiary")
+    """Of each owner, the first relationship with an entity."""
+    return identity.relationship(_items(spark, d), "USER", OWNER).select("owner", "id", "content", "secondary")
 
 
 # --- mutations ----------------------------------------------------------------------------------------------------

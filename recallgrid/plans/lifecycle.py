@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import scalars as sc
 from recallgrid.operators import dynamics, embedding, export, graph, identity, sessions, store
 from recallgrid.plans import pipeline
-from recallgrid.plans.catalog import ASSOC, COLS, ENRICH, IDENTITY_SQL, MEM, SESS, _identity, plain, r6
+from recallgrid.plans.catalog import ASSOC, COLS, ENRICH, ITEMS, MEM, OWNER, SESS, _items, plain, r6
 from recallgrid.plans.registry import query
 from recallgrid.sources import views
 
@@ -332,70 +332,108 @@ def graph_json_nodes(spark, d):
 
 # --- identity -------------------------------------------------------------------------------------------------------
 
-# An identity for each source, from the documents, as the older layout would hold it.
+# An identity for each conversation, its turns as items of the older layout.
 OLD_TYPES = ("persona_description", "trait", "tone", "expertise", "directive", "antipattern", "value")
 
 
 def _old_items(spark, d):
-    i = F.col("doc_id")
-    kind = F.array(*map(F.lit, OLD_TYPES))[(i % len(OLD_TYPES)).cast("int")]
-    return views.table(spark, d, "documents").select(
-        F.lpad(i.cast("string"), 8, "0").alias("id"), kind.alias("item_type"), F.concat(F.lit("item "), i.cast("string")).alias("content"),
-        F.lit(None).cast("string").alias("secondary"), F.lit(None).cast("string").alias("tertiary"), F.lit(None).cast("string").alias("category"), i.alias("created_at"),
+    turn, conv = F.col("turn"), F.col("conv_id")
+    kind = F.array(*map(F.lit, OLD_TYPES))[((conv + turn) % len(OLD_TYPES)).cast("int")]
+    none = F.lit(None).cast("string")
+    return views.table(spark, d, "conversations").select(
+        conv.alias("owner"), F.lpad(turn.cast("string"), 8, "0").alias("id"), kind.alias("item_type"), F.col("text").alias("content"),
+        none.alias("secondary"), none.alias("tertiary"), none.alias("category"), turn.alias("created_at"),
     )
 
 
-OLD_SQL = f"oi AS (SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, {list(OLD_TYPES)}[(doc_id % {len(OLD_TYPES)}) + 1] AS item_type, 'item ' || doc_id AS content, doc_id AS created_at FROM documents)"
+OLD_SQL = f"oi AS (SELECT conv_id AS owner, lpad(CAST(turn AS VARCHAR), 8, '0') AS id, {list(OLD_TYPES)}[((conv_id + turn) % {len(OLD_TYPES)}) + 1] AS item_type, text AS content, turn AS created_at FROM conversations)"
 
 
 @query(
     "identity_absorb",
-    f"""WITH {OLD_SQL}, t AS (SELECT string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'trait') AS tr, string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'tone') AS tn,
-  string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'expertise') AS ex FROM oi)
-SELECT CASE item_type WHEN 'directive' THEN 'rule' WHEN 'antipattern' THEN 'rule' ELSE item_type END AS item_type, content, CASE WHEN item_type = 'antipattern' THEN 'negative' END AS category FROM oi WHERE item_type IN ('directive', 'antipattern', 'value')
-UNION ALL SELECT 'persona_description' AS item_type, 'item 0 Traits: ' || tr || ' Tone: ' || tn || ' Expertise: ' || ex || '.' AS content, NULL AS category FROM t""",
+    f"""WITH {OLD_SQL}, t AS (
+  SELECT owner, min(struct_pack(created_at, id, content)) FILTER (item_type = 'persona_description') AS first,
+    string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'trait') AS tr, string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'tone') AS tn,
+    string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'expertise') AS ex
+  FROM oi GROUP BY owner),
+a AS (SELECT *, COALESCE(first.content, '') AS x0 FROM t),
+b AS (SELECT *, CASE WHEN tr IS NULL THEN x0 WHEN x0 = '' THEN 'Traits: ' || tr ELSE regexp_replace(x0, '\.+$', '') || ' Traits: ' || tr || '.' END AS x1 FROM a),
+c AS (SELECT *, CASE WHEN tn IS NULL THEN x1 ELSE regexp_replace(x1, '\.+$', '') || ' Tone: ' || tn || '.' END AS x2 FROM b),
+e AS (SELECT *, CASE WHEN ex IS NULL THEN x2 ELSE regexp_replace(x2, '\.+$', '') || ' Expertise: ' || ex || '.' END AS x3 FROM c)
+SELECT owner, CASE item_type WHEN 'directive' THEN 'rule' WHEN 'antipattern' THEN 'rule' ELSE item_type END AS item_type, content, CASE WHEN item_type = 'antipattern' THEN 'negative' END AS category
+FROM oi WHERE item_type IN ('directive', 'antipattern', 'value') OR (item_type = 'persona_description' AND owner IN (SELECT owner FROM e WHERE x3 = x0))
+UNION ALL SELECT owner, 'persona_description' AS item_type, x3 AS content, NULL AS category FROM e WHERE x3 <> x0""",
 )
 def identity_absorb(spark, d):
-    return identity.absorbed(_old_items(spark, d)).select("item_type", "content", "category")
+    """Each owner's items of the older layout in the present one."""
+    return identity.absorbed(_old_items(spark, d), OWNER).select("owner", "item_type", "content", "category")
 
 
-@query("identity_raw_types", f"WITH {OLD_SQL} SELECT id, item_type, content FROM oi WHERE item_type NOT IN ('tone', 'trait') UNION ALL SELECT id, 'mood' AS item_type, content FROM oi WHERE item_type = 'tone'")
+@query("identity_raw_types", f"WITH {OLD_SQL} SELECT owner, id, item_type, content FROM oi WHERE item_type NOT IN ('tone', 'trait') UNION ALL SELECT owner, id, 'mood' AS item_type, content FROM oi WHERE item_type = 'tone'")
 def identity_raw_types(spark, d):
     """Types by their strings: one dropped, one renamed to a type that isn't known."""
-    return identity.retyped(identity.removed_type(_old_items(spark, d), "trait"), "tone", "mood").select("id", "item_type", "content")
+    return identity.retyped(identity.removed_type(_old_items(spark, d), "trait"), "tone", "mood").select("owner", "id", "item_type", "content")
 
 
-@query("identity_raw_list", f"WITH {OLD_SQL} SELECT id, content FROM oi WHERE item_type = 'antipattern'")
+@query("identity_raw_list", f"WITH {OLD_SQL} SELECT owner, id, content FROM oi WHERE item_type = 'antipattern'")
 def identity_raw_list(spark, d):
-    return identity.listed(_old_items(spark, d), "antipattern").select("id", "content")
+    return identity.listed(_old_items(spark, d), "antipattern").select("owner", "id", "content")
+
+
+def _lines(array, *fields):
+    """A list of structs as one text."""
+    return F.array_join(F.transform(array, lambda x: F.concat_ws("|", *(x[f].cast("string") for f in fields))), "\n").alias(array)
 
 
 @query(
     "identity_assembled",
-    f"""WITH {IDENTITY_SQL} SELECT (SELECT content FROM i WHERE item_type = 'persona_name') AS name, '' AS description, 2 AS n_values, 1 AS n_preferences, 1 AS n_relationships, 1 AS n_rules, true AS negative""",
+    f"""WITH {ITEMS} SELECT owner, COALESCE((max(struct_pack(created_at, id, content)) FILTER (item_type = 'persona_name')).content, '') AS name,
+  COALESCE((max(struct_pack(created_at, id, content)) FILTER (item_type = 'persona_description')).content, '') AS description,
+  COALESCE(string_agg(concat_ws('|', content, secondary, category), chr(10) ORDER BY created_at, id) FILTER (item_type = 'value'), '') AS "values",
+  COALESCE(string_agg(concat_ws('|', content, secondary, category), chr(10) ORDER BY created_at, id) FILTER (item_type = 'preference'), '') AS preferences,
+  COALESCE(string_agg(concat_ws('|', content, COALESCE(secondary, ''), category), chr(10) ORDER BY created_at, id) FILTER (item_type = 'relationship'), '') AS relationships,
+  COALESCE(string_agg(concat_ws('|', content, secondary, tertiary, CASE WHEN category = 'negative' THEN 'true' ELSE 'false' END), chr(10) ORDER BY created_at, id) FILTER (item_type = 'rule'), '') AS rules
+FROM it GROUP BY owner""",
 )
 def identity_assembled(spark, d):
-    me = identity.assembled(_identity(spark))
-    return me.select("name", "description", *(F.size(c).alias(f"n_{c}") for c in ("values", "preferences", "relationships", "rules")), F.col("rules")[0]["negative"].alias("negative"))
+    """Each owner's identity as one row."""
+    me = identity.assembled(_items(spark, d), OWNER)
+    lists = [_lines("values", "principle", "why", "category"), _lines("preferences", "prefer", "over", "category"), _lines("relationships", "entity", "relation", "context"), _lines("rules", "content", "instead", "why", "negative")]
+    return me.select("owner", "name", "description", *lists)
 
 
-@query("identity_from_blob", f"WITH {IDENTITY_SQL} SELECT item_type, content, secondary, category FROM i")
+@query(
+    "identity_from_blob",
+    f"""WITH {ITEMS} SELECT owner, item_type, content, CASE WHEN item_type NOT LIKE 'persona%' THEN secondary END AS secondary, CASE WHEN item_type NOT LIKE 'persona%' THEN category END AS category
+FROM it WHERE owner % 4 > 0 AND (item_type NOT LIKE 'persona%' OR (content <> '' AND (owner, item_type, id) IN (SELECT (owner, item_type, max(id)) FROM it GROUP BY owner, item_type)))
+UNION ALL SELECT owner, item_type, content, secondary, category FROM it WHERE owner % 4 = 0""",
+)
 def identity_from_blob(spark, d):
-    """An assembled identity back as items, into a store that has none."""
-    items = _identity(spark)
-    return identity.from_blob(items.where("false"), identity.assembled(items)).select("item_type", "content", "secondary", "category")
+    """Assembled identities back as items, for the owners that have none in the store."""
+    items = _items(spark, d)
+    return identity.from_blob(items.where("owner % 4 = 0"), identity.assembled(items, OWNER), OWNER).select("owner", "item_type", "content", "secondary", "category")
 
 
-@query("identity_set_persona", f"WITH {IDENTITY_SQL} SELECT item_type, content FROM i WHERE item_type <> 'persona_name' UNION ALL SELECT 'persona_name' AS item_type, 'Eve' AS content UNION ALL SELECT 'persona_description' AS item_type, 'Curious.' AS content UNION ALL SELECT 'rule' AS item_type, 'Ask' AS content")
+@query(
+    "identity_set_persona",
+    f"""WITH {ITEMS} SELECT owner, item_type, content FROM it WHERE NOT (owner % 3 = 0 AND item_type = 'persona_name')
+UNION ALL SELECT DISTINCT owner, 'persona_name' AS item_type, 'Eve ' || owner AS content FROM it WHERE owner % 3 = 0
+UNION ALL SELECT DISTINCT owner, 'rule' AS item_type, 'Ask' AS content FROM it WHERE owner % 3 = 0""",
+)
 def identity_set_persona(spark, d):
-    items = identity.set_persona(_identity(spark), "name", "Eve", 9)
-    items = identity.set_persona(identity.set_persona(items, "description", "Old.", 9), "description", "Curious.", 10)
-    return identity.add_rule(items, "Ask", 11, negative=True).select("item_type", "content")
+    """Owners get a name, twice, of which the last stays in place of any there was, and a rule beside those there were."""
+    items = _items(spark, d)
+    none = F.lit(None).cast("string")
+    each = items.where("owner % 3 = 0").select("owner").distinct()
+    new = [("persona_name", F.lit("Old"), 1000), ("persona_name", F.concat(F.lit("Eve "), F.col("owner").cast("string")), 1001), ("rule", F.lit("Ask"), 1002)]
+    rows = F.explode(F.array(*(F.struct(F.lit(kind).alias("item_type"), text.alias("content"), F.lit(at).cast("long").alias("created_at")) for kind, text, at in new)))
+    fresh = each.select("owner", rows.alias("r")).select("owner", F.lit("new").alias("id"), "r.*", none.alias("secondary"), none.alias("tertiary"), none.alias("category"))
+    return identity.put(items, fresh.select(*items.columns), OWNER).select("owner", "item_type", "content")
 
 
 @query(
     "identity_lines",
-    f"""WITH {IDENTITY_SQL} SELECT id, content || COALESCE(' (' || secondary || ')', '') || COALESCE(' [' || tertiary || ']', '') || COALESCE(' {{' || category || '}}', '') AS line FROM i""",
+    f"""WITH {ITEMS} SELECT owner, id, content || COALESCE(' (' || secondary || ')', '') || COALESCE(' [' || tertiary || ']', '') || COALESCE(' {{' || category || '}}', '') AS line FROM it""",
 )
 def identity_lines(spark, d):
-    return _identity(spark).select("id", sc.format_item("content", "secondary", "tertiary", "category").alias("line"))
+    return _items(spark, d).select("owner", "id", sc.format_item("content", "secondary", "tertiary", "category").alias("line"))
