@@ -1,13 +1,13 @@
 """Phrase collocations: frequent phrases of each language whose parts seldom part.
 
 Texts are folded, cut into pieces at punctuation, and written once as chunks of word numbers, each with its own list of
-words. n-grams are exploded into rows by chunk, equal ones of a chunk as one row with their count, and aggregated by
-language: single words and pairs of words all of them; longer ones only where each pair inside is frequent, as no
-phrase is more frequent than a part of it. Pairs are first counted by a hash, which can only take too many for
-frequent; what it leaves is counted anew by the words themselves, so counts are exact. A chunk gets the frequent ones of its
-own pairs back by a join, so no list of phrases is gathered anywhere. Counts of prefixes and suffixes are joined, scores
-are made in Decimal, and a candidate goes if a candidate one word longer has nearly its count: as every phrase between a
-phrase and a longer one that holds it is at least as frequent as the longer, one word more is all that need be looked at.
+words. All n-grams of one to max_n words are exploded into rows by chunk, equal ones of a chunk as one row with their
+count, and aggregated by language. Those of two words and more are counted by a hash first, one length after the other; a hash
+can only take too many for frequent, and what it leaves is exploded and counted anew by the words themselves, so counts
+are exact. A chunk gets the frequent ones of its own n-grams back by a join, so no list of phrases is gathered anywhere.
+Counts of prefixes and suffixes are joined, scores are made in Decimal, and a candidate goes if a candidate one word longer
+has nearly its count: as every phrase between a phrase and a longer one that holds it is at least as frequent as the longer,
+one word more is all that need be looked at.
 
 Defined results: null text is empty, null language is ``und``; an empty table, and one without frequent phrases, give none;
 repeated rows count each for themselves; a piece is counted whole however long it is. Other columns are ignored.
@@ -16,6 +16,7 @@ repeated rows count each for themselves; a piece is counted whole however long i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_first, written
+from .common import scratch, small_first, written
 from .words import BASE, mixed, word_hashes
 
 #: ASCII capitals, what ends a piece, and what parts words; a piece's end is a word of its own, with number 0.
@@ -93,58 +94,60 @@ def _hashes(words: list[str], lang: str) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), word_hashes([w.encode() for w in words]) ^ own])
 
 
-def _pair_hashes(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Of pairs (number of the first word << 32 | of the second)."""
+def _grams(ids: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n words stand side by side in a piece, and the hashes of these n-grams."""
+    k = max(0, len(ids) - n + 1)
+    at = np.flatnonzero(np.logical_and.reduce([ids[i : i + k] > 0 for i in range(n)]))
+    out = hashes[ids[at]]
     with np.errstate(over="ignore"):
-        return mixed(hashes[codes >> 32] * BASE + hashes[codes & 0xFFFFFFFF]).view(np.int64)
+        for i in range(1, n):
+            out = out * BASE + hashes[ids[at + i]]
+    return at, mixed(out).view(np.int64)
 
 
-def _pairs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where two words stand side by side, and their codes."""
-    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-    return at, ids[at].astype(np.int64) << 32 | ids[at + 1]
-
-
-def hashed_pairs(chunks: DataFrame) -> DataFrame:
-    """(chunk, hash, n): every pair of words of every chunk."""
+def hashed_grams(chunks: DataFrame, n: int) -> DataFrame:
+    """(chunk, hash, n): every n-gram of every chunk."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                codes, n = np.unique(_pairs(np.frombuffer(row["ids"], np.int32))[1], return_counts=True)
-                found = _pair_hashes(_hashes(row["words"], row["lang"]), codes)
+                found, count = np.unique(_grams(np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"]), n)[1], return_counts=True)
                 for i in range(0, len(found), 100_000):
                     part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[part]), row["chunk"])), pa.array(found[part]), pa.array(n[part].astype(np.int64))], ["chunk", "hash", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[part]), row["chunk"])), pa.array(found[part]), pa.array(count[part].astype(np.int64))], ["chunk", "hash", "n"])
 
     return chunks.select("chunk", "lang", "words", "ids").mapInArrow(explode, "chunk long, hash long, n long")
 
 
+def frequent_grams(chunks: DataFrame, n: int, least: int) -> DataFrame:
+    """(chunk, words, hash) of the n-grams of each chunk that are frequent in all chunks together."""
+    every = F.sum("n").over(Window.partitionBy("hash"))
+    return hashed_grams(chunks, n).withColumn("every", every).where(F.col("every") >= least).select("chunk", F.lit(n).alias("words"), "hash")
+
+
 def phrases_of(chunks: DataFrame, frequent: DataFrame, max_n: int) -> DataFrame:
-    """(lang, phrase, words, n) of each chunk: phrases of two to max_n words whose pairs are all frequent, by their words."""
+    """(lang, phrase, words, n) of each chunk: its frequent phrases of two to max_n words, counted by their words."""
 
-    def explode(chunk: pa.Table, pairs: pa.Table) -> pa.Table:
+    def explode(chunk: pa.Table, grams: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [])
+        lengths, known = grams["words"].to_numpy(), grams["hash"].to_numpy()
         for row in chunk.to_pylist():
-            words, lang = [b"", *(w.encode() for w in row["words"])], row["lang"]
-            ids = np.frombuffer(row["ids"], np.int32)
-            at, codes = _pairs(ids)
-            known, inverse = np.unique(codes, return_inverse=True)
-            good = np.isin(_pair_hashes(_hashes(row["words"], lang), known), pairs["hash"].to_numpy())[inverse]
-            ok = np.zeros(len(ids) + max_n, bool)
-            ok[at[good]] = True
-            starts = np.flatnonzero(ok)
-            # number: exact numbers of the phrases that start there, word by word longer.
-            number = ids[starts].astype(np.int64)
+            words = [b"", *(w.encode() for w in row["words"])]
+            ids, hashes = np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"])
+            # number: exact numbers of the phrases that start at starts, for one more word at a time.
+            starts, number = np.arange(len(ids)), ids.astype(np.int64)
             for n in range(2, max_n + 1):
-                stays = ok[starts + n - 2]
+                at, found = _grams(ids, hashes, n)
+                ok = np.zeros(len(ids), bool)
+                ok[at[np.isin(found, known[lengths == n])]] = True
+                stays = ok[starts]
                 starts = starts[stays]
                 longer = number[stays] << 32 | ids[starts + n - 1]
                 _, first, number, count = np.unique(longer, return_index=True, return_inverse=True, return_counts=True)
                 for i, k in zip(starts[first].tolist(), count.tolist(), strict=True):
                     out[1].append(b" ".join([words[j] for j in ids[i : i + n].tolist()]))
                     out[3].append(k)
-                out[0].extend([lang] * len(first))
+                out[0].extend([row["lang"]] * len(first))
                 out[2].extend([n] * len(first))
         kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
         lang, phrase, words, n = (pa.array(c, k) for c, k in zip(out, kinds, strict=True))
@@ -161,8 +164,11 @@ def exact(column: str):
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int = 80, top: int | None = 2000, scale: int = 2_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) over the columns lang and text; each language's first ``top``, or all."""
     chunks = written(chunked(docs), "chunks")
-    every = Window.partitionBy("hash")
-    frequent = hashed_pairs(chunks).withColumn("all", F.sum("n").over(every)).where(F.col("all") >= least).select("chunk", "hash")
+    frequent = []
+    for n in range(2, max_n + 1):
+        with scratch(docs.sparkSession) as keep:  # the exchange of one length is gone before that of the next
+            frequent.append(keep(written(frequent_grams(chunks, n, least), f"frequent-{n}")))
+    frequent = reduce(DataFrame.union, frequent)
     counts = phrases_of(chunks, frequent, max_n).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"))
     counts = written(counts.where(F.col("a") >= least), "phrases")
     singles = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", F.col("w.counts").cast("long").alias("n"))
