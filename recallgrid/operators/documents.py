@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.scalars import SMALL_WORDS, title_case  # noqa: F401  title_case is part of this module's surface
-from recallgrid.functions.text import query_phrases, tokens
-from recallgrid.operators.retrieval import bm25_part, counted
+from recallgrid.functions.text import tokens
+from recallgrid.operators import section_index
+from recallgrid.operators.section_index import Index
 
 PAGE_BYTES = 3000
 PAGE_MARK = "<<<PAGE {}>>>\n"
@@ -302,102 +302,48 @@ def related(sources: DataFrame, name: str) -> DataFrame:
     return named.join(sources.select("source"), "source", "left_semi")
 
 
-def search_related(sections: DataFrame, sources: DataFrame, name: str, query: str, limit: int = 10) -> DataFrame:
-    """search over a source and its related ones; sources without an index give nothing."""
-    return search(sections.join(related(sources, name), "source", "left_semi"), query, limit)
+def search_related(sections: DataFrame | Index, sources: DataFrame, name: str, query: str, limit: int = 10) -> DataFrame:
+    """search over a source and its related ones, with the statistics of these; sources without an index give nothing."""
+    return search(sections, query, limit, sources=related(sources, name))
 
 
-def search_type(sections: DataFrame, query: str, section_type: str, limit: int = 10) -> DataFrame:
+def search_type(sections: DataFrame | Index, query: str, section_type: str, limit: int = 10) -> DataFrame:
     """search among the sections of a type, with shorter snippets; sources that are indexed by page are searched as they are."""
-    cut = index_kinds(sections).where("index_type = 'sections'").select("source")
+    rows = sections.sections if isinstance(sections, Index) else sections
+    cut = index_kinds(rows).where("index_type = 'sections'").select("source")
     return search(sections, query, limit, F.col("section_type") == section_type, cut, 32)
 
 
 def parse_query(query: str) -> tuple[list[list[str]], object]:
-    """The phrases of a full-text query, and the query as a tree: a phrase's number, or (operator, left, right). NOT binds
-    before AND, AND before OR, and words that merely follow one another before all of these; round brackets group.
-
-    A query that can't be read that way raises a ValueError."""
-    steps = re.findall(r'"([^"]*)"|([()])|([^\s()"]+)', query)
-    words = [("phrase", quoted) if not mark and not word else (mark or ("op" if word in ("AND", "OR", "NOT") else "phrase"), word) for quoted, mark, word in steps]
-    phrases: list[list[str]] = []
-    at = 0
-
-    def kind() -> str | None:
-        return words[at][0] if at < len(words) else None
-
-    def one():
-        nonlocal at
-        if kind() == "(":
-            at += 1
-            inner = level(0)
-            if kind() != ")":
-                raise ValueError(f"a bracket of {query!r} isn't closed")
-            at += 1
-            return inner
-        if kind() != "phrase":
-            raise ValueError(f"{query!r} lacks a word")
-        found = query_phrases("-".join(words[at][1].split()))
-        at += 1
-        if not found:
-            return None  # punctuation alone
-        phrases.append(found[0])
-        return len(phrases) - 1
-
-    def sequence():
-        out = one()
-        while kind() in ("phrase", "("):
-            out = both("AND", out, one())
-        return out
+    """The phrases of a full-text query, and the query as a tree: a phrase's number, or (operator, left, right)."""
+    found = section_index.parse(query)
+    return [list(p.words) for p in found.phrases], found.tree
+
+
+#: Hits that are named to the scan of their sections; more are joined.
+NAMED_HITS = 1000
 
-    def both(op: str, left, right):
-        return right if left is None and op != "NOT" else left if right is None else (op, left, right)
-
-    def level(i: int):
-        nonlocal at
-        if i == 3:
-            return sequence()
-        op = ("OR", "AND", "NOT")[i]
-        out = level(i + 1)
-        while at < len(words) and words[at] == ("op", op):
-            at += 1
-            out = both(op, out, level(i + 1))
-        return out
 
-    tree = level(0) if words else None
-    if at < len(words):
-        raise ValueError(f"{query!r} can't be read from {words[at][1]!r} on")
-    return phrases, tree
-
-
-def search(sections: DataFrame, query: str, limit: int = 10, keep: Column | None = None, keep_in: DataFrame | None = None, width: int = 40) -> DataFrame:
-    """(source, rowid, title, snippet, score) over title, content and codes, best first over all sources. What keep names, in the
-    sources of keep_in (all, if none), is shown; statistics are of all sections."""
-    phrases, tree = parse_query(query)
-    if tree is None:
-        return sections.select("source", "rowid", "title", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
-    body = F.concat_ws(" ", "title", "content", F.array_join("codes", " "))
-    docs = sections.withColumn("id", F.struct("source", "rowid")).withColumn("body", body)
-    rows, stats = counted(docs, phrases, "body")
-    scoring: list[int] = []
-
-    def condition(node, counts: bool = True) -> Column:
-        if isinstance(node, int):
-            scoring.extend([node] if counts else [])
-            return F.col(f"tf{node}") > 0
-        op, left, right = node
-        a, b = condition(left, counts), condition(right, counts and op != "NOT")
-        return a & ~b if op == "NOT" else a & b if op == "AND" else a | b
-
-    where = condition(tree)
-    score = reduce(lambda x, y: x + y, (bm25_part(i) for i in scoring))
-    found = rows.where(where).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
-    wanted = [w for i in scoring for w in phrases[i]]
+def search(sections: DataFrame | Index, query: str, limit: int = 10, keep: Column | None = None, keep_in: DataFrame | None = None, width: int = 40, sources: DataFrame | None = None) -> DataFrame:
+    """(source, rowid, title, snippet, score) over title, content and codes, best first over all sources, or the given ones. What keep
+    names, in the sources of keep_in (all, if none), is shown; statistics are of all sections. Sections are a stored
+    index, or a frame that is searched as it is."""
+    asked = section_index.parse(query)
+    index = sections if isinstance(sections, Index) else section_index.of(sections)
+    rows = index.sections
+    if asked.tree is None:
+        return rows.select("source", "rowid", "title", F.lit("").alias("snippet"), F.lit(0.0).alias("score")).where("false")
+    allowed = None
     if keep is not None:
-        shown = docs.where(keep) if keep_in is None else docs.where(keep).join(keep_in, "source", "left_semi").select("id").union(docs.join(keep_in, "source", "left_anti").select("id"))
-        found = found.join(shown.select("id"), "id", "left_semi")
-    top = found.orderBy(F.desc("score"), "id").limit(limit)  # snippets are made for what is shown
-    return docs.join(F.broadcast(top), "id").select("source", "rowid", "title", snippet(F.col("content"), wanted, width).alias("snippet"), "score")
+        shown = rows.where(keep)
+        allowed = shown.select("doc") if keep_in is None else shown.join(keep_in, "source", "left_semi").select("doc").union(rows.join(keep_in, "source", "left_anti").select("doc"))
+    top = section_index.ranked(index, asked, limit, allowed, sources)
+    if index.blocks is not None and limit <= NAMED_HITS:  # few hits: their sections alone are read
+        best = top.collect()
+        rows = rows.where(F.col("doc").isin([r.doc for r in best]))
+        top = F.broadcast(rows.sparkSession.createDataFrame(best, top.schema))
+    wanted = [w for i in section_index._scoring(asked.tree, asked) for w in asked.phrases[i].words]
+    return rows.join(top, "doc").select("source", "rowid", "title", snippet(F.col("content"), wanted, width).alias("snippet"), "score")
 
 
 def snippet(content: Column, words: list[str], width: int = 40) -> Column:

@@ -77,15 +77,20 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, content: str = "cont
     return out if k is None else out.limit(k)
 
 
-def bm25_stemmed(docs: DataFrame, query: str, k: int | None = None, content: str = "content") -> DataFrame:
-    """BM25 over Porter stems. Stems are computed in Arrow batches, for documents and query alike."""
+def stems(words: Column) -> Column:
+    """Porter stems of a list of words, in Arrow batches."""
     from recallgrid.functions.text import porter
 
     def stem(column):
         memo: dict[str, str] = {}
         return column.map(lambda ts: [memo.get(t) or memo.setdefault(t, porter(t)) for t in ts])
 
-    stems = F.pandas_udf(stem, "array<string>", F.PandasUDFType.SCALAR)
+    return F.pandas_udf(stem, "array<string>", F.PandasUDFType.SCALAR)(words)
+
+
+def bm25_stemmed(docs: DataFrame, query: str, k: int | None = None, content: str = "content") -> DataFrame:
+    """BM25 over Porter stems, of documents and query alike."""
+    from recallgrid.functions.text import porter
 
     stemmed = " ".join("-".join(porter(t) for t in p) for p in query_phrases(query))
     return bm25(docs, stemmed, k, content, toks=stems(tokens(content)))

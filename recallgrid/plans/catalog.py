@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import scalars as sc
 from recallgrid.functions import temporal as tm
 from recallgrid.functions import text as tx
-from recallgrid.operators import documents, dynamics, graph, identity, postings, retrieval, sessions, store
+from recallgrid.operators import documents, dynamics, graph, identity, postings, retrieval, section_index, sessions, store
 from recallgrid.plans import pipeline
 from recallgrid.plans.registry import query
 from recallgrid.sources import views
@@ -796,7 +796,7 @@ def doc_titles(spark, d):
 
 @query("doc_search")
 def doc_search(spark, d):
-    pages = documents.index(documents.pages(_sources(spark, d)))
+    pages = section_index.ensure(documents.index(documents.pages(_sources(spark, d))), "pages")
     return documents.search(pages, 'the AND rewh NOT "of the"', 20).withColumn("score", r6("score"))
 
 

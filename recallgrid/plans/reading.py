@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions import scalars as sc
-from recallgrid.operators import documents, graph, retrieval, sessions
+from recallgrid.operators import documents, graph, retrieval, section_index, sessions
 from recallgrid.plans import pipeline
 from recallgrid.plans.catalog import ASSOC, MEM, Q0, SESS, SIM, TOKENS, _manual, r6
 from recallgrid.plans.registry import query
@@ -190,40 +190,93 @@ def _pages_of(spark, d):
     return views.table(spark, d, "documents").select(F.concat(F.lit("notes "), F.col("source")).alias("source"), (i + 1).cast("int").alias("page_number"), F.col("text").alias("content"))
 
 
-def doc_bm25_sql(where: str, terms: list[str], scoring: list[int], keep: str = "true", limit: int = 20) -> str:
-    """Whole SQL of a search over the pages of _pages_of; where is a condition on tf0, tf1 and so on."""
-    body = "'Page ' || (doc_id + 1) || ' ' || text || ' '"
-    tf = ", ".join(f"CAST(len(list_filter(toks, lambda t: t = '{t}')) AS DOUBLE) AS tf{i}" for i, t in enumerate(terms))
-    df = ", ".join(f"SUM(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in range(len(terms)))
-    part = " + ".join(
-        f"(CASE WHEN ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) <= 0 THEN 0.000001::DOUBLE ELSE ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) END) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / al))"
-        for i in scoring
-    )
-    return f"""WITH p AS (SELECT doc_id, 'notes ' || source AS source, {body} AS content FROM documents), t AS (SELECT doc_id, source, {TOKENS} AS toks FROM p),
-c AS (SELECT doc_id, source, CAST(len(toks) AS DOUBLE) AS l, {tf} FROM t), s AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, AVG(l) AS al, {df} FROM c)
-SELECT source, -(doc_id + 1) AS rowid, 'Page ' || (doc_id + 1) AS title, ROUND({part}, 6) AS score FROM c, s WHERE ({where}) AND {keep}"""
+def doc_bm25_sql(where: str, terms: list[str], scoring: list[str], keep: str = "true", df: dict[int, str] | None = None) -> str:
+    """Whole SQL of a search over the pages of _pages_of; where is a condition on tf0, tf1 and so on, scoring are terms of the sum in
+    which {0} is what phrase 0 adds. A term is a word, starts:x, title:term, content:term or near:x:other:n; df has the word whose
+    documents count where they aren't those of the term."""
+
+    def counted(term: str, toks: str = "toks") -> str:
+        kind, _, rest = term.partition(":")
+        if kind in ("title", "content"):
+            return counted(rest, f"{kind}_toks")
+        if kind == "near":  # in the content alone, as no title has such words
+            word, other, n = rest.split(":")
+            return f"len(list_filter(range(1, len({toks}) + 1), lambda i: {toks}[i] = '{word}' AND list_contains({toks}[greatest(1, i - {int(n) + 1}):i + {int(n) + 1}], '{other}')))"
+        test = f"starts_with(t, '{rest}')" if kind == "starts" else f"t = '{term}'"
+        return f"len(list_filter({toks}, lambda t: {test}))"
+
+    tf = ", ".join(f"CAST({counted(t)} AS DOUBLE) AS tf{i}" for i, t in enumerate(terms))
+    held = ", ".join(f"CAST({counted((df or {}).get(i, t))} AS DOUBLE) AS held{i}" for i, t in enumerate(terms))
+    dfs = ", ".join(f"SUM(CASE WHEN held{i} > 0 THEN 1 ELSE 0 END) AS df{i}" for i in range(len(terms)))
+    rare = "ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE))"
+    parts = [
+        f"(CASE WHEN {rare} <= 0 THEN 0.000001::DOUBLE ELSE {rare} END) * tf{{i}} * 2.2::DOUBLE / (tf{{i}} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / al))".format(i=i)
+        for i in range(len(terms))
+    ]
+    score = " + ".join(x.format(*parts) for x in scoring)
+    return f"""WITH p AS (SELECT doc_id, 'notes ' || source AS source, text AS content, 'Page ' || (doc_id + 1) AS title FROM documents),
+u AS (SELECT doc_id, source, title, {TOKENS} AS content_toks FROM p), v AS (SELECT doc_id, source, content_toks, {TOKENS} AS title_toks FROM (SELECT doc_id, source, content_toks, title AS content FROM u)),
+t AS (SELECT *, list_concat(title_toks, content_toks) AS toks FROM v),
+c AS (SELECT doc_id, source, CAST(len(toks) AS DOUBLE) AS l, {tf}, {held} FROM t), s AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n, AVG(l) AS al, {dfs} FROM c)
+SELECT source, -(doc_id + 1) AS rowid, 'Page ' || (doc_id + 1) AS title, ROUND({score}, 6) AS score FROM c, s WHERE ({where}) AND {keep}"""
+
+
+def _notes(spark, d):
+    """The stored index over the documents' pages."""
+    return section_index.ensure(documents.index(_pages_of(spark, d)), "notes")
+
+
+def _found(found):
+    return found.select("source", "rowid", "title", r6("score").alias("score"))
 
 
-@query("doc_search_operators", doc_bm25_sql("(tf0 > 0 AND tf1 > 0) OR (tf2 > 0 AND NOT tf3 > 0)", ["rewh", "thatea", "thatea", "the"], [0, 1, 2]))
+@query(
+    "doc_search_operators",
+    doc_bm25_sql("(tf0 > 0 AND tf1 > 0) OR (tf2 > 0 AND NOT tf3 > 0)", ["rewh", "thatea", "thatea", "the"], ["CASE WHEN tf0 > 0 AND tf1 > 0 THEN {0} + {1} ELSE 0 END", "CASE WHEN tf2 > 0 AND NOT tf3 > 0 THEN {2} ELSE 0 END"]),
+)
 def doc_search_operators(spark, d):
-    """NOT before AND before OR, and words in a row together before all; what stands after NOT doesn't score."""
-    found = documents.search(documents.index(_pages_of(spark, d)), "rewh thatea OR thatea NOT the", 1_000_000)
-    return found.select("source", "rowid", "title", r6("score").alias("score"))
+    """NOT before AND before OR, and words together before all; what stands after NOT, or in a part that doesn't match, doesn't score."""
+    return _found(documents.search(_notes(spark, d), "rewh thatea OR thatea NOT the", 1_000_000))
 
 
-@query("doc_search_brackets", doc_bm25_sql("(tf0 > 0 OR tf1 > 0) AND tf2 > 0", ["rewh", "thatea", "the"], [0, 1, 2]))
+@query("doc_search_brackets", doc_bm25_sql("(tf0 > 0 OR tf1 > 0) AND tf2 > 0", ["rewh", "thatea", "the"], ["{0}", "{1}", "{2}"]))
 def doc_search_brackets(spark, d):
-    found = documents.search(documents.index(_pages_of(spark, d)), "(rewh OR thatea) AND the", 1_000_000)
-    return found.select("source", "rowid", "title", r6("score").alias("score"))
+    return _found(documents.search(_notes(spark, d), "(rewh OR thatea) AND the", 1_000_000))
 
 
-@query("doc_search_related", doc_bm25_sql("tf0 > 0", ["rewh"], [0], "true").replace("FROM documents), t AS", "FROM documents WHERE source IN ('src3', 'src5')), t AS"))
+@query("doc_search_related", doc_bm25_sql("tf0 > 0", ["rewh"], ["{0}"], "true").replace("FROM documents),", "FROM documents WHERE source IN ('src3', 'src5')),"))
 def doc_search_related(spark, d):
     """A source and its related ones; one that doesn't exist gives nothing."""
     known = views.table(spark, d, "documents").select(F.concat(F.lit("notes "), F.col("source")).alias("source")).distinct()
     sources = known.withColumn("related_sources", F.when(F.col("source") == "notes src3", F.array(F.lit("notes src5"), F.lit("no such source"))))
-    found = documents.search_related(documents.index(_pages_of(spark, d)), sources, "notes src3", "rewh", 1_000_000)
-    return found.select("source", "rowid", "title", r6("score").alias("score"))
+    return _found(documents.search_related(_notes(spark, d), sources, "notes src3", "rewh", 1_000_000))
+
+
+@query("doc_search_prefix", doc_bm25_sql("tf0 > 0 AND tf1 > 0", ["starts:thate", "the"], ["{0}", "{1}"]))
+def doc_search_prefix(spark, d):
+    """All words that begin alike count as one."""
+    return _found(documents.search(_notes(spark, d), "thate* AND the", 1_000_000))
+
+
+@query("doc_search_column", doc_bm25_sql("tf0 > 0 AND tf1 > 0", ["title:starts:1", "content:the"], ["{0}", "{1}"]))
+def doc_search_column(spark, d):
+    """Words of one field: pages whose number begins with 1, and whose text has a word."""
+    return _found(documents.search(_notes(spark, d), "title : 1* AND content : the", 1_000_000))
+
+
+@query("doc_search_near", doc_bm25_sql("tf0 > 0 AND tf1 > 0", ["near:the:of:3", "near:of:the:3"], ["{0}", "{1}"], df={0: "the", 1: "of"}))
+def doc_search_near(spark, d):
+    """Two words with at most three between; places that are near none of the other don't count."""
+    return _found(documents.search(_notes(spark, d), "NEAR(the of, 3)", 1_000_000))
+
+
+@query(
+    "doc_search_top",
+    doc_bm25_sql("tf0 > 0 OR tf1 > 0", ["rewh", "thatea"], ["CASE WHEN tf0 > 0 THEN {0} ELSE 0 END", "CASE WHEN tf1 > 0 THEN {1} ELSE 0 END"]) + " ORDER BY score DESC, source, rowid LIMIT 20",
+)
+def doc_search_top(spark, d):
+    """The best twenty, for which blocks of pages that can't hold one of them aren't read."""
+    return _found(documents.search(_notes(spark, d), "rewh OR thatea", 20))
 
 
 @query("doc_hydrated", "SELECT 'notes ' || source AS source, -(doc_id + 1) AS rowid, 'Page ' || (doc_id + 1) AS title, CAST(doc_id + 1 AS INTEGER) AS page_start, 'page' AS section_type, CAST(0 AS INTEGER) AS n_codes FROM documents")
@@ -235,7 +288,8 @@ def doc_hydrated(spark, d):
 @query("doc_search_type")
 def doc_search_type(spark, d):
     """A full-text search among one type of section."""
-    return documents.search_type(documents.index(_manual(spark, d)), "the", "diagnostic_criteria", 20).withColumn("score", r6("score"))
+    index = section_index.ensure(documents.index(_manual(spark, d)), "manual")
+    return documents.search_type(index, "the", "diagnostic_criteria", 20).withColumn("score", r6("score"))
 
 
 # --- search -------------------------------------------------------------------------------------------------------
