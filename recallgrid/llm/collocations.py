@@ -2,12 +2,11 @@
 
 Texts are folded, cut into pieces at punctuation, and written once as chunks of word numbers, each with its own list of
 words. All n-grams of one to max_n words are exploded into rows by chunk, equal ones of a chunk as one row with their
-count, and aggregated by language. Those of two words and more are counted by a hash first, one length after the other; a hash
-can only take too many for frequent, and what it leaves is exploded and counted anew by the words themselves, so counts
-are exact. A chunk gets the frequent ones of its own n-grams back by a join, so no list of phrases is gathered anywhere.
-Counts of prefixes and suffixes are joined, scores are made in Decimal, and a candidate goes if a candidate one word longer
-has nearly its count: as every phrase between a phrase and a longer one that holds it is at least as frequent as the longer,
-one word more is all that need be looked at.
+count, and aggregated by language, one length after the other: single words as they are, longer ones by 128 bits of
+hash, which stand for the words and the language. A frequent n-gram is then spelt out by the first chunk that holds it, which
+learns of it by a join; so no list of phrases is gathered anywhere. Counts of prefixes and suffixes are joined, scores
+are made in Decimal, and a candidate goes if a candidate one word longer has nearly its count: as every phrase between a
+phrase and a longer one that holds it is at least as frequent as the longer, one word more is all that need be looked at.
 
 Defined results: null text is empty, null language is ``und``; an empty table, and one without frequent phrases, give none;
 repeated rows count each for themselves; a piece is counted whole however long it is. Other columns are ignored.
@@ -25,13 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_first, written
-from .words import BASE, mixed, word_hashes
+from .words import BASE, MASK, mixed
 
 #: ASCII capitals, what ends a piece, and what parts words; a piece's end is a word of its own, with number 0.
 ENDS = b".,;:!?\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
 #: Bytes of text that a chunk holds, but for the last text, and that a task gathers over all languages.
 CHUNK_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+#: Odd factors of the two hashes of a run of words.
+BASES = np.array([[BASE], [0xD6E8FEB86659FD93]], np.uint64)
 
 
 class Numbers(dict):
@@ -51,7 +52,7 @@ def _encoded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
 CHUNK = "chunk long, lang string, words array<string>, counts array<int>, ids binary"
 
 
-def chunked(docs: DataFrame) -> DataFrame:
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(chunk, lang, words, counts, ids): word numbers of texts in order, 0 where a piece ends, and the words from number 1 on with
     their counts."""
 
@@ -77,9 +78,9 @@ def chunked(docs: DataFrame) -> DataFrame:
                 name = lang.as_py()
                 held.setdefault(name, []).append(text.as_py().encode())
                 sizes[name] = sizes.get(name, 0) + len(held[name][-1])
-                if sizes[name] >= CHUNK_BYTES:
+                if sizes[name] >= chunk_bytes:
                     yield row(name)
-                elif sum(sizes.values()) >= HELD_BYTES:
+                elif sum(sizes.values()) >= held_bytes:
                     yield row(max(sizes, key=sizes.get))
         for name in list(held):
             yield row(name)
@@ -89,88 +90,97 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def _hashes(words: list[str], lang: str) -> np.ndarray:
-    """A hash of each word and its language by the word's number."""
-    own = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-    return np.concatenate([np.zeros(1, np.uint64), word_hashes([w.encode() for w in words]) ^ own])
+    """Two hashes of each word and its language by the word's number."""
+    own = xxhash.xxh3_64_intdigest(lang.encode())
+    out = np.zeros((2, len(words) + 1), np.uint64)
+    for i, w in enumerate(words, 1):
+        both = xxhash.xxh3_128_intdigest(w.encode(), own)
+        out[0, i], out[1, i] = both >> 64, both & MASK
+    return out
 
 
-def _grams(ids: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where n words stand side by side in a piece, and the hashes of these n-grams."""
+def _grams(ids: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where n words stand side by side in a piece, and two hashes of each of these n-grams."""
     k = max(0, len(ids) - n + 1)
     at = np.flatnonzero(np.logical_and.reduce([ids[i : i + k] > 0 for i in range(n)]))
-    out = hashes[ids[at]]
+    out = hashes[:, ids[at]]
     with np.errstate(over="ignore"):
         for i in range(1, n):
-            out = out * BASE + hashes[ids[at + i]]
-    return at, mixed(out).view(np.int64)
+            out = out * BASES + hashes[:, ids[at + i]]
+        one, two = mixed(out).view(np.int64)
+    return at, one, two
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first index of each pair, in order of the pairs, and how often it stands."""
+    order = np.lexsort((two, one))
+    a, b = one[order], two[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return order[starts], np.diff(np.append(starts, len(a)))
 
 
 def hashed_grams(chunks: DataFrame, n: int) -> DataFrame:
-    """(chunk, hash, n): every n-gram of every chunk."""
+    """(chunk, one, two, n): every n-gram of every chunk, by its hashes."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found, count = np.unique(_grams(np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"]), n)[1], return_counts=True)
-                for i in range(0, len(found), 100_000):
-                    part = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[part]), row["chunk"])), pa.array(found[part]), pa.array(count[part].astype(np.int64))], ["chunk", "hash", "n"])
+                _, one, two = _grams(np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"]), n)
+                first, count = _distinct(one, two)
+                for i in range(0, len(first), 100_000):
+                    part = first[i : i + 100_000]
+                    columns = [np.full(len(part), row["chunk"]), one[part], two[part], count[i : i + 100_000].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["chunk", "one", "two", "n"])
 
-    return chunks.select("chunk", "lang", "words", "ids").mapInArrow(explode, "chunk long, hash long, n long")
+    return chunks.select("chunk", "lang", "words", "ids").mapInArrow(explode, "chunk long, one long, two long, n long")
 
 
 def frequent_grams(chunks: DataFrame, n: int, least: int) -> DataFrame:
-    """(chunk, words, hash) of the n-grams of each chunk that are frequent in all chunks together."""
-    every = F.sum("n").over(Window.partitionBy("hash"))
-    return hashed_grams(chunks, n).withColumn("every", every).where(F.col("every") >= least).select("chunk", F.lit(n).alias("words"), "hash")
+    """(chunk, words, one, two, a): each frequent n-gram, its count in all chunks, and the first chunk that holds it."""
+    counted = hashed_grams(chunks, n).groupBy("one", "two").agg(F.min("chunk").alias("chunk"), F.sum("n").alias("a"))
+    return counted.where(F.col("a") >= least).select("chunk", F.lit(n).alias("words"), "one", "two", "a")
 
 
-def phrases_of(chunks: DataFrame, frequent: DataFrame, max_n: int) -> DataFrame:
-    """(lang, phrase, words, n) of each chunk: its frequent phrases of two to max_n words, counted by their words."""
+def phrases_of(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(lang, phrase, words, a): frequent n-grams by their words, which the chunk named for each has."""
 
-    def explode(chunk: pa.Table, grams: pa.Table) -> pa.Table:
+    def spell(chunk: pa.Table, wanted: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [])
-        lengths, known = grams["words"].to_numpy(), grams["hash"].to_numpy()
-        for row in chunk.to_pylist():
+        lengths, ones, twos, counts = (wanted[c].to_numpy() for c in ("words", "one", "two", "a"))
+        for row in chunk.to_pylist() if len(lengths) else ():
             words = [b"", *(w.encode() for w in row["words"])]
             ids, hashes = np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"])
-            # number: exact numbers of the phrases that start at starts, for one more word at a time.
-            starts, number = np.arange(len(ids)), ids.astype(np.int64)
-            for n in range(2, max_n + 1):
-                at, found = _grams(ids, hashes, n)
-                ok = np.zeros(len(ids), bool)
-                ok[at[np.isin(found, known[lengths == n])]] = True
-                stays = ok[starts]
-                starts = starts[stays]
-                longer = number[stays] << 32 | ids[starts + n - 1]
-                _, first, number, count = np.unique(longer, return_index=True, return_inverse=True, return_counts=True)
-                for i, k in zip(starts[first].tolist(), count.tolist(), strict=True):
-                    out[1].append(b" ".join([words[j] for j in ids[i : i + n].tolist()]))
-                    out[3].append(k)
-                out[0].extend([row["lang"]] * len(first))
-                out[2].extend([n] * len(first))
-        kinds = [pa.string(), pa.binary(), pa.int32(), pa.int64()]
-        lang, phrase, words, n = (pa.array(c, k) for c, k in zip(out, kinds, strict=True))
-        return pa.table([lang, phrase.cast(pa.string()), words, n], ["lang", "phrase", "words", "n"])
+            for n in np.unique(lengths).tolist():
+                mine = lengths == n
+                known = dict(zip(zip(ones[mine].tolist(), twos[mine].tolist(), strict=True), counts[mine].tolist(), strict=True))
+                at, one, two = _grams(ids, hashes, n)
+                hit = np.flatnonzero(np.isin(one, ones[mine]))
+                for i in hit[_distinct(one[hit], two[hit])[0]].tolist():
+                    a = known.get((int(one[i]), int(two[i])))
+                    if a is not None:
+                        start = int(at[i])
+                        for column, value in zip(out, (row["lang"], b" ".join([words[j] for j in ids[start : start + n].tolist()]), n, a), strict=True):
+                            column.append(value)
+        lang, phrase, words, a = (pa.array(c, k) for c, k in zip(out, [pa.string(), pa.binary(), pa.int32(), pa.int64()], strict=True))
+        return pa.table([lang, phrase.cast(pa.string()), words, a], ["lang", "phrase", "words", "a"])
 
     both = chunks.select("chunk", "lang", "words", "ids").groupBy("chunk").cogroup(frequent.groupBy("chunk"))
-    return both.applyInArrow(explode, "lang string, phrase string, words int, n long")
+    return both.applyInArrow(spell, "lang string, phrase string, words int, a long")
 
 
 def exact(column: str):
     return F.col(column).cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int = 80, top: int | None = 2000, scale: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int = 80, top: int | None = 2000, scale: int = 2_000_000, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) over the columns lang and text; each language's first ``top``, or all."""
-    chunks = written(chunked(docs), "chunks")
+    chunks = written(chunked(docs, chunk_bytes, 3 * chunk_bytes), "chunks")
     frequent = []
     for n in range(2, max_n + 1):
         with scratch(docs.sparkSession) as keep:  # the exchange of one length is gone before that of the next
             frequent.append(keep(written(frequent_grams(chunks, n, least), f"frequent-{n}")))
     frequent = reduce(DataFrame.union, frequent)
-    counts = phrases_of(chunks, frequent, max_n).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a"))
-    counts = written(counts.where(F.col("a") >= least), "phrases")
+    counts = written(phrases_of(chunks, frequent), "phrases")
     singles = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", F.col("w.counts").cast("long").alias("n"))
     singles = written(singles.groupBy("lang", "words").agg(F.sum("n").alias("a")), "singles")
     totals = singles.groupBy("lang").agg(F.sum("a").alias("n"))
