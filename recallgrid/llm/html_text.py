@@ -63,11 +63,21 @@ def names_furniture(value: str) -> bool:
     return any(words & FURNITURE_WORDS and words <= FURNITURE_WORDS | NEUTRAL_WORDS for words in named_words(value))
 
 
+LISTS = frozenset("ul ol dl table blockquote".split())
+
+
 class Lines(HTMLParser):
-    """Collects (text, tags, region, furniture) of each line."""
+    """Collects (text, tags, region, furniture) of each line. wrapper: the number of a form that is no furniture, as the page stands in it."""
 
-    def __init__(self):
+    def __init__(self, wrapper: int | None = None):
         super().__init__(convert_charrefs=True)
+        self.wrapper = wrapper
+        self.forms: list[int] = []  # code points of each form
+        self.prose = False  # whether a paragraph has ended in this region
+        self.attached: dict[int, int] = {}  # lists and tables that follow a paragraph, to its region
+        self.within: list | None = None  # the list or table of that kind that is open: tag, depth, region
+        self.linked: dict[int, int] = {}  # code points inside links, by region
+        self.links = 0
         self.lines: list[tuple[str, int, int, bool]] = []
         self.texts: list[str] = []
         self.tags = 0
@@ -84,11 +94,16 @@ class Lines(HTMLParser):
             self.texts = []
             if text:
                 self.lines.append((text, self.tags, self.region, self.skip is not None))
+                if self.skip == "form" and self.forms:
+                    self.forms[-1] += len(text)
                 self.tags = 0
 
     def new_region(self) -> None:
         self.regions += 1
         self.region = self.regions
+        self.prose = False
+        if self.within is not None:
+            self.attached[self.region] = self.within[2]
 
     def is_furniture(self, tag: str, attrs) -> bool:
         if tag in FURNITURE:
@@ -130,6 +145,12 @@ class Lines(HTMLParser):
                 return
         if tag in VOID:
             return
+        if tag == "form":
+            self.forms.append(0)
+            if len(self.forms) - 1 == self.wrapper:
+                return
+        if tag == "a":
+            self.links += 1
         if self.is_furniture(tag, attrs):
             self.end_line()
             self.skip, self.depth = tag, 1
@@ -141,6 +162,10 @@ class Lines(HTMLParser):
         elif self.open and tag == self.open[-1][0]:
             self.open[-1][1] += 1
         elif tag in SECTIONS and not self.open:
+            if self.within is None:
+                self.within = [tag, 1, self.region] if self.prose and tag in LISTS else None
+            elif tag == self.within[0]:
+                self.within[1] += 1
             self.new_region()
 
     def handle_startendtag(self, tag, attrs):
@@ -162,6 +187,15 @@ class Lines(HTMLParser):
                 self.end_line()
                 self.skip = None
             return
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        elif tag == "p":
+            self.prose = True
+        elif self.within is not None and tag == self.within[0]:
+            self.within[1] -= 1
+            if not self.within[1]:  # what follows goes on where the list broke in
+                self.region, self.prose, self.within = self.within[2], True, None
+                return
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None) if self.open else None
         if at is not None and (at == len(self.open) - 1 or tag in CONTENT):
             self.open[at][1] -= 1
@@ -174,6 +208,8 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if self.skip is None or self.skip not in ("script", "style", "head", "title"):
             self.texts.append(data)
+            if self.links and self.skip is None:
+                self.linked[self.region] = self.linked.get(self.region, 0) + len(data)
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -201,14 +237,28 @@ def threshold(values: list[float]) -> float:
     return upper / 2
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
-    if not html:
-        return ""
-    parser = Lines()
+def parsed(html: str, wrapper: int | None = None) -> Lines:
+    parser = Lines(wrapper)
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    return parser
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
+    """The text of a page's content. Where one form holds several times what is found outside of it, the page stands in that form,
+    which then is no furniture."""
+    if not html:
+        return ""
+    page = parsed(html)
+    text = content_of(page, sigma)
+    if page.forms and max(page.forms) > 4 * len(text):
+        text = content_of(parsed(html, page.forms.index(max(page.forms))), sigma)
+    return text
+
+
+def content_of(page: Lines, sigma: float = 1.0) -> str:
+    lines = page.lines
     if not lines or all(skip for *_, skip in lines):
         return ""
     ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in lines], sigma)
@@ -221,6 +271,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
             mass[region] = mass.get(region, 0) + len(text) * ratio
     best = max(mass[r] / chars[r] for r in chars)
     chosen = {r for r in chars if mass[r] / chars[r] >= min(cut, best)}
+    # A list or table between chosen paragraphs is content as they are, unless it is one of links.
+    for region in sorted(chars):
+        if page.attached.get(region) in chosen and page.linked.get(region, 0) * 2 < chars[region]:
+            chosen.add(region)
     return "\n".join(text for text, _, region, skip in lines if not skip and region in chosen)
 
 
