@@ -49,7 +49,7 @@ from .words import MASK, forget, mixed, run_hashes, word_hashes
 BAND = 1.3
 #: Below this threshold a cut could not have d + 1 blocks that aren't empty.
 LOWEST = Fraction(7, 10)
-#: A key's low bits name its band and cut.
+#: A key's low bits name its band and cut; the last cut's number is that of the band's own key.
 CUTS, TAG = 32, 4095
 
 
@@ -104,7 +104,7 @@ def block_keys(hashes: np.ndarray, band: int, t: Fraction) -> tuple[list[np.ndar
     keys, tags, left = [], [], []
     if count == 1:
         return keys, tags, left
-    for cut in range(CUTS):
+    for cut in range(CUTS - 1):
         bits = mixed(hashes + np.uint64(0x51ED270B + 0x9E3779B97F4A7C15 * cut & MASK))
         block = ((bits >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(block, kind="stable")
@@ -117,6 +117,11 @@ def block_keys(hashes: np.ndarray, band: int, t: Fraction) -> tuple[list[np.ndar
         left.append(spare - (count - len(at)))
         if left[-1] >= 0:
             break
+    else:  # no cut leaves few enough blocks empty: two such sets of a band meet in one key of the whole band
+        tag = band * CUTS + CUTS - 1
+        keys.append(np.array([band * 0x9E3779B97F4A7C15 & (MASK ^ TAG) | tag], np.uint64))
+        tags.append(tag)
+        left.append(0)
     return keys, tags, left
 
 
