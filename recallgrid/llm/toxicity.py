@@ -8,7 +8,7 @@ toxic ones; an entry inside one doesn't count. A document's score is a logistic
 rows, of its summed weights per word and of their strongest, so long documents aren't toxic for their length.
 
 The labels are read from a bounded sample: ``fit_rows`` rows with the smallest hash of their id (all, if fewer).
-Everything else sees every row and whole texts; the automaton is bounded by ``max_entries``.
+Everything else sees every row and whole texts; the automaton holds as many entries as the labelled rows support.
 
 Defined results: null and empty texts hold no word and score the base rate's logistic; a table without labels
 of both classes gives every document the share of toxic labels (0 if there are none) as its score; repeated rows
@@ -68,6 +68,7 @@ def folded(text: str) -> str:
     return " " + " ".join(text.lower().translate(folding()).split())
 
 
+#: How long a beginning may be that is an entry; a longer one is told by these, or by its whole word.
 PREFIXES = range(4, 15)
 
 
@@ -121,7 +122,7 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
 
 
-def learned(rows: Iterable[tuple[str, int]], max_entries: int = 2000, support: int = 4, precision: float = 0.85, exceptions: int = 500) -> Lexicon:
+def learned(rows: Iterable[tuple[str, int]], support: int = 4, precision: float = 0.85) -> Lexicon:
     """Fit on (text, label) rows, taken one by one; equal texts count once."""
     seen: dict[str, int] = {}
     for text, label in rows:
@@ -157,7 +158,7 @@ def learned(rows: Iterable[tuple[str, int]], max_entries: int = 2000, support: i
             clean.update(own)
     good = [t for t in candidates if toxic[t] >= precision * (toxic[t] + clean[t] * n[1] / n[0]) and toxic[t] > clean[t]]
     good.sort(key=lambda t: (clean[t] - toxic[t], -len(t), t))
-    weights = {t: math.log((toxic[t] + 0.5) / (n[1] + 1)) - math.log((clean[t] + 0.5) / (n[0] + 1)) for t in good[:max_entries]}
+    weights = {t: math.log((toxic[t] + 0.5) / (n[1] + 1)) - math.log((clean[t] + 0.5) / (n[0] + 1)) for t in good}
     # Phrases of two words around an entry that clean documents hold more than toxic ones do.
     around: list[Counter[str]] = [Counter(), Counter()]
     firsts = {t[1:5] for t in weights}
@@ -169,7 +170,7 @@ def learned(rows: Iterable[tuple[str, int]], max_entries: int = 2000, support: i
                 own.update(f" {a} {b} " for a, b in ((words[i - 1] if i else "", w), (w, words[i + 1] if i + 1 < len(words) else "")) if a and b)
         around[y].update(own)
     spare = sorted((p for p, k in around[0].items() if k >= support and k / n[0] > 3 * around[1][p] / n[1]), key=lambda p: (-around[0][p], p))
-    found = Lexicon(weights, set(spare[:exceptions]), (0.0, 0.0, 0.0))
+    found = Lexicon(weights, set(spare), (0.0, 0.0, 0.0))
     x = np.array([(1.0, *found.features(t)) for t, _ in texts])
     y = np.array([label for _, label in texts], float)
     scale = np.maximum(x.std(axis=0), 1e-9)
