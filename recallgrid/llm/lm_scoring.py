@@ -54,19 +54,6 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def places(seq: np.ndarray, bits: int) -> list[np.ndarray]:
-    """For each order n, the table place of the n-gram that ends at each position (meaningless where it would begin in
-    the text before)."""
-    out = []
-    key = np.zeros(len(seq), np.uint64)
-    for n in range(1, ORDER + 1):
-        key[1:] = key[:-1] * np.uint64(0x9E3779B97F4A7C15) if n > 1 else 0
-        key[0] = 0
-        key += seq * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)
-        out.append(((key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64))
-    return out
-
-
 def valid(starts: np.ndarray, total: int) -> np.ndarray:
     """Each position's index within its text."""
     return np.arange(total) - np.repeat(starts[:-1], np.diff(starts))
@@ -153,18 +140,6 @@ def mean_losses(owns, starts: np.ndarray, totals: list[float], mu: float) -> tup
     return n, sums[:, 0], sums[:, 1]
 
 
-class Models:
-    """Both models' counts in one array by place: for a table that is small and at hand."""
-
-    def __init__(self, bits: int, counts: np.ndarray, totals: list[float], mu: float):
-        self.bits, self.counts, self.totals, self.mu = bits, counts, totals, mu
-
-    def losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: tokens, and the mean loss under target and background."""
-        seq, starts = tokens(texts)
-        return mean_losses((self.counts[at] for at in places(seq, self.bits)), starts, self.totals, self.mu)
-
-
 class Counts:
     """Both models' counts as a written table of (high, low, target, background), one row for each n-gram."""
 
@@ -191,7 +166,9 @@ def scored(docs: DataFrame, models: Counts, id_col: str = "doc_id", text_col: st
     totals, mu = models.totals, models.mu
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = base.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + ORDER)).first()[0] or 1
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(math.ceil(size / CHUNK))))
+    # Rows are dealt by their own number, so that equal ones part; written, as both reads must deal alike.
+    number = F.xxhash64(F.monotonically_increasing_id())
+    dealt = written(base.withColumn("chunk", F.pmod(number, F.lit(math.ceil(size / CHUNK)))), "lm-chunks")
 
     def asked(table: pa.Table) -> pa.Table:
         seq, starts = tokens(table.column("text").to_pylist())
