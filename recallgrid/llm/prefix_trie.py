@@ -67,7 +67,7 @@ def lcp(a: bytes, b: bytes, known: int = 0) -> int:
 RUNS = "run long, at int, lcp int, conv_id long, path binary, chars array<int>"
 
 
-def sorted_runs(seqs: DataFrame) -> DataFrame:
+def sorted_runs(seqs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Runs of rows in order of path and id, each with what it shares with the row before it in its run."""
     path = F.unhex(F.array_join(F.transform("turns", lambda t: t["digest"]), ""))
 
@@ -90,7 +90,7 @@ def sorted_runs(seqs: DataFrame) -> DataFrame:
             for p, i, c in zip(batch["path"].to_pylist(), batch["conv_id"].to_pylist(), batch["chars"].to_pylist(), strict=True):
                 held.append((p, i, c))
                 size += len(p) + 64
-                if size >= RUN_BYTES:
+                if size >= run_bytes:
                     yield from finished()
                     run, size = run + 1, 0
         yield from finished()
@@ -155,7 +155,7 @@ def digest_of(ids: list[int]) -> str:
     return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
-def nodes_of(rows: Iterator[tuple[bytes, int, list[int], int]]) -> Iterator[tuple]:
+def nodes_of(rows: Iterator[tuple[bytes, int, list[int], int]], most_waiting: int = WAITING) -> Iterator[tuple]:
     """What EMITTED names, from rows in order with their LCPs."""
     stack: list[Node] = []
     path = b""
@@ -194,7 +194,7 @@ def nodes_of(rows: Iterator[tuple[bytes, int, list[int], int]]) -> Iterator[tupl
         if node.handed:
             yield (NAME, key(depth), None, node.conv, depth, None, None, None, None, None, None, None)
         parent.waiting.append((node.conv, depth, None, node.n, node.children, node.leaves, node.saved, node.chars, digest_of(node.ends)))
-        if len(parent.waiting) >= WAITING:
+        if len(parent.waiting) >= most_waiting:
             yield from hand_on(parent, depth - 1)
 
     for row_path, conv, chars, shared in rows:
@@ -230,14 +230,14 @@ def batched(rows: Iterator[tuple], n: int = 5000) -> Iterator[pa.RecordBatch]:
         yield _table(held)
 
 
-def merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def merge_range(batches: Iterator[pa.RecordBatch], most_waiting: int = WAITING) -> Iterator[pa.RecordBatch]:
     """Nodes of a range from its slices of all runs, each slice in order."""
     runs: dict[int, list[tuple]] = {}
     for batch in batches:
         for run, shared, conv, path, chars in zip(*(batch[c].to_pylist() for c in ("run", "lcp", "conv_id", "path", "chars")), strict=True):
             mine = runs.setdefault(run, [])
             mine.append((path, conv, chars, shared if mine else 0))
-    yield from batched(nodes_of(merged(list(runs.values()))))
+    yield from batched(nodes_of(merged(list(runs.values())), most_waiting))
 
 
 def fold_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,14 +272,14 @@ def hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from told()
 
 
-def prefix_trie(seqs: DataFrame) -> DataFrame:
+def prefix_trie(seqs: DataFrame, run_bytes: int = RUN_BYTES, most_waiting: int = WAITING) -> DataFrame:
     """Per node: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     spark = seqs.sparkSession
-    runs = written(sorted_runs(seqs), "trie-runs")
+    runs = written(sorted_runs(seqs, run_bytes), "trie-runs")
     size = runs.agg(F.sum(F.length("path") + 4 * F.size("chars") + 40).alias("size")).first().size or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + size // RANGE_BYTES)
     dealt = runs.repartitionByRange(ranges, "path", "conv_id").sortWithinPartitions("run", "at")
-    out = written(dealt.mapInArrow(merge_range, EMITTED), "trie-nodes")
+    out = written(dealt.mapInArrow(lambda batches: merge_range(batches, most_waiting), EMITTED), "trie-nodes")
 
     sums = [F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]
     parts = out.where(F.col("kind") == PART).groupBy("key", "depth", "chars").agg(F.first("parent").alias("parent"), F.min("conv_id").alias("conv_id"), *sums)

@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.llm import collocations, prefix_trie, queries, sharding
+from recallgrid.llm import collocations, html_text, jaccard_join, prefix_trie, queries, sharding, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard long, slot long, piece int, row string, k0 long, chunk long, words string, hash long, a long, n long"
 EXTRA = [7, 8, 9, 10, "r", 11, 12, "w", 13, 14, 15]
@@ -109,21 +110,23 @@ def plain_collocations(rows, max_n=4, least=30, overlap=80, top=2000):
 
 
 @pytest.mark.parametrize(("least", "top", "max_n"), [(30, 2000, 4), (3, 5, 3), (12, None, 6)])
-def test_collocations(spark, least, top, max_n, monkeypatch):
+def test_collocations(spark, least, top, max_n):
     rows = corpus()
-    monkeypatch.setattr(collocations, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(collocations, "HELD_BYTES", 5000)
-    found = collocations.collocations(docs_of(spark, rows), max_n=max_n, least=least, top=top)
+    found = collocations.collocations(docs_of(spark, rows), max_n=max_n, least=least, top=top, chunk_bytes=3000)
     assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     told = sorted(map(tuple, found.collect()))
     assert told and told == plain_collocations(rows, max_n, least, top=top or 10**9)
 
 
-def test_collocations_by_hash_alone_would_fail(spark, monkeypatch):
-    """If every pair has one hash, all are taken for frequent, and counts stay exact."""
-    rows = corpus()[:220]
-    monkeypatch.setattr(collocations, "mixed", lambda h: h & 0)
-    assert sorted(map(tuple, collocations.collocations(docs_of(spark, rows)).collect())) == plain_collocations(rows)
+def test_grams_that_share_one_hash_are_told_apart():
+    """Pairs of hashes part what either of them alone does not."""
+    one, two = np.array([5, 5, 7, 5, 7]), np.array([1, 2, 1, 1, 1])
+    first, count = collocations._distinct(one, two)
+    assert sorted(zip(one[first].tolist(), two[first].tolist(), count.tolist(), strict=True)) == [(5, 1, 2), (5, 2, 1), (7, 1, 2)]
+    assert all(len(x) == 0 for x in collocations._distinct(one[:0], two[:0]))
+    words = [f"w{i}" for i in range(5000)]
+    hashes = collocations._hashes(words, "en")
+    assert len(set(map(tuple, hashes.T.tolist()))) == 5001 and not (hashes[:, 1:] == collocations._hashes(words, "de")[:, 1:]).any()
 
 
 def test_collocations_of_nothing(spark):
@@ -188,12 +191,11 @@ def conversations(spark, rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_trie(spark, seed, monkeypatch):
+def test_trie(spark, seed):
     rows = talk(seed)
-    for name, value in (("RUN_BYTES", 2000), ("WAITING", 3)) if seed == 1 else ():
-        monkeypatch.setattr(prefix_trie, name, value)
+    small = {"run_bytes": 2000, "most_waiting": 3} if seed == 1 else {}
     seqs = prefix_trie.sequences(conversations(spark, rows).repartition(5))
-    found = prefix_trie.prefix_trie(prefix_trie.grafted(seqs))
+    found = prefix_trie.prefix_trie(prefix_trie.grafted(seqs), **small)
     assert sorted(map(tuple, found.collect()), key=repr) == plain_trie(plain_paths(rows))
     bare = prefix_trie.prefix_trie(seqs)
     assert sorted(map(tuple, bare.collect()), key=repr) == plain_trie(plain_paths(rows, graft=False))
@@ -231,3 +233,67 @@ def test_merge_compares_no_shared_turn_twice(monkeypatch):
 
 def test_queries_are_there():
     assert {"op11_sharding", "op12_collocations", "op13_prefix_trie"} <= set(queries.queries())
+
+
+PARAGRAPH = "<p>A paragraph of the page that goes on for quite a while, with many words in it, and ends.</p>"
+
+
+def test_page_in_a_form():
+    inside = PARAGRAPH * 3 + "<input name=q><button>Go</button>"
+    for page in (f"<body><form id=aspnetForm action=x>{inside}</form></body>", f"<body><a href=#c>Skip on</a><form>{inside}</form><form><label>Your mail</label><input></form></body>"):
+        text = html_text.main_text(f"<html>{page}</html>")
+        assert text.count("goes on") == 3 and "Go" not in text and "Your mail" not in text
+    # A form beside an article stays furniture, however wordy.
+    assert "consent" not in html_text.main_text(f"<article>{PARAGRAPH * 2}</article><form><p>{'I consent to all of it. ' * 9}</p></form>")
+
+
+def test_lists_and_tables_between_paragraphs():
+    listed = "<ul><li>one</li><li>two</li></ul>"
+    told = "<table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table>"
+    links = "<ul><li><a href=x>Read</a></li><li><a href=y>more</a></li></ul>"
+    text = html_text.main_text(f"<body><div id=content>{PARAGRAPH * 2}{listed}{PARAGRAPH * 2}{told}{PARAGRAPH}{links}</div><ul><li>foot</li></ul></body>").split("\n")
+    assert [t for t in text if len(t) < 5] == ["one", "two", "a", "1", "b", "2"] and len(text) == 11
+
+
+def test_sets_without_a_cut_share_the_key_of_their_band(monkeypatch):
+    """Where no cut will do, two sets of a band always meet."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(jaccard_join, "CUTS", 1)
+    rng = np.random.default_rng(2)
+    for n in (12, 40, 300):
+        one, two = (np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        keys = [jaccard_join.keys_of(x, Fraction(4, 5)) for x in (one, two)]
+        assert set(keys[0][0].tolist()) & set(keys[1][0].tolist()) and all(more == 0 for more in keys[0][2])
+
+
+def plain_toxicity(lexicon, text):
+    """The score by looking for each entry with str.find."""
+    padded = toxicity.folded(text) + " "
+    hits, spared = {}, []
+    for term in [*lexicon.weights, *lexicon.exceptions]:
+        at = padded.find(term)
+        while at >= 0:
+            if term in lexicon.exceptions:
+                spared.append((at, at + len(term) - 1))
+            else:
+                hits[at] = max(hits.get(at, 0.0), lexicon.weights[term])
+            at = padded.find(term, at + 1)
+    hits = [w for b, w in hits.items() if not any(x <= b < y for x, y in spared)]
+    a, b, c = lexicon.logistic
+    return 1 / (1 + np.exp(-np.clip(a + b * (sum(hits) / np.sqrt(1 + padded.count(" ")) if hits else 0.0) + c * max(hits, default=0.0), -40, 40)))
+
+
+def test_toxicity_against_plain_search(spark):
+    """More entries and exceptions than any fixed number, and scores of all rows, a very long one too."""
+    rng = random.Random(9)
+    bad = ["".join(rng.choice("bcdfgklm") + rng.choice("aeou") for _ in range(3)) for _ in range(700)]
+    good = [f"word{i}" for i in range(300)]
+    rows = [(" ".join(rng.choice(good) for _ in range(12)) + (" " + " ".join(rng.sample(bad, 30)) if k % 2 else ""), k % 2) for k in range(900)]
+    lexicon = toxicity.learned(rows)
+    assert len(lexicon.weights) > 2000
+    texts = [t for t, _ in rows[:60]] + [None, "", "x" * 50_000, " ".join(good * 50 + bad[:3])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, lexicon).collect()}
+    assert all(got[i] == pytest.approx(plain_toxicity(lexicon, t or "")) for i, t in enumerate(texts))
+    assert toxicity.scored(docs.limit(0), lexicon).count() == 0
