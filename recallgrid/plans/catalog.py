@@ -8,7 +8,7 @@ from recallgrid.functions import scalars as sc
 from recallgrid.functions import temporal as tm
 from recallgrid.functions import text as tx
 from recallgrid.operators import documents, dynamics, graph, identity, postings, retrieval, section_index, sessions, store
-from recallgrid.plans import pipeline
+from recallgrid.plans import many, pipeline
 from recallgrid.plans.registry import query
 from recallgrid.sources import views
 from recallgrid.streaming import recalls
@@ -553,11 +553,33 @@ def search_pipeline(spark, d):
     return _searched(spark, d, "what would the rewh be", 0, 0)["result"].withColumn("blended", r6("blended"))
 
 
+def _turns_asked(spark, d):
+    """Every turn of a user as a query, with a vector of the embeddings' table."""
+    emb = views.table(spark, d, "embeddings")
+    turns = views.table(spark, d, "conversations").where("role = 'user'").crossJoin(F.broadcast(emb.agg(F.count("*").alias("n"))))
+    turns = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"), ((F.col("conv_id") * 8 + F.col("turn")) % F.col("n")).alias("at"))
+    return turns.join(emb.select(F.col("vec_id").alias("at"), F.col("embedding").alias("q")), "at", "left").select("query_id", "query", "q")
+
+
 @query("batch_search")
 def batch_search(spark, d):
+    """All turns of users searched for in one plan."""
     m, edges = views.mem(spark, d), views.assoc(spark, d).withColumn("edge_seq", F.col("to_id"))
-    asked = [(i, q, views.query_vector(spark, d, i)) for i, q in enumerate(["rewh", "of the", "thatea"])]
-    return pipeline.batch(m, edges, asked, pipeline.SearchOptions(min_score=0.1), views.keyword_index(spark, d)).withColumn("blended", r6("blended"))
+    found = many.search_many(m, edges, _turns_asked(spark, d), pipeline.SearchOptions(min_score=0.1), views.keyword_index(spark, d))
+    return found.withColumn("blended", r6("blended"))
+
+
+@query(
+    "batch_knn",
+    """WITH n AS (SELECT COUNT(*) AS n FROM embeddings),
+a AS (SELECT conv_id * 1000 + turn AS query_id, (conv_id * 8 + turn) % n AS spot FROM conversations, n WHERE role = 'user'),
+s AS (SELECT a.query_id, e.vec_id AS id, ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM a JOIN embeddings q ON q.vec_id = a.spot, embeddings e)
+SELECT query_id, id, ROUND(score, 6) AS score FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30""",
+)
+def batch_knn(spark, d):
+    """The thirty nearest vectors of every user turn's."""
+    found = many.knn_many(views.vectors(spark, d), _turns_asked(spark, d), 30, 0.1)
+    return found.withColumn("score", r6("score"))
 
 
 @query(

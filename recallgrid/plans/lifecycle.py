@@ -357,9 +357,9 @@ OLD_SQL = f"oi AS (SELECT conv_id AS owner, lpad(CAST(turn AS VARCHAR), 8, '0')
     string_agg(content, ', ' ORDER BY created_at, id) FILTER (item_type = 'expertise') AS ex
   FROM oi GROUP BY owner),
 a AS (SELECT *, COALESCE(first.content, '') AS x0 FROM t),
-b AS (SELECT *, CASE WHEN tr IS NULL THEN x0 WHEN x0 = '' THEN 'Traits: ' || tr ELSE regexp_replace(x0, '\.+$', '') || ' Traits: ' || tr || '.' END AS x1 FROM a),
-c AS (SELECT *, CASE WHEN tn IS NULL THEN x1 ELSE regexp_replace(x1, '\.+$', '') || ' Tone: ' || tn || '.' END AS x2 FROM b),
-e AS (SELECT *, CASE WHEN ex IS NULL THEN x2 ELSE regexp_replace(x2, '\.+$', '') || ' Expertise: ' || ex || '.' END AS x3 FROM c)
+b AS (SELECT *, CASE WHEN tr IS NULL THEN x0 WHEN x0 = '' THEN 'Traits: ' || tr ELSE regexp_replace(x0, '[.]+$', '') || ' Traits: ' || tr || '.' END AS x1 FROM a),
+c AS (SELECT *, CASE WHEN tn IS NULL THEN x1 ELSE regexp_replace(x1, '[.]+$', '') || ' Tone: ' || tn || '.' END AS x2 FROM b),
+e AS (SELECT *, CASE WHEN ex IS NULL THEN x2 ELSE regexp_replace(x2, '[.]+$', '') || ' Expertise: ' || ex || '.' END AS x3 FROM c)
 SELECT owner, CASE item_type WHEN 'directive' THEN 'rule' WHEN 'antipattern' THEN 'rule' ELSE item_type END AS item_type, content, CASE WHEN item_type = 'antipattern' THEN 'negative' END AS category
 FROM oi WHERE item_type IN ('directive', 'antipattern', 'value') OR (item_type = 'persona_description' AND owner IN (SELECT owner FROM e WHERE x3 = x0))
 UNION ALL SELECT owner, 'persona_description' AS item_type, x3 AS content, NULL AS category FROM e WHERE x3 <> x0""",
