@@ -29,8 +29,8 @@ from .words import BASE, MASK, mixed
 #: ASCII capitals, what ends a piece, and what parts words; a piece's end is a word of its own, with number 0.
 ENDS = b".,;:!?\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
-#: Bytes of text that a chunk holds, but for the last text, and that a task gathers over all languages.
-CHUNK_BYTES, HELD_BYTES = 8 << 20, 24 << 20
+#: Bytes of text that make a chunk. A task gathers three times as many over all languages.
+CHUNK_BYTES = 4 << 20
 #: Odd factors of the two hashes of a run of words.
 BASES = np.array([[BASE], [0xD6E8FEB86659FD93]], np.uint64)
 
@@ -43,16 +43,26 @@ class Numbers(dict):
         return n
 
 
+def parts_of(text: str, most: int) -> Iterator[bytes]:
+    """A folded text, or if it is long, parts of about so many bytes that end where pieces end."""
+    data = text.encode().translate(FOLD)
+    while len(data) > most and (end := data.find(b"\n", most)) >= 0:
+        yield data[:end]
+        data = data[end + 1 :]
+    yield data
+
+
 def _encoded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of folded texts, and all texts as word numbers."""
     numbers = Numbers({b"\n": 0})
-    parts = b"\n".join(texts).translate(FOLD).replace(b"\n", b" \n ").split(b" ")
+    parts = b"\n".join(texts).replace(b"\n", b" \n ").split(b" ")
     return numbers, np.fromiter(map(numbers.__getitem__, filter(None, parts)), np.int32)
 
 
 CHUNK = "chunk long, lang string, words array<string>, counts array<int>, ids binary"
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, lang, words, counts, ids): word numbers of texts in order, 0 where a piece ends, and the words from number 1 on with
     their counts."""
 
@@ -76,12 +86,13 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, held_bytes: int = H
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 name = lang.as_py()
-                held.setdefault(name, []).append(text.as_py().encode())
-                sizes[name] = sizes.get(name, 0) + len(held[name][-1])
-                if sizes[name] >= chunk_bytes:
-                    yield row(name)
-                elif sum(sizes.values()) >= held_bytes:
-                    yield row(max(sizes, key=sizes.get))
+                for part in parts_of(text.as_py(), chunk_bytes):
+                    held.setdefault(name, []).append(part)
+                    sizes[name] = sizes.get(name, 0) + len(part)
+                    if sizes[name] >= chunk_bytes:
+                        yield row(name)
+                    elif sum(sizes.values()) >= 3 * chunk_bytes:
+                        yield row(max(sizes, key=sizes.get))
         for name in list(held):
             yield row(name)
 
@@ -174,7 +185,7 @@ def exact(column: str):
 
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int = 80, top: int | None = 2000, scale: int = 2_000_000, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) over the columns lang and text; each language's first ``top``, or all."""
-    chunks = written(chunked(docs, chunk_bytes, 3 * chunk_bytes), "chunks")
+    chunks = written(chunked(docs, chunk_bytes), "chunks")
     frequent = []
     for n in range(2, max_n + 1):
         with scratch(docs.sparkSession) as keep:  # the exchange of one length is gone before that of the next
