@@ -15,15 +15,16 @@ repeated rows count each for themselves; a piece is counted whole however long i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_first, written
+from .common import BATCH, scratch, small_first, written
 from .words import BASE, MASK, mixed
 
 #: ASCII capitals, what ends a piece, and what parts words; a piece's end is a word of its own, with number 0.
@@ -59,6 +60,17 @@ def _encoded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return numbers, np.fromiter(map(numbers.__getitem__, filter(None, parts)), np.int32)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so few rows, as a row of chunks is megabytes; the session's own setting is back afterwards."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 CHUNK = "chunk long, lang string, words array<string>, counts array<int>, ids binary"
 
 
@@ -185,10 +197,11 @@ def exact(column: str):
 
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int = 80, top: int | None = 2000, scale: int = 2_000_000, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) over the columns lang and text; each language's first ``top``, or all."""
+    spark = docs.sparkSession
     chunks = written(chunked(docs, chunk_bytes), "chunks")
     frequent = []
     for n in range(2, max_n + 1):
-        with scratch(docs.sparkSession) as keep:  # the exchange of one length is gone before that of the next
+        with batches_of(spark, 2), scratch(spark) as keep:  # the exchange of one length is gone before that of the next
             frequent.append(keep(written(frequent_grams(chunks, n, least), f"frequent-{n}")))
     frequent = reduce(DataFrame.union, frequent)
     counts = written(phrases_of(chunks, frequent), "phrases")
