@@ -88,10 +88,46 @@ def signals(searches: DataFrame, creations: DataFrame, recalls: DataFrame, memor
     return asked.select(*SIGNAL)
 
 
-def before(all_signals: DataFrame, searches: DataFrame) -> DataFrame:
-    """For each search (search_id, session_id, at) the signals of its session that were there when it ran."""
-    then = searches.select("search_id", "session_id", F.col("at").alias("search_at"))
-    return all_signals.join(then, "session_id").where("at < search_at or (at = search_at and rank = 0)")
+def before(all_signals: DataFrame, searches: DataFrame, smoothing: float = 0.1) -> DataFrame:
+    """(search_id, n_before, n_create, n_recall, n_vectors, centroid) of each search (search_id, session_id, at): how many signals of its
+    session were there when it ran, and the centroid of their vectors, null if there were none.
+
+    One ordered scan: sessions are dealt to tasks, and signals and searches come by session and time through Spark's sort; a task
+    carries one session's counts and centroid from row to row and from batch to batch, so neither pairs of searches
+    and signals nor a session's list ever exist. Of signals at one time, created memories come before recalled ones, by id."""
+    import numpy as np
+    import pyarrow as pa
+
+    kind = dict(searches.dtypes)["search_id"]
+    vector = F.col("embedding").cast("array<double>").alias("embedding")
+    told = all_signals.select("session_id", "at", F.col("rank").cast("double").alias("rank"), "kind", F.col("memory_id").cast("string").alias("tie"), F.lit(None).cast(kind).alias("search_id"), vector)
+    none = F.lit(None)
+    asks = searches.select("session_id", "at", F.lit(0.5).alias("rank"), F.lit("ask").alias("kind"), none.cast("string").alias("tie"), "search_id", none.cast("array<double>").alias("embedding"))
+    order = ["session_id", "at", "rank", "kind", "tie", "search_id"]
+    rows = told.unionByName(asks).repartition("session_id").sortWithinPartitions(*order)
+    searched = rows.schema["search_id"].dataType
+    names = ["search_id", "n_before", "n_create", "n_recall", "n_vectors", "centroid"]
+
+    def scan(batches):
+        session, counts, n, centroid = None, {}, 0, None
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            columns = (batch[c].to_pylist() for c in ("session_id", "kind", "search_id", "embedding"))
+            for own, what, search, v in zip(*columns, strict=True):
+                if own != session:
+                    session, counts, n, centroid = own, {}, 0, None
+                if what == "ask":
+                    row = (search, sum(counts.values()), counts.get("create", 0), counts.get("recall", 0), n, None if centroid is None else centroid.tolist())
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                    continue
+                counts[what] = counts.get(what, 0) + 1
+                if v is not None:
+                    n, centroid = n + 1, fold_centroid(centroid, np.asarray(v, float), smoothing)
+            kinds = [batch.schema.field("search_id").type, *[pa.int64()] * 4, pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    return rows.mapInArrow(scan, f"search_id {searched.simpleString()}, n_before long, n_create long, n_recall long, n_vectors long, centroid array<double>")
 
 
 def touched(all_signals: DataFrame) -> DataFrame:

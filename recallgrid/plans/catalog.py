@@ -573,7 +573,7 @@ def batch_search(spark, d):
     "batch_knn",
     """WITH n AS (SELECT COUNT(*) AS n FROM embeddings),
 a AS (SELECT conv_id * 1000 + turn AS query_id, (conv_id * 8 + turn) % n AS spot FROM conversations, n WHERE role = 'user'),
-s AS (SELECT a.query_id, e.vec_id AS id, ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM a JOIN embeddings q ON q.vec_id = a.spot, embeddings e)
+s AS (SELECT a.query_id, e.vec_id AS id, ROUND(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) AS score FROM a JOIN embeddings q ON q.vec_id = a.spot, embeddings e)
 SELECT query_id, id, ROUND(score, 6) AS score FROM s WHERE score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30""",
 )
 def batch_knn(spark, d):
