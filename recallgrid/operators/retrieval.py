@@ -194,8 +194,9 @@ def diversity(results: DataFrame, limit: int, keep_all: bool = False) -> DataFra
     return given.groupBy("query_id").applyInPandas(pick, f"query_id long, position int, id {kind}, blended double")
 
 
-def classify(vectors: DataFrame, examples: DataFrame) -> DataFrame:
-    """(id, label, mean_similarity, margin): the class of highest mean similarity. Mean cosine to a class is the dot of the unit
+def classify(vectors: DataFrame, examples: DataFrame, asked: DataFrame | None = None, least_margin: float = 0.1) -> DataFrame:
+    """(id, label, mean_similarity, margin): the class of highest mean similarity. With asked (id, label), also the label asked for, its
+    similarity, and a warning (null if none) where another is ahead of it by least_margin. Mean cosine to a class is the dot of the unit
     vector with the class's mean unit vector, so examples are folded to one row per class and broadcast as such."""
     unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
     means = examples.select("label", F.posexplode(unit).alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
@@ -204,4 +205,12 @@ def classify(vectors: DataFrame, examples: DataFrame) -> DataFrame:
     scores = scores.select("id", "label", F.aggregate(F.zip_with("u", "mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("mean_similarity"))
     order = Window.partitionBy("id").orderBy(F.desc("mean_similarity"), "label")
     ranked = scores.withColumn("rn", F.row_number().over(order)).withColumn("margin", F.col("mean_similarity") - F.lead("mean_similarity").over(order))
-    return ranked.where("rn = 1").drop("rn")
+    if asked is None:
+        return ranked.where("rn = 1").drop("rn")
+    given = scores.join(asked.withColumnRenamed("label", "asked"), "id").where(F.col("label") == F.col("asked")).select("id", F.col("mean_similarity").alias("asked_similarity"))
+    best = ranked.where("rn = 1").drop("rn").join(asked.withColumnRenamed("label", "asked"), "id", "left").join(given, "id", "left")
+    ahead = F.col("mean_similarity") - F.coalesce("asked_similarity", F.lit(0.0))
+    warned = (F.col("asked") != F.col("label")) & (ahead >= least_margin)
+    percent = lambda c: F.format_string("%.0f%%", c * 100)
+    warning = F.concat(F.lit("You specified '"), F.col("asked").cast("string"), F.lit("', but this looks more like a '"), F.col("label").cast("string"), F.lit("' (confidence: "), percent(F.col("mean_similarity")), F.lit(" vs "), percent(F.coalesce("asked_similarity", F.lit(0.0))), F.lit("). Proceeding anyway."))
+    return best.withColumn("warning", F.when(warned, warning))

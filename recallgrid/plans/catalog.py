@@ -548,6 +548,22 @@ def _searched(spark, d, query, vec, query_id, **options):
     return pipeline.search(m, edges, views.query_vector(spark, d, vec), query, query_id, o, index=views.keyword_index(spark, d))
 
 
+@query(
+    "knn_mismatch",
+    f"""WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT t.vec_id AS id, x.label, AVG(list_cosine_similarity(t.v, x.v)) AS m
+  FROM n t JOIN n x ON x.vec_id % 5 <> 0 WHERE t.vec_id % 5 = 0 GROUP BY t.vec_id, x.label),
+b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY m DESC, label) = 1)
+SELECT b.id, b.label, b.label <> a.label AND b.m - COALESCE(a.m, 0) >= 0.02 AS warned FROM b JOIN (SELECT id, label, m FROM s WHERE label = (SELECT MIN(label) FROM embeddings)) a ON a.id = b.id""",
+)
+def knn_mismatch(spark, d):
+    """Where the class asked for, the same for all here, falls clearly behind the one that is found."""
+    v = views.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    first = v.agg(F.min("label").alias("label"))
+    asked = v.where("id % 5 = 0").select("id").crossJoin(F.broadcast(first))
+    found = retrieval.classify(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), asked, 0.02)
+    return found.select("id", "label", F.col("warning").isNotNull().alias("warned"))
+
+
 @query("search_pipeline")
 def search_pipeline(spark, d):
     return _searched(spark, d, "what would the rewh be", 0, 0)["result"].withColumn("blended", r6("blended"))

@@ -8,6 +8,7 @@ from recallgrid.functions import scalars as sc
 from recallgrid.operators import dynamics, embedding, export, graph, identity, sessions, store
 from recallgrid.plans import pipeline
 from recallgrid.plans.catalog import ASSOC, COLS, ENRICH, ITEMS, MEM, OWNER, SESS, _items, plain, r6
+from recallgrid.plans.reading import PREFIX_SQL
 from recallgrid.plans.registry import query
 from recallgrid.sources import views
 
@@ -305,12 +306,23 @@ def embedding_backfill(spark, d):
     return out.select("id", F.size("embedding").alias("dims"), F.round(total, 3).alias("total"))
 
 
-@query("enrichment_backfill", f"WITH {MEM}, {ENRICH} SELECT memory_id, seq FROM en WHERE memory_id % 2 = 0 UNION ALL SELECT id AS memory_id, s.seq FROM mem CROSS JOIN (SELECT unnest(generate_series(0, 2))::INTEGER AS seq) s WHERE id NOT IN (SELECT memory_id FROM en WHERE memory_id % 2 = 0)")
+@query(
+    "enrichment_backfill",
+    f"""WITH {MEM}, {ENRICH}, have AS (SELECT * FROM en WHERE memory_id % 2 = 0),
+v AS (SELECT id, list_transform(range(26), lambda i: CAST(length(lower(left(content, 20))) - length(replace(lower(left(content, 20)), chr(97 + i::INTEGER), '')) AS DOUBLE)) AS v FROM mem WHERE id NOT IN (SELECT memory_id FROM have)),
+u AS (SELECT id, list_transform(v, lambda x: x / CASE WHEN list_sum(v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) AS u FROM v),
+every AS (SELECT memory_id, seq, CAST(embedding AS DOUBLE[]) AS e FROM have UNION ALL SELECT id AS memory_id, s.seq, CAST(CAST(u AS FLOAT[]) AS DOUBLE[]) AS e FROM u CROSS JOIN (SELECT unnest(generate_series(0, 2))::INTEGER AS seq) s)
+SELECT memory_id, seq, CAST(len(e) AS INTEGER) AS dims, ROUND(list_sum(e), 3) AS total, ROUND(list_dot_product(e, CAST(list_transform(range(1, len(e) + 1), lambda i: i) AS DOUBLE[])), 2) AS weighted FROM every""",
+)
 def enrichment_backfill(spark, d):
-    """Three queries' vectors for each memory that has no enrichments."""
+    """Three queries' vectors for each memory that has no enrichments; vectors by size, sum, and sum by place."""
     have = views.enrich(spark, d).where("memory_id % 2 = 0").withColumn("seq", F.col("seq").cast("int"))
     ask = lambda text: [f"{text[:20]} {k}" for k in range(5)]
-    return embedding.enriched(views.mem(spark, d, vectors=False).select("id", "content"), have, ask, LetterEmbedder).select("memory_id", "seq")
+    out = embedding.enriched(views.mem(spark, d, vectors=False).select("id", "content"), have, ask, LetterEmbedder)
+    parts = F.transform("embedding", lambda x: x.cast("double"))
+    total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.transform(parts, lambda x, i: x * (i + 1))
+    return out.select("memory_id", "seq", F.size("embedding").alias("dims"), F.round(total(parts), 3).alias("total"), F.round(total(weighted), 2).alias("weighted"))
 
 
 # --- export -------------------------------------------------------------------------------------------------------
@@ -324,9 +336,14 @@ def graph_json(spark, d):
     return export.edges_json(views.assoc(spark, d), 0.15)
 
 
-@query("graph_json_nodes", f"WITH {MEM}, {ASSOC} SELECT id FROM mem WHERE id IN (SELECT from_id FROM assoc WHERE weight >= 0.15 UNION SELECT to_id FROM assoc WHERE weight >= 0.15)")
+@query(
+    "graph_json_nodes",
+    f"""WITH {MEM}, {ASSOC}, s AS (SELECT *, CASE WHEN strlen(content) <= 30 THEN content ELSE {PREFIX_SQL.format(t='content', n=27)} || '...' END AS label FROM mem
+  WHERE id IN (SELECT from_id FROM assoc WHERE weight >= 0.15 UNION SELECT to_id FROM assoc WHERE weight >= 0.15))
+SELECT id, '{{"id":"' || id || '","label":' || CAST(to_json(label) AS VARCHAR) || ',"energy":' || CAST(ROUND(energy, 6) AS VARCHAR) || ',"state":"' || state || '","access_count":' || access_count || '}}' AS json FROM s""",
+)
 def graph_json_nodes(spark, d):
-    return export.nodes_json(views.assoc(spark, d), views.mem(spark, d, vectors=False), 0.15).select("id")
+    return export.nodes_json(views.assoc(spark, d), views.mem(spark, d, vectors=False), 0.15)
 
 
 # --- identity -------------------------------------------------------------------------------------------------------

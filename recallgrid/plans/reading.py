@@ -279,10 +279,32 @@ def doc_search_top(spark, d):
     return _found(documents.search(_notes(spark, d), "rewh OR thatea", 20))
 
 
-@query("doc_hydrated", "SELECT 'notes ' || source AS source, -(doc_id + 1) AS rowid, 'Page ' || (doc_id + 1) AS title, CAST(doc_id + 1 AS INTEGER) AS page_start, 'page' AS section_type, CAST(0 AS INTEGER) AS n_codes FROM documents")
+@query(
+    "doc_hydrated",
+    f"""WITH {MANUAL_SQL}, p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY page) AS k FROM mn)
+SELECT 'notes ' || source AS source, -(doc_id + 1) AS rowid, 'Page ' || (doc_id + 1) AS title, NULL AS parent, CAST(doc_id + 1 AS INTEGER) AS page_start, 'page' AS section_type FROM documents
+UNION ALL SELECT source, 3 * k - 2 AS rowid, title, NULL AS parent, CAST(page AS INTEGER) AS page_start, 'disorder' AS section_type FROM p
+UNION ALL SELECT source, 3 * k - 1 AS rowid, title || ' - Diagnostic Criteria' AS title, title AS parent, CAST(page AS INTEGER) AS page_start, 'diagnostic_criteria' AS section_type FROM p
+UNION ALL SELECT source, 3 * k AS rowid, title || ' - Comorbidity' AS title, title AS parent, CAST(page AS INTEGER) AS page_start, 'comorbidity' AS section_type FROM p""",
+)
 def doc_hydrated(spark, d):
-    sections = documents.index(_pages_of(spark, d))
-    return documents.hydrated(sections.select("source", "rowid"), sections).select("source", "rowid", "title", "page_start", "section_type", F.size("codes").alias("n_codes"))
+    """Hits of both kinds: pages by their number, sections by what the index holds of them."""
+    sections = documents.index(_pages_of(spark, d)).unionByName(documents.index(_manual(spark, d)))
+    return documents.hydrated(sections.select("source", "rowid"), sections).select("source", "rowid", "title", "parent", "page_start", "section_type")
+
+
+@query(
+    "doc_page_limits",
+    f"""WITH {SHELF_SQL}, p AS (SELECT *, doc_id::VARCHAR AS n, page - 43 AS pg FROM sh)
+SELECT source, n || '.1 Title ' || n AS title, pg AS page_start FROM p WHERE doc_id % 5 = 0 AND pg >= 11
+UNION ALL SELECT source, 'Insomnia of ' || n || ' (7A00-7A0Z)' AS title, pg AS page_start FROM p WHERE doc_id % 5 = 1 AND pg >= 44
+UNION ALL SELECT source, '1.0' || (1 + doc_id % 9) || ' Duty ' || n AS title, pg AS page_start FROM p WHERE doc_id % 5 = 2 AND pg >= 3""",
+)
+def doc_page_limits(spark, d):
+    """Pages from 1 on: headings before a profile's first page of content aren't sections."""
+    cut = documents.index(_shelf(spark, d).withColumn("page_number", F.col("page_number") - 43)).where("profile in ('dsm5trhandbook', 'icd11', 'nasw_ethics')")
+    wanted = cut.where(F.col("title").rlike(r"^\d+\.1 Title |^Insomnia of |^1\.0\d Duty "))
+    return wanted.select("source", "title", F.col("page_start").cast("long").alias("page_start"))
 
 
 @query("doc_search_type")
