@@ -117,6 +117,20 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(vectors, cells, pivots)
 
 
+def ensure(vectors: DataFrame, name: str, root: str | None = None) -> Index:
+    """The index of vectors that are read from files, built if it isn't there; written beside and moved into place whole."""
+    spark = vectors.sparkSession
+    path = f"{root or postings.shared_root(spark)}/vectors-{name}-{postings.fingerprint(vectors)}"
+    where, system = postings._files(spark, path)
+    if not system.exists(where):
+        aside = f"{path}-{uuid.uuid4().hex}"
+        build(vectors, aside)
+        source, _ = postings._files(spark, aside)
+        if system.exists(where) or not system.rename(source, where):
+            system.delete(source, True)
+    return load(spark, path)
+
+
 def changed(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Set the vectors of the given ids (id, embedding); a null embedding clears it. Only these rows are written, until there are
     so many parts that all are merged."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import scalars as sc
 from recallgrid.functions import temporal as tm
 from recallgrid.functions import text as tx
-from recallgrid.operators import documents, dynamics, graph, identity, postings, retrieval, section_index, sessions, store
+from recallgrid.operators import documents, dynamics, graph, identity, postings, retrieval, section_index, sessions, store, vector_index
 from recallgrid.plans import many, pipeline
 from recallgrid.plans.registry import query
 from recallgrid.sources import views
@@ -341,6 +341,27 @@ def knn_primary(spark, d):
     return retrieval.knn(views.vectors(spark, d), views.query_vector(spark, d, 0), 20, 0.1).select("id", r6("score").alias("score"))
 
 
+def _indexed(spark, d):
+    """The stored index over all vectors of the memories, their enrichments' among them."""
+    rows = views.vectors(spark, d).unionByName(views.enrich(spark, d).select(F.col("memory_id").alias("id"), "embedding"))
+    return vector_index.ensure(rows, "multi")
+
+
+@query(
+    "knn_indexed",
+    f"""WITH {ENRICH}, {Q0.format(v=1)}, s AS (SELECT vec_id AS id, {SIM.format(a='embedding', b='q')} AS score FROM embeddings, qv UNION ALL
+  SELECT memory_id AS id, {SIM.format(a='embedding', b='q')} AS score FROM en, qv), b AS (SELECT id, MAX(score) AS score FROM s WHERE score >= 0.1 GROUP BY id)
+SELECT id, ROUND(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 20""",
+)
+def knn_indexed(spark, d):
+    """The rows of knn_multivector, by an index that reads only the cells that can hold one of them."""
+    q = views.query_vector(spark, d, 1).first()
+    if q is None:
+        return views.vectors(spark, d).select("id", F.lit(0.0).alias("score")).where("false")
+    found, _ = vector_index.knn(_indexed(spark, d), q.q, 20, 0.1)
+    return found.select("id", r6("score").alias("score"))
+
+
 @query(
     "knn_multivector",
     f"""WITH {ENRICH}, {Q0.format(v=1)}, s AS (SELECT vec_id AS id, {SIM.format(a='embedding', b='q')} AS score FROM embeddings, qv UNION ALL
