@@ -14,6 +14,7 @@ repeated rows count each for themselves; a piece is counted whole however long i
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -71,6 +72,13 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(BATCH, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the last job's shuffle files removed: Spark keeps them until another job has run and the JVM has collected garbage."""
+    spark.range(1).count()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 CHUNK = "chunk long, lang string, words array<string>, counts array<int>, ids binary"
 
 
@@ -203,6 +211,7 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int
     for n in range(2, max_n + 1):
         with batches_of(spark, 2), scratch(spark) as keep:  # the exchange of one length is gone before that of the next
             frequent.append(keep(written(frequent_grams(chunks, n, least), f"frequent-{n}")))
+        release(spark)
     frequent = reduce(DataFrame.union, frequent)
     counts = written(phrases_of(chunks, frequent), "phrases")
     singles = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", F.col("w.counts").cast("long").alias("n"))
