@@ -312,14 +312,14 @@ def embedding_backfill(spark, d):
 v AS (SELECT id, list_transform(range(26), lambda i: CAST(length(lower(left(content, 20))) - length(replace(lower(left(content, 20)), chr(97 + i::INTEGER), '')) AS DOUBLE)) AS v FROM mem WHERE id NOT IN (SELECT memory_id FROM have)),
 u AS (SELECT id, list_transform(v, lambda x: x / CASE WHEN list_sum(v) = 0 THEN 1 ELSE sqrt(list_dot_product(v, v)) END) AS u FROM v),
 every AS (SELECT memory_id, seq, CAST(embedding AS DOUBLE[]) AS e FROM have UNION ALL SELECT id AS memory_id, s.seq, CAST(CAST(u AS FLOAT[]) AS DOUBLE[]) AS e FROM u CROSS JOIN (SELECT unnest(generate_series(0, 2))::INTEGER AS seq) s)
-SELECT memory_id, seq, CAST(len(e) AS INTEGER) AS dims, ROUND(list_sum(e), 3) AS total, ROUND(list_dot_product(e, CAST(list_transform(range(1, len(e) + 1), lambda i: i) AS DOUBLE[])), 2) AS weighted FROM every""",
+SELECT memory_id, seq, CAST(len(e) AS INTEGER) AS dims, ROUND(list_sum(list_transform(e, lambda x: abs(x))), 3) AS total, ROUND(list_dot_product(list_transform(e, lambda x: abs(x)), CAST(list_transform(range(1, len(e) + 1), lambda i: i) AS DOUBLE[])), 2) AS weighted FROM every""",
 )
 def enrichment_backfill(spark, d):
-    """Three queries' vectors for each memory that has no enrichments; vectors by size, sum, and sum by place."""
+    """Three queries' vectors for each memory that has no enrichments; vectors by size, sum of magnitudes, and the same by place."""
     have = views.enrich(spark, d).where("memory_id % 2 = 0").withColumn("seq", F.col("seq").cast("int"))
     ask = lambda text: [f"{text[:20]} {k}" for k in range(5)]
     out = embedding.enriched(views.mem(spark, d, vectors=False).select("id", "content"), have, ask, LetterEmbedder)
-    parts = F.transform("embedding", lambda x: x.cast("double"))
+    parts = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
     weighted = F.transform(parts, lambda x, i: x * (i + 1))
     return out.select("memory_id", "seq", F.size("embedding").alias("dims"), F.round(total(parts), 3).alias("total"), F.round(total(weighted), 2).alias("weighted"))

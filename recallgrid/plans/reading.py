@@ -391,7 +391,7 @@ def session_centroid_ema(spark, d):
 f AS (SELECT session_id, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM g WHERE k = 1
   UNION ALL SELECT z.session_id, z.k, list_transform(z.m, lambda x: x / sqrt(list_dot_product(z.m, z.m))) AS c
   FROM (SELECT g.session_id, g.k, list_transform(list_zip(g.v, f.c), lambda p: 0.1::DOUBLE * p[1] + 0.9::DOUBLE * p[2]) AS m FROM f JOIN g ON g.session_id = f.session_id AND g.k = f.k + 1) z)
-SELECT g.session_id * 1000 + g.turn AS search_id, g.k - 1 AS n_vectors, ROUND(list_sum(c), 6) AS total, ROUND(list_dot_product(c, CAST(list_transform(range(1, 65), lambda i: i) AS DOUBLE[])), 5) AS weighted
+SELECT g.session_id * 1000 + g.turn AS search_id, g.k - 1 AS n_vectors, ROUND(list_sum(list_transform(c, lambda x: abs(x))), 6) AS total, ROUND(list_dot_product(list_transform(c, lambda x: abs(x)), CAST(list_transform(range(1, 65), lambda i: i) AS DOUBLE[])), 5) AS weighted
 FROM g LEFT JOIN f ON f.session_id = g.session_id AND f.k = g.k - 1 WHERE g.role = 'user'""",
 )
 def session_centroid_before(spark, d):
@@ -401,8 +401,9 @@ def session_centroid_before(spark, d):
     recalled = rows.where("role <> 'user'").select("session_id", F.col("turn").alias("at"), F.col("at").alias("memory_id"))
     told = sessions.signals(asked, recalled.limit(0), recalled, views.vectors(spark, d))
     c = sessions.before(told, asked)
-    total = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x)
-    weighted = F.aggregate(F.transform("centroid", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    sizes = F.transform("centroid", F.abs)
+    total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
+    weighted = F.aggregate(F.transform(sizes, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return c.select("search_id", "n_vectors", r6(total).alias("total"), F.round(weighted, 5).alias("weighted"))
 
 
