@@ -88,7 +88,14 @@ def signals(searches: DataFrame, creations: DataFrame, recalls: DataFrame, memor
     return asked.select(*SIGNAL)
 
 
-def before(all_signals: DataFrame, searches: DataFrame, smoothing: float = 0.1) -> DataFrame:
+def before(all_signals: DataFrame, searches: DataFrame) -> DataFrame:
+    """For each search (search_id, session_id, at) the signals of its session that were there when it ran: a row for each pair, for a
+    few searches to be looked into. What all searches saw, ``before_each`` tells without pairs."""
+    then = searches.select("search_id", "session_id", F.col("at").alias("search_at"))
+    return all_signals.join(then, "session_id").where("at < search_at or (at = search_at and rank = 0)")
+
+
+def before_each(all_signals: DataFrame, searches: DataFrame, smoothing: float = 0.1) -> DataFrame:
     """(search_id, n_before, n_create, n_recall, n_vectors, centroid) of each search (search_id, session_id, at): how many signals of its
     session were there when it ran, and the centroid of their vectors, null if there were none.
 

@@ -254,7 +254,7 @@ def session_signals(spark, d):
     none = F.lit(None).cast("array<float>")
     asked = searched.select("session_id", "at", F.col("event_id").cast("string").alias("text"), none.alias("embedding"), F.col("event_id").alias("search_id"))
     told = sessions.signals(asked, created, recalled, views.mem(spark, d).select("id", "embedding"))
-    return sessions.before(told, asked).where("n_before > 0").select("search_id", "n_before", "n_create", "n_recall")
+    return sessions.before_each(told, asked).where("n_before > 0").select("search_id", "n_before", "n_create", "n_recall")
 
 
 @query(

@@ -400,7 +400,7 @@ def session_centroid_before(spark, d):
     asked = rows.where("role = 'user'").select("session_id", F.col("turn").alias("at"), "text", "embedding", (F.col("session_id") * 1000 + F.col("turn")).alias("search_id"))
     recalled = rows.where("role <> 'user'").select("session_id", F.col("turn").alias("at"), F.col("at").alias("memory_id"))
     told = sessions.signals(asked, recalled.limit(0), recalled, views.vectors(spark, d))
-    c = sessions.before(told, asked)
+    c = sessions.before_each(told, asked)
     sizes = F.transform("centroid", F.abs)
     total = F.aggregate(sizes, F.lit(0.0), lambda a, x: a + x)
     weighted = F.aggregate(F.transform(sizes, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
