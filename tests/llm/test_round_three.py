@@ -287,9 +287,9 @@ def plain_toxicity(lexicon, text):
 def test_toxicity_against_plain_search(spark):
     """More entries and exceptions than any fixed number, and scores of all rows, a very long one too."""
     rng = random.Random(9)
-    bad = ["".join(rng.choice("bcdfgklm") + rng.choice("aeou") for _ in range(3)) for _ in range(700)]
+    bad = ["".join(rng.choice("bcdfgklm") + rng.choice("aeou") for _ in range(3)) for _ in range(1200)]
     good = [f"word{i}" for i in range(300)]
-    rows = [(" ".join(rng.choice(good) for _ in range(12)) + (" " + " ".join(rng.sample(bad, 30)) if k % 2 else ""), k % 2) for k in range(900)]
+    rows = [(" ".join(rng.choice(good) for _ in range(12)) + (" " + " ".join(rng.sample(bad, 40)) if k % 2 else ""), k % 2) for k in range(900)]
     lexicon = toxicity.learned(rows)
     assert len(lexicon.weights) > 2000
     texts = [t for t, _ in rows[:60]] + [None, "", "x" * 50_000, " ".join(good * 50 + bad[:3])]
