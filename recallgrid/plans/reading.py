@@ -10,7 +10,7 @@ from recallgrid.operators import documents, graph, retrieval, section_index, ses
 from recallgrid.plans import pipeline
 from recallgrid.plans.catalog import ASSOC, MEM, Q0, SESS, SIM, TOKENS, _manual, r6
 from recallgrid.plans.registry import query
-from recallgrid.sources import views
+from recallgrid.sources import library, pdf, views
 
 # --- scalars ------------------------------------------------------------------------------------------------------
 
@@ -131,6 +131,38 @@ def _shelf(spark, d):
 SHELF_SQL = """sh AS (SELECT doc_id, ['dsm handbook', 'icd-11 list', 'nasw ethics', 'dsm5 manual', 'plain notes'][doc_id % 5 + 1] || ' ' || (doc_id % 10 // 5) AS source, doc_id + 44 AS page, lang FROM documents)"""
 
 
+def _filed(spark, d):
+    """A PDF file of each document, three of its lines to a page, in two layouts of files. Of eight files, one lacks the format's
+    mark and one breaks off in the middle."""
+    import pyarrow as pa
+
+    def write(batches):
+        for batch in batches:
+            files = []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                lines = (text or "").split("\n")
+                data = pdf.written(["\n".join(lines[k : k + 3]) for k in range(0, len(lines), 3)], packed=i % 2 == 0)
+                files.append(data[5:] if i % 8 == 3 else data[: len(data) // 2] if i % 8 == 5 else data)
+            names = pa.array([f"doc{i}" for i in batch.column("doc_id").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, names, pa.array(map(len, files), pa.int64()), pa.array(files, pa.binary())], ["path", "source", "length", "content"])
+
+    return views.table(spark, d, "documents").select("doc_id", "text").mapInArrow(write, "path string, source string, length long, content binary")
+
+
+@query(
+    "pdf_pages",
+    """WITH l AS (SELECT doc_id, doc_id % 8 IN (3, 5) AS broken, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents),
+p AS (SELECT doc_id, broken, ls, unnest(range(0, CAST((len(ls) + 2) // 3 AS BIGINT))) AS k FROM l),
+t AS (SELECT doc_id, broken, k + 1 AS page_number, list_transform(ls[3 * k + 1 : 3 * k + 3], lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))) AS ls FROM p),
+c AS (SELECT doc_id, broken, page_number, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS content FROM t)
+SELECT 'doc' || doc_id AS source, CAST(page_number AS INTEGER) AS page_number, content, FALSE AS failed FROM c WHERE NOT broken AND content <> ''
+UNION ALL SELECT 'doc' || doc_id, NULL, NULL, TRUE FROM c GROUP BY doc_id HAVING bool_or(broken) OR max(length(content)) = 0""",
+)
+def pdf_pages(spark, d):
+    """Pages of files, and a row for each file that can't be read, in whatever way it is broken."""
+    return library.extracted(_filed(spark, d)).select("source", "page_number", "content", F.col("error").isNotNull().alias("failed"))
+
+
 @query(
     "doc_profiles",
     f"""WITH {SHELF_SQL} SELECT DISTINCT source, CASE WHEN doc_id % 5 = 4 THEN 'pages' ELSE 'sections' END AS index_type, ['dsm5trhandbook', 'icd11', 'nasw_ethics', 'dsm5tr', 'pages'][doc_id % 5 + 1] AS profile FROM sh""",
