@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.scalars import decayed, searchable, state_of, stimulated
@@ -54,27 +54,61 @@ def stimulate(memories: DataFrame, ids: Column, amount: float, now: Column) -> D
     )
 
 
-def ordered_index(df: DataFrame, order_cols: tuple[str, ...], time_col: str, name: str = "idx") -> DataFrame:
-    """A gapless global position by order_cols, of which time_col is the first. Rows are numbered within the minute, minutes are
-    offset by the counts before them in the hour and hours by the counts before, so no window holds more than the rows of a
-    minute, the minutes of an hour or the list of hours."""
-    df = df.withColumn("minute_of", F.date_trunc("minute", time_col))
-    minutes = df.groupBy("minute_of").agg(F.count("*").alias("n")).withColumn("hour_of", F.date_trunc("hour", "minute_of"))
-    earlier = Window.partitionBy("hour_of").orderBy("minute_of").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("hour_of").rowsBetween(Window.unboundedPreceding, -1)
-    hours = minutes.groupBy("hour_of").agg(F.sum("n").alias("n")).select("hour_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("hours_before"))
-    offsets = minutes.select("hour_of", "minute_of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("minutes_before")).join(hours, "hour_of")
-    offsets = offsets.select("minute_of", (F.col("hours_before") + F.col("minutes_before")).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("minute_of").orderBy(*order_cols))
-    return df.withColumn("in_minute", within).join(offsets, "minute_of").withColumn(name, F.col("in_minute") + F.col("offset")).drop("minute_of", "in_minute", "offset")
+#: Keys that are looked at for each part of an order, and rows of a block of consecutive rows.
+KEYS_PER_PART = 20
+BLOCK = 1 << 16
 
 
-def hebbian(log: DataFrame, id_col: str = "mem_id", order_cols: tuple[str, ...] = ("ts", "event_id"), window: int = 5, rate: float = 0.1) -> DataFrame:
+def _before(order_cols: tuple[str, ...], bound: Row) -> Column:
+    """Whether a row's key comes before a bound, missing values first."""
+    out = F.lit(False)
+    for c in reversed(order_cols):
+        out = F.coalesce(F.col(c) < F.lit(bound[c]), F.lit(True)) | (F.col(c).eqNullSafe(F.lit(bound[c])) & out)
+    return out
+
+
+def _part(order_cols: tuple[str, ...], bounds: list[Row], first: int = 0) -> Column:
+    """The number of the bounds that a row's key doesn't come before, found by halves."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(_before(order_cols, bounds[mid]), _part(order_cols, bounds[:mid], first)).otherwise(_part(order_cols, bounds[mid + 1 :], first + mid + 1))
+
+
+def ordered_index(df: DataFrame, order_cols: tuple[str, ...], name: str = "idx", parts: int | None = None) -> DataFrame:
+    """A gapless global position by order_cols, from 1; rows without the first of them are left out. Rows are numbered within
+    parts of about equal size, and parts are offset by the counts before them.
+
+    Parts are cut at whole keys, so a moment that holds any number of rows is cut as well. The keys to cut at are those of
+    least hash, some twenty a part; they decide on the parts' sizes alone, as any cuts give the same positions.
+    """
+    df = df.where(F.col(order_cols[0]).isNotNull())
+    n = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*order_cols).dropna().orderBy(F.xxhash64(*order_cols), *order_cols).limit(KEYS_PER_PART * n).collect()
+    keys = sorted(set(keys))
+    bounds = [keys[i * len(keys) // n] for i in range(1, n)] if len(keys) >= n else keys
+    df = df.withColumn("part_of", _part(order_cols, bounds))
+    earlier = Window.orderBy("part_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = df.groupBy("part_of").agg(F.count("*").alias("n")).select("part_of", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("part_of").orderBy(*order_cols))
+    # One row a part: their number is n at most.
+    return df.withColumn("in_part", within).join(F.broadcast(offsets), "part_of").withColumn(name, F.col("in_part") + F.col("offset")).drop("part_of", "in_part", "offset")
+
+
+def hebbian(log: DataFrame, id_col: str = "mem_id", order_cols: tuple[str, ...] = ("ts", "event_id"), window: int = 5, rate: float = 0.1, block: int = BLOCK) -> DataFrame:
     """Edges that a stream of recalls leaves: each recall is paired both ways with the ones before it in the window. A pair met
-    n times has weight min(1, rate * n) and n - 1 co-activations after the first."""
-    placed = ordered_index(log.select(id_col, *order_cols), order_cols, order_cols[0])
-    now = placed.select(F.col(id_col).alias("a"), "idx", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("back")).withColumn("idx", F.col("idx") - F.col("back"))
-    pairs = now.join(placed.select(F.col(id_col).alias("b"), "idx"), "idx").where("a != b").select("a", "b")
+    n times has weight min(1, rate * n) and n - 1 co-activations after the first.
+
+    The order is cut into blocks, and the last rows of a block are handed to the next as well, where they are paired but
+    don't pair, so no row is copied for each place of its window.
+    """
+    block = max(block, window)
+    placed = ordered_index(log.select(id_col, *order_cols), order_cols).select(F.col(id_col).alias("a"), "idx")
+    own, handed = (F.floor(F.col("idx") / block)).alias("at"), (F.floor((F.col("idx") + window) / block)).alias("at")
+    blocks = placed.select("a", "idx", F.explode(F.array_distinct(F.array(own, handed))).alias("at"))
+    order = Window.partitionBy("at").orderBy("idx")
+    met = blocks.select("a", "at", "idx", F.array(*[F.lag("a", k).over(order) for k in range(1, window + 1)]).alias("earlier")).where(F.floor(F.col("idx") / block) == F.col("at"))
+    pairs = met.select("a", F.explode("earlier").alias("b")).where("a != b")
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b").alias("t")), F.struct(F.col("b").alias("f"), F.col("a").alias("t")))).alias("p"))
     n = both.groupBy(F.col("p.f").alias("from_id"), F.col("p.t").alias("to_id")).agg(F.count("*").alias("n"))
     weight = F.least(F.lit(1.0), min(rate, 0.5) + rate * (F.col("n") - 1))
