@@ -3,7 +3,9 @@
 Texts are folded, cut into pieces at punctuation, and written once as chunks of word numbers, each with its own list of
 words. All n-grams of one to max_n words are exploded into rows by chunk, equal ones of a chunk as one row with their
 count, and aggregated by language, one length after the other: single words as they are, longer ones by 128 bits of
-hash, which stand for the words and the language. A frequent n-gram is then spelt out by the first chunk that holds it, which
+hash, which stand for the words and the language. A phrase is never more frequent than a phrase in it, so of n words only
+those rows are made whose first and last n - 1 words are marked in a map of frequent hashes; the map has a fixed size, and what
+is marked by chance is counted and found rare. A frequent n-gram is then spelt out by one of the chunks that hold it, which
 learns of it by a join; so no list of phrases is gathered anywhere. Counts of prefixes and suffixes are joined, scores
 are made in Decimal, and a candidate goes if a candidate one word longer has nearly its count: as every phrase between a
 phrase and a longer one that holds it is at least as frequent as the longer, one word more is all that need be looked at.
@@ -22,6 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ ENDS = b".,;:!?\x0b\x0c\r"
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
 #: Bytes of text that make a chunk. A task gathers three times as many over all languages.
 CHUNK_BYTES = 4 << 20
+#: Bits of the map of frequent hashes, 8 MB.
+MAP_BITS = 26
+#: Bits of a hash that say which of the chunks with an n-gram spells it, so that the first chunks don't spell most.
+SPELLER = 0xFFFF_0000_000F
 #: Odd factors of the two hashes of a run of words.
 BASES = np.array([[BASE], [0xD6E8FEB86659FD93]], np.uint64)
 
@@ -130,10 +137,13 @@ def _hashes(words: list[str], lang: str) -> np.ndarray:
     return out
 
 
-def _grams(ids: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where n words stand side by side in a piece, and two hashes of each of these n-grams."""
+def _grams(ids: np.ndarray, hashes: np.ndarray, n: int, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where n words stand side by side in a piece, and two hashes of each of these n-grams. With marked, both places at which
+    n - 1 of the words begin must be."""
     k = max(0, len(ids) - n + 1)
     at = np.flatnonzero(np.logical_and.reduce([ids[i : i + k] > 0 for i in range(n)]))
+    if marked is not None:
+        at = at[marked[at] & marked[at + 1]]
     out = hashes[:, ids[at]]
     with np.errstate(over="ignore"):
         for i in range(1, n):
@@ -150,13 +160,45 @@ def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[starts], np.diff(np.append(starts, len(a)))
 
 
-def hashed_grams(chunks: DataFrame, n: int) -> DataFrame:
-    """(chunk, one, two, n): every n-gram of every chunk, by its hashes."""
+def frequent_words(singles: DataFrame) -> DataFrame:
+    """(one): the first hash of each word of (lang, words), as it is among the n-grams of one word."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [_hashes([w], lang)[:, 1:] for lang, w in zip(batch["lang"].to_pylist(), batch["words"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(np.concatenate([np.zeros((2, 0), np.uint64), *each], axis=1))[0].view(np.int64))], ["one"])
+
+    return singles.select("lang", "words").mapInArrow(hashed, "one long")
+
+
+def map_of(grams: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits with a bit for each first hash in (one). The driver gets the map, not the hashes."""
+    slot = F.shiftrightunsigned("one", 64 - MAP_BITS)
+    words = grams.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _marked(ids: np.ndarray, hashes: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    """Whether the n words from each place on are marked in a map."""
+    at, one, _ = _grams(ids, hashes, n)
+    slot = one.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    out = np.zeros(len(ids) + 1, bool)
+    out[at] = known[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+    return out
+
+
+def hashed_grams(chunks: DataFrame, n: int, known: Broadcast | None = None) -> DataFrame:
+    """(chunk, one, two, n): every n-gram of every chunk, by its hashes; with a map of n-grams one word shorter, those
+    alone whose two parts are marked."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, one, two = _grams(np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"]), n)
+                ids, hashes = np.frombuffer(row["ids"], np.int32), _hashes(row["words"], row["lang"])
+                marked = None if known is None else _marked(ids, hashes, n - 1, known.value)
+                _, one, two = _grams(ids, hashes, n, marked)
                 first, count = _distinct(one, two)
                 for i in range(0, len(first), 100_000):
                     part = first[i : i + 100_000]
@@ -166,10 +208,11 @@ def hashed_grams(chunks: DataFrame, n: int) -> DataFrame:
     return chunks.select("chunk", "lang", "words", "ids").mapInArrow(explode, "chunk long, one long, two long, n long")
 
 
-def frequent_grams(chunks: DataFrame, n: int, least: int) -> DataFrame:
-    """(chunk, words, one, two, a): each frequent n-gram, its count in all chunks, and the first chunk that holds it."""
-    counted = hashed_grams(chunks, n).groupBy("one", "two").agg(F.min("chunk").alias("chunk"), F.sum("n").alias("a"))
-    return counted.where(F.col("a") >= least).select("chunk", F.lit(n).alias("words"), "one", "two", "a")
+def frequent_grams(chunks: DataFrame, n: int, least: int, known: Broadcast | None = None) -> DataFrame:
+    """(chunk, words, one, two, a): each frequent n-gram, its count in all chunks, and a chunk that holds it."""
+    own = F.col("one").bitwiseAND(F.lit(SPELLER))
+    counted = hashed_grams(chunks, n, known).groupBy("one", "two").agg(F.min(F.col("chunk").bitwiseXOR(own)).alias("chunk"), F.sum("n").alias("a"))
+    return counted.where(F.col("a") >= least).select(F.col("chunk").bitwiseXOR(own).alias("chunk"), F.lit(n).alias("words"), "one", "two", "a")
 
 
 def phrases_of(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -207,15 +250,19 @@ def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int
     """(lang, rank, phrase, a, l, r, n, score) over the columns lang and text; each language's first ``top``, or all."""
     spark = docs.sparkSession
     chunks = written(chunked(docs, chunk_bytes), "chunks")
+    singles = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", F.col("w.counts").cast("long").alias("n"))
+    singles = written(singles.groupBy("lang", "words").agg(F.sum("n").alias("a")), "singles")
+    shorter = frequent_words(singles.where(F.col("a") >= least))
     frequent = []
     for n in range(2, max_n + 1):
+        known = spark.sparkContext.broadcast(map_of(shorter))
         with batches_of(spark, 2), scratch(spark) as keep:  # the exchange of one length is gone before that of the next
-            frequent.append(keep(written(frequent_grams(chunks, n, least), f"frequent-{n}")))
+            frequent.append(keep(written(frequent_grams(chunks, n, least, known), f"frequent-{n}")))
+        known.destroy()
         release(spark)
+        shorter = frequent[-1]
     frequent = reduce(DataFrame.union, frequent)
     counts = written(phrases_of(chunks, frequent), "phrases")
-    singles = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", F.col("w.counts").cast("long").alias("n"))
-    singles = written(singles.groupBy("lang", "words").agg(F.sum("n").alias("a")), "singles")
     totals = singles.groupBy("lang").agg(F.sum("a").alias("n"))
     parts = counts.select("lang", "phrase", "a").union(singles.where(F.col("a") >= least).select("lang", "words", "a"))
 
