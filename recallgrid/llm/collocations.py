@@ -28,7 +28,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH, scratch, small_first, written
+from .common import BATCH, LARGE_ROWS, scratch, small_first, written
 from .words import BASE, MASK, mixed
 
 #: ASCII capitals, what ends a piece, and what parts words; a piece's end is a word of its own, with number 0.
@@ -249,7 +249,7 @@ def exact(column: str):
 def collocations(docs: DataFrame, max_n: int = 4, least: int = 30, overlap: int = 80, top: int | None = 2000, scale: int = 2_000_000, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) over the columns lang and text; each language's first ``top``, or all."""
     spark = docs.sparkSession
-    chunks = written(chunked(docs, chunk_bytes), "chunks")
+    chunks = written(chunked(docs, chunk_bytes), "chunks", LARGE_ROWS)
     singles = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.words", F.col("w.counts").cast("long").alias("n"))
     singles = written(singles.groupBy("lang", "words").agg(F.sum("n").alias("a")), "singles")
     shorter = frequent_words(singles.where(F.col("a") >= least))

@@ -1,8 +1,11 @@
 """n-grams of op12 are made into rows only where their shorter parts are frequent."""
 
+import glob
 import random
 
-from recallgrid.llm import collocations
+import pyarrow.parquet as pq
+
+from recallgrid.llm import collocations, common
 from recallgrid.llm.common import written
 
 
@@ -23,3 +26,15 @@ def test_only_grams_of_frequent_parts_are_counted(spark):
     assert collocations.phrases_of(chunks, collocations.frequent_grams(chunks, 3, 30, known)).count() == 4
     spellers = {r.chunk for r in collocations.frequent_grams(chunks, 1, 30).collect()}
     assert len(spellers) > 4
+
+
+def test_row_groups_of_chunks_are_few_rows(spark, monkeypatch):
+    """A task that writes or reads many chunks holds a few of them at once, not a hundred."""
+    draw = random.Random(5)
+    docs = spark.createDataFrame([(" ".join(f"w{draw.randrange(500)}" for _ in range(300)), "en") for _ in range(60)], "text string, lang string").coalesce(1)
+    monkeypatch.setattr(collocations, "LARGE_ROWS", collocations.LARGE_ROWS | {"parquet.block.size": 16 << 10})
+    collocations.collocations(docs, chunk_bytes=2000)
+    path = next(p for p in reversed(common._written) if "/chunks-" in p).removeprefix("file://")
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    groups = [m.row_group(i).num_rows for m in footers for i in range(m.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= 6
